@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
-from .runtime import table
+from . import bpecount, dac, packing, quality
+from .runtime import shared_dir, table
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids: one row per piece."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), window=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    return bpecount.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +28,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as directly addressable codes and read back from the files."""
+    out = f"{shared_dir(spark)}/weft-tokens-{uuid.uuid4().hex}"
+    dac.write_tokens(table(spark, sf_dir, "documents"), out, end_id=1)
+    return dac.read_tokens(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op4_token_counts": op4_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_files": op8_token_files,
     }
 
 
