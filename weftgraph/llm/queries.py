@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpecount, dac, packing, quality
+from . import bpecount, dac, langid, packing, quality
 from .runtime import shared_dir, table
 
 
@@ -23,6 +23,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpecount.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the robust outlier verdict of every document."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_token_counts": op4_token_counts,
+        "op6_language_id": op6_language_id,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_files": op8_token_files,
     }
