@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpecount, dac, langid, packing, quality
+from . import bpecount, dac, langid, ngram_join, packing, quality
 from .runtime import shared_dir, table
 
 
@@ -23,6 +23,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpecount.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_token_counts": op4_token_counts,
+        "op5_ngram_join": op5_ngram_join,
         "op6_language_id": op6_language_id,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_files": op8_token_files,
