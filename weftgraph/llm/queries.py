@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpecount, dac, langid, ngram_join, packing, quality
+from . import bpecount, dac, langid, ngram_join, packing, quality, suffix_dedup
 from .runtime import shared_dir, table
 
 
@@ -45,6 +45,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes when every byte covered by a repeated 200-byte string is removed."""
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"), length=200).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_files": op8_token_files,
+        "op9_suffix_dedup": op9_suffix_dedup,
     }
 
 
