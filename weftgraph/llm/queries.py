@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpecount, dac, langid, ngram_join, packing, quality, suffix_dedup
+from . import bpecount, chat, dac, decontaminate, langid, ngram_join, packing, quality, suffix_dedup
 from .runtime import shared_dir, table
 
 
@@ -18,6 +18,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the most similar window."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered and canonically rendered turns of every conversation."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     return bpecount.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -53,6 +64,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_decontamination": op2_decontamination,
+        "op3_chat_format": op3_chat_format,
         "op4_token_counts": op4_token_counts,
         "op5_ngram_join": op5_ngram_join,
         "op6_language_id": op6_language_id,
@@ -62,6 +75,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_OP3 = """
+SELECT conv_id,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn_no,
+       lower(trim(role)) AS role,
+       coalesce(text, '') AS text,
+       '<|' || lower(trim(role)) || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' AS rendered
+FROM conversations
+"""
+
+#: Connected components of the linked pairs, by recursion over the distinct (shingle, document) rows.
+_OP5 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * c >= 90 * (na.n + nb.n - c)
+), r AS (
+  SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(c) AS component_id FROM r GROUP BY id) m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only where SQL gives the whole result; the others are tested against brute force in ``tests/llm``."""
-    return {}
+    return {"op3_chat_format": _OP3, "op5_ngram_join": _OP5}

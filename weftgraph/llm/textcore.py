@@ -30,6 +30,11 @@ def _byte_table(lower: bool) -> np.ndarray:
 _TABLE = {True: _byte_table(True), False: _byte_table(False)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: For comparison regardless of punctuation: ASCII white space, controls and punctuation all separate words.
+LOOSE = np.zeros(256, bool)
+LOOSE[:0x80] = True
+for _a, _b in (("0", "9"), ("A", "Z"), ("a", "z")):
+    LOOSE[ord(_a) : ord(_b) + 1] = False
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -84,11 +89,11 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = to
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each document the index of its first word (n + 1)."""
+def words(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (``[^\\x20\\x09-\\x0D]+`` by default), and for each document the index of its first word (n + 1)."""
     if len(raw) == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~gap[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[off] = True
     begins = solid.copy()
