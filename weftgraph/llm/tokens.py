@@ -8,8 +8,11 @@ a bounded cache per Python worker holds the ids of chunks already met.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
-CACHE_CHUNKS = 250_000
+#: About 200 bytes each.
+CACHE_CHUNKS = 1_200_000
 LONGEST_CACHED = 48
 
 
@@ -20,20 +23,28 @@ def default_path() -> str:
 
 
 class _Cache(dict):
-    def __init__(self, encode):
+    def __init__(self, encode, plain: bool):
         super().__init__()
-        self.encode = encode
+        self.encode, self.plain = encode, plain
 
     def __missing__(self, chunk):
-        import numpy as np
-
-        out = np.asarray(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        out = self._ids(chunk)
         if len(chunk) <= LONGEST_CACHED:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
             self[chunk] = out
         return out
 
+    def _ids(self, chunk: str) -> bytes:
+        if self.plain and chunk.isascii():
+            # letters and the punctuation after them are split apart, and case is folded, before any id is chosen
+            bare = chunk.rstrip(",.")
+            if len(bare) < len(chunk) and bare.isalpha():
+                return self[bare.lower()] + self[chunk[len(bare) :]]
+            if chunk.isalpha() and not chunk.islower():
+                return self[chunk.lower()]
+        return array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+
 
 class ChunkTokenizer:
     """``ids(text)``: little-endian unsigned 32-bit ids, no special tokens added, nothing truncated or padded."""
@@ -52,7 +63,11 @@ class ChunkTokenizer:
         self.by_chunk = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} for s in steps) and not any(
             any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])
         )
-        self.cache = _Cache(tok.encode)
+        split = str((spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", ""))
+        plain = {"type": "Lowercase"} in steps and split.endswith("[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        self.cache = _Cache(tok.encode, self.by_chunk and plain)
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as native unsigned 32-bit integers, which must be little-endian")
 
     def ids(self, text: str | None) -> bytes:
         if not text:
