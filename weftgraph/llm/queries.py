@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpecount, chat, dac, decontaminate, langid, ngram_join, packing, quality, suffix_dedup
+from . import bpecount, chat, dac, decontaminate, langid, ngram_join, packing, quality, suffix_dedup, toxicity
 from .runtime import shared_dir, table
 
 
@@ -61,6 +61,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"), length=200).drop("spans")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_token_files": op8_token_files,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
