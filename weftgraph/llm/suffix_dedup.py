@@ -401,11 +401,13 @@ def _solve(segments: DataFrame, length: int, cells: int, limit: int = 4 << 20) -
     return segments.withColumn("cell", F.pmod("h", F.lit(cells))).groupBy("cell").applyInArrow(run, "doc_id long, a long, b long")
 
 
-_RESULT = "doc_id long, n_removed long, n_spans long, kept binary, spans array<struct<from:long,to:long>>"
+_RESULT = "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<from:long,to:long>>"
 
 
 def _apply(cand: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
+        from hashlib import sha256
+
         import numpy as np
         import pyarrow as pa
 
@@ -419,18 +421,18 @@ def _apply(cand: DataFrame, length: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], iv[1:, 0] > reach[:-1]]))
                 a, b = iv[new, 0].tolist(), reach[np.append(new[1:], len(iv)) - 1].tolist()
                 kept = b"".join(text[s:e] for s, e in zip([0, *b], [*a, len(text)], strict=True))
-                rows.append((doc, len(text) - len(kept), len(a), kept, [{"from": s, "to": e} for s, e in zip(a, b, strict=True)]))
+                rows.append((doc, len(text) - len(kept), len(a), sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), [{"from": s, "to": e} for s, e in zip(a, b, strict=True)]))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary(), kind], strict=True)],
-                    names=["doc_id", "n_removed", "n_spans", "kept", "spans"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), kind], strict=True)],
+                    names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
                 )
 
     return cand.select("doc_id", "text", "pairs").mapInArrow(run, _RESULT)
 
 
 def _changed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(all rows: ``doc_id, rep, n_bytes, sha``; representatives that lose bytes: ``doc_id, n_removed, n_spans, kept, spans``)."""
+    """(all rows: ``doc_id, rep, n_bytes, sha``; representatives that lose bytes: ``doc_id, n_removed, n_spans, kept_sha256, kept, spans``)."""
     parts = n_partitions(docs.sparkSession)
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     marks = materialise(src.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "marks")
@@ -449,7 +451,7 @@ def _changed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 def removals(docs: DataFrame, length: int = 200) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row (spans are null where nothing goes)."""
     rows, changed = _changed(docs, length)
-    found = changed.select(F.col("doc_id").alias("rep"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans")
+    found = changed.select(F.col("doc_id").alias("rep"), "n_removed", "n_spans", "kept_sha256", "spans")
     out = rows.join(found, "rep", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans",
@@ -461,7 +463,7 @@ def removals(docs: DataFrame, length: int = 200) -> DataFrame:
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with every repeated string cut out of ``text`` (bytes of a character that was cut apart go too) and ``n_chars`` renewed."""
     rows, changed = _changed(docs, length)
-    found = rows.join(changed.select(F.col("doc_id").alias("rep"), F.decode(F.col("kept"), F.lit("UTF-8")).alias("_kept")), "rep")
+    found = rows.join(changed.select(F.col("doc_id").alias("rep"), F.col("kept").alias("_kept")), "rep")
     found = found.select(F.col("doc_id").alias("_id"), "_kept").dropDuplicates(["_id"])
     out = docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left")
     text = F.coalesce("_kept", "text")
