@@ -7,7 +7,7 @@ frozen after learning, so the code length of a text is exact and independent of
 the text in the fewest bits is predicted, and the score is its posterior under equal priors.
 
 Counts are gathered over all learning rows. The frozen trees keep the ``max_nodes`` commonest (context, byte) pairs of
-each order, so what is broadcast is at most ``4 * max_nodes * (4 + 4 * languages)`` bytes; ``max_languages`` bounds the
+each order (see ``commonest``), so what is broadcast is at most ``4 * max_nodes * (4 + 4 * languages)`` bytes; ``max_languages`` bounds the
 languages (the commonest stay).
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or when nothing was learned; texts of any
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ngrams import gram_counts
+from .ngrams import commonest, gram_counts
 from .runtime import discard, materialise
 
 ORDERS = (4, 3, 2, 1)
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, max_nodes: int = 150_000, max_languages: int = 32) ->
         level = full.where(F.col("label").isin(languages))
         if k < max(ORDERS):
             level = level.groupBy("label", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        top = level.orderBy(F.desc("n"), "gram", "label").limit(max_nodes).toPandas()
+        top = commonest(level, "gram", max_nodes).toPandas()
         grams[k] = list(zip(top["label"].map(number), top["gram"], top["n"], strict=True))
     discard(full)
     return Trees(languages, grams)

@@ -1,82 +1,8 @@
-"""Shared-storage helpers: materialised intermediates, connected components, table reading."""
+"""Shared-storage helpers of the library, under the names used here."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..operators.components import connected_components
+from ..storage import discard, materialise, n_partitions, shared_dir, table
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; any path that Spark's readers open."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(spark.sparkContext, "_weft_shared", None)
-        if not named:
-            named = spark.sparkContext._weft_shared = f"file://{tempfile.mkdtemp(prefix='weft-')}"
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a materialised table that nothing lazy refers to any more."""
-    path = getattr(df, "_weft_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def n_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component) for every endpoint of ``edges(a, b)``: component is the smallest id reachable.
-
-    Alternating large-star and small-star rewrites: rows stay linear in the edges, hubs are pre-aggregated with
-    ``min`` before anything is joined, and the number of rounds grows with the logarithm of the diameter. Only
-    one number (a checksum of the edge set) reaches the driver in a round.
-    """
-    cur = materialise(
-        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
-    )
-    seen = None
-    for _ in range(max_rounds):
-        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low2, "a")
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-            .select("e.*")
-            .where("a != b")
-            .distinct()
-        )
-        nxt = materialise(small, "cc")
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(cur)
-        cur = nxt
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    star = cur.groupBy("a").agg(F.min("b").alias("component"))
-    roots = cur.select(F.col("b").alias("id")).distinct().join(star.select(F.col("a").alias("id")), "id", "left_anti")
-    return star.select(F.col("a").alias("id"), "component").unionByName(roots.select("id", F.col("id").alias("component")))
+__all__ = ["connected_components", "discard", "materialise", "n_partitions", "shared_dir", "table"]

@@ -181,7 +181,11 @@ def _candidates(scattered: DataFrame) -> DataFrame:
 
 
 def _segments(cand: DataFrame, length: int) -> DataFrame:
-    """``h, doc_id, start, windows, copies, bytes`` of each candidate run."""
+    """``h, doc_id, start, windows, copies, bytes`` of each candidate run.
+
+    Runs with the same bytes within a batch repeat for certain: one of them goes to the block of its anchor, counted as copies, and
+    the others pass by it (without bytes). A passage in very many documents is so collapsed before it is shuffled.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -191,22 +195,31 @@ def _segments(cand: DataFrame, length: int) -> DataFrame:
         names = ["h", "doc_id", "start", "windows", "copies", "bytes"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
-        def made(cols):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
+        def made(seen):
+            rows = []
+            for (h, cut), refs in seen.items():
+                copies = sum(r[3] for r in refs)
+                rows.append((h, *refs[0][:3], copies, cut))
+                rows.extend((doc * 0x9E3779B1 + start & 0x7FFFFFFF, doc, start, size, 2, None) for doc, start, size, _ in refs[1:])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        seen: dict[tuple[int, bytes], list] = {}
+        held = 0
         for batch in batches:
-            cols, held = [[] for _ in names], 0
             for doc, text, runs, copies in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for start, h, size in np.frombuffer(b"".join(runs), kind).tolist():
                     cut = text[start : start + size + length - 1]
-                    for c, v in zip(cols, (h - (1 << 64) if h >> 63 else h, doc, start, size, copies, cut), strict=True):
-                        c.append(v)
-                    held += len(cut)
-                if held > 4 << 20:
-                    yield made(cols)
-                    cols, held = [[] for _ in names], 0
-            if cols[0]:
-                yield made(cols)
+                    key = (h - (1 << 64) if h >> 63 else h, cut)
+                    if key not in seen:
+                        seen[key] = []
+                        held += len(cut)
+                    seen[key].append((doc, start, size, copies))
+                    held += 64
+                if held > 16 << 20:
+                    yield made(seen)
+                    seen, held = {}, 0
+        if seen:
+            yield made(seen)
 
     return cand.select("doc_id", "text", "runs", "copies").mapInArrow(run, "h long, doc_id long, start long, windows int, copies long, bytes binary")
 
@@ -363,8 +376,10 @@ def _solve(segments: DataFrame, length: int, cells: int, limit: int = 4 << 20) -
         doc, begin, wins, copies = (table[c].to_numpy() for c in ("doc_id", "start", "windows", "copies"))
         key = table["h"].to_numpy()
         data = table["bytes"].to_pylist()
+        passed = [i for i, x in enumerate(data) if x is None]
+        docs, froms = doc[passed].tolist(), begin[passed].tolist()
+        tos = (begin[passed] + wins[passed]).tolist()
         order = np.argsort(key, kind="stable")
-        docs, froms, tos = [], [], []
 
         def settle(which):
             place: dict[bytes, int] = {}
@@ -388,6 +403,8 @@ def _solve(segments: DataFrame, length: int, cells: int, limit: int = 4 << 20) -
 
         block, held, last = [], 0, None
         for i in order.tolist():
+            if data[i] is None:
+                continue
             if held > limit and key[i] != last:
                 settle(block)
                 block, held = [], 0
