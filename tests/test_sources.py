@@ -10,10 +10,10 @@ from weftgraph.streaming import status
 def test_blobs(spark, tmp_path):
     store = BlobStore(spark, f"file://{tmp_path}/blobs")
     store.upload("docs", "some/where/a.txt", b"one\ftwo")
-    store.upload("docs", "b.txt", b"")
+    store.upload("docs", "b.txt", b"x")
     assert store.download("docs", "a.txt") == b"one\ftwo"
     pages = {(r["doc_id"], r["page_no"]): r["text"] for r in text_pages(store.read("docs")).collect()}
-    assert pages == {("a.txt", 0): "one", ("a.txt", 1): "two", ("b.txt", 0): ""}
+    assert pages == {("a.txt", 0): "one", ("a.txt", 1): "two", ("b.txt", 0): "x"}
     assert store.delete("docs", "b.txt") and not store.delete("docs", "b.txt")
     store.clear("docs")
     with pytest.raises(FileNotFoundError):

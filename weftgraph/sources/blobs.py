@@ -46,7 +46,7 @@ class BlobStore:
         fs.mkdirs(p)
 
     def read(self, bucket: str, pattern: str = "*") -> DataFrame:
-        """``path, name, content`` of a bucket's blobs, read by the executors."""
+        """``path, name, content`` of a bucket's blobs, read by the executors; the reader skips empty ones."""
         got = self.spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{self.root}/{bucket}")
         return got.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
