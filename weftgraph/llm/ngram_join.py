@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .runtime import connected_components, discard, materialise, n_partitions
 
-UNIT_BYTES = 12 << 20
+UNIT_BYTES = 8 << 20
 UNIT_DOCS = 40_000
 #: Occurrences within a unit from which a shingle travels as a count.
 COMMON = 32
+#: Occurrences in one row of those that go straight on.
+PASSED = 8192
 #: Classes in a block of a region.
-BLOCK = 256
+BLOCK = 96
 _SCATTER = "bucket long, unit long, kind int, at binary, lo binary, hi binary"
 _FREQ = "unit long, kind int, at binary, lo binary, hi binary, df binary"
 LIGHT, META, COMMON_ROWS, COMMON_COUNTS = 0, 1, 2, 3
@@ -78,7 +80,8 @@ def _scatter(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                     total = np.zeros(len(v) + 1, np.uint64)
                     np.cumsum(tc.mix(v + np.uint64(salt)), out=total[1:])
                     sig[i, live] = total[first[live] + n[live].astype(np.int64)] - total[first[live]]
-            out = [(unit % buckets, unit, META, np.asarray(ids, "<i8").tobytes(), n.tobytes(), sig.astype("<u8").tobytes())]
+            spread = lambda i: int(tc.mix(np.array([unit + i], np.uint64))[0] % np.uint64(buckets))
+            out = [(spread(0), unit, META, np.asarray(ids, "<i8").tobytes(), n.tobytes(), sig.astype("<u8").tobytes())]
             if len(v):
                 h = v >> np.uint64(16)
                 uniq, inv, count = np.unique(h, return_inverse=True, return_counts=True)
@@ -86,8 +89,10 @@ def _scatter(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 heavy = often[inv]
                 out.extend(rows_of(r[~heavy], h[~heavy], LIGHT, "<u2"))
                 if heavy.any():
-                    lo, hi = split(h[heavy])
-                    out.append((unit % buckets, unit, COMMON_ROWS, r[heavy].astype("<u2").tobytes(), lo.tobytes(), hi.tobytes()))
+                    own = np.flatnonzero(heavy)
+                    for i in range(0, len(own), PASSED):
+                        lo, hi = split(h[own[i : i + PASSED]])
+                        out.append((spread(i + 1), unit, COMMON_ROWS, r[own[i : i + PASSED]].astype("<u2").tobytes(), lo.tobytes(), hi.tobytes()))
                     out.extend(rows_of(count[often], uniq[often], COMMON_COUNTS, "<u4"))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3], strict=True)],
