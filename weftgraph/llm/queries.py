@@ -112,6 +112,28 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(c) AS
 """
 
 
+#: Every 200-byte window by its digest; covered bytes as islands of window starts; the rest is what lies between islands.
+_OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d)
+), r AS (SELECT s FROM p GROUP BY s HAVING count(*) > 1
+), c AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 200 THEN 1 ELSE 0 END AS cut FROM p SEMI JOIN r USING (s) WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), g AS (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM c
+), t AS (SELECT doc_id, span, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS after, lead(a) OVER w IS NULL AS is_last FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), x AS (
+  SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * after + 1, 2 * (a - after)) || CASE WHEN is_last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+  FROM k JOIN d USING (doc_id) GROUP BY k.doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only where SQL gives the whole result; the others are tested against brute force in ``tests/llm``."""
-    return {"op3_chat_format": _OP3, "op5_ngram_join": _OP5}
+    return {"op3_chat_format": _OP3, "op5_ngram_join": _OP5, "op9_suffix_dedup": _OP9}
