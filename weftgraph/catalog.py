@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries, text_queries
+from .plans import client_queries, graph_queries, text_queries
 
-_MODULES = [graph_queries, text_queries]
+_MODULES = [graph_queries, text_queries, client_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
