@@ -28,10 +28,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialise, n_partitions
+from .runtime import materialise, n_partitions
 
 K = 48
 UNIT_BYTES = 12 << 20
+#: Runs in one row of those that are passed on.
+PASSED = 1024
+#: Up to so many ids (8 bytes each) of texts that lose something are broadcast.
+BROADCAST_IDS = 1_000_000
 #: A longer text is scanned in pieces of this many windows.
 PIECE = 4 << 20
 _POS_BITS = 23
@@ -101,15 +105,21 @@ def _scatter(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        from .textcore import mix as tc_mix
+
         def flush(cols):
             ids, start, count, h = (np.concatenate(c) for c in cols)
             uniq, inv, seen = np.unique(h, return_inverse=True, return_counts=True)
             known = seen[inv] > 1
-            bucket = ((uniq >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            # anchors are the smallest hashes around, so their own high bits are all but zero
+            bucket = ((tc_mix(uniq) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             out = []
             if known.any():
-                spread = -1 - int(h[0] % np.uint64(buckets))
-                out.append((spread, ids[known].tobytes(), start[known].tobytes(), count[known].tobytes(), h[known].tobytes()))
+                pass_by = np.flatnonzero(known)
+                for at in range(0, len(pass_by), PASSED):  # small rows, spread evenly
+                    w = pass_by[at : at + PASSED]
+                    spread = -1 - int(tc_mix(h[w[:1]] + np.uint64(at))[0] % np.uint64(buckets))
+                    out.append((spread, ids[w].tobytes(), start[w].tobytes(), count[w].tobytes(), h[w].tobytes()))
             order = np.argsort(bucket[inv], kind="stable")
             first = np.zeros(len(h), bool)
             first[np.unique(inv, return_index=True)[1]] = True
@@ -457,11 +467,12 @@ def _changed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     rows = marks.join(groups.select("sha", "rep"), "sha")
     runs = _candidates(_scatter(src, length, 4 * parts)).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
     reps = groups.select(F.col("rep").alias("doc_id"), "copies")
-    cand = materialise(src.join(runs.join(reps, "doc_id"), "doc_id").select("doc_id", "text", "runs", "copies"), "candidates")
-    pairs = _solve(_segments(cand, length), length, 8 * parts)
-    pairs = pairs.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    changed = materialise(_apply(cand.join(pairs, "doc_id"), length).dropDuplicates(["doc_id"]), "changed")
-    discard(cand)
+    cand = src.join(runs.join(reps, "doc_id"), "doc_id").select("doc_id", "text", "runs", "copies")
+    pairs = _solve(_segments(cand, length), length, 8 * parts).distinct()
+    pairs = materialise(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "pairs")
+    if pairs.count() <= BROADCAST_IDS:  # then only texts that lose something are shuffled; the join below holds for any number
+        src = src.join(F.broadcast(pairs.select("doc_id")), "doc_id", "left_semi")
+    changed = materialise(_apply(src.join(pairs, "doc_id"), length).dropDuplicates(["doc_id"]), "changed")
     return rows, changed
 
 
