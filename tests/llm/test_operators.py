@@ -395,8 +395,9 @@ def test_suffix_order_and_repeats():
             assert hit.tolist() == [count[s[i : i + 16]] > 1 for i in range(len(s) - 15)]
 
 
-@pytest.mark.parametrize("length", [200, 64])
-def test_removals(spark, odd, empty, length):
+@pytest.mark.parametrize("length,hot", [(200, 20_000), (64, 20_000), (200, 1), (64, 3)])
+def test_removals(spark, odd, empty, length, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
     rows = [(d, (t or "").encode()) for d, t in plain(odd) if d is not None]
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removals(odd, length).collect() if r["doc_id"] is not None), key=repr)
     assert got == brute_removals(rows, length)
