@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = getattr(spark.sparkContext, "_weft_shared", None)
         if not named:
-            named = spark.sparkContext._weft_shared = f"file://{tempfile.mkdtemp(prefix='weft-')}"
+            own = tempfile.mkdtemp(prefix="weft-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = spark.sparkContext._weft_shared = f"file://{own}"
     return named.rstrip("/")
 
 
