@@ -98,15 +98,17 @@ def iso_now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def main_topic(sample: Column, filename: Column) -> Column:
-    """Topic of a document by keywords of its first 15,000 characters and its file name."""
+#: (pattern in the text, pattern in the file name, topic), tried in order.
+TOPICS = (
+    ("attention|transformer", "attention is all you need", "Transformer Architecture"),
+    ("voting|blockchain|zkp", "voting", "Secure Online Voting System"),
+)
+
+
+def main_topic(sample: Column, filename: Column, topics: tuple[tuple[str, str, str], ...] = TOPICS) -> Column:
+    """Topic of a document by keywords of its first 15,000 characters and its file name; else a title from the file name."""
     text, name = F.lower(F.substring(sample, 1, 15000)), F.lower(filename)
-    return (
-        F.when(text.rlike("attention|transformer") | F.contains(name, F.lit("attention is all you need")), "Transformer Architecture")
-        .when(text.rlike("voting|blockchain|zkp") | F.contains(name, F.lit("voting")), "Secure Online Voting System")
-        .when(F.contains(text, F.lit("knowledgeweb")) | name.rlike("blueprint|mindmprv"), "KnowledgeWeb AI Architecture")
-        .otherwise(file_stem_title(filename))
-    )
+    return F.coalesce(*[F.when(text.rlike(t) | name.rlike(n), topic) for t, n, topic in topics], file_stem_title(filename))
 
 
 def repair_json(raw: Column, schema: str = "nodes array<struct<label:string,name:string,description:string>>, relationships array<struct<from:string,to:string,type:string>>") -> Column:

@@ -84,7 +84,7 @@ def url_names(spark, sf):
 @query(
     "main_topics",
     """WITH t AS (SELECT doc_id, lower(substr(text, 1, 15000)) AS t, source FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, 'attention|transformer') THEN 'Transformer Architecture'
-    WHEN regexp_matches(t, 'voting|blockchain|zkp') THEN 'Secure Online Voting System' WHEN contains(t, 'knowledgeweb') THEN 'KnowledgeWeb AI Architecture' ELSE upper(left(source, 1)) || substr(source, 2) || ' Notes' END AS topic FROM t""",
+    WHEN regexp_matches(t, 'voting|blockchain|zkp') THEN 'Secure Online Voting System' ELSE upper(left(source, 1)) || substr(source, 2) || ' Notes' END AS topic FROM t""",
 )
 def main_topics(spark, sf):
     d = table(spark, sf, "documents")
