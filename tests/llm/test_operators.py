@@ -414,7 +414,7 @@ def test_long_texts_are_scanned_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     cut = list(suffix_dedup._pieces(iter(docs.toArrow().to_batches()), 200))
     assert len(cut) > len(pieces)
-    runs = lambda ps: sorted({(i[r], int(b[r] + s + k)) for i, b, raw, off in ps for r, s, n, _ in zip(*map(np.ndarray.tolist, suffix_dedup.anchor_runs(raw, off, 200)), strict=True) for k in range(n)})
+    runs = lambda ps: sorted({(i[r], int(b[r] + s + k)) for i, b, raw, off in ps for r, s, n, _, _ in zip(*map(np.ndarray.tolist, suffix_dedup.anchor_runs(raw, off, 200)), strict=True) for k in range(n)})
     assert runs(pieces) == runs(cut) == sorted({(1, i) for i in range(len(body) - 199)} | {(2, i) for i in range(604 - 199)})
 
 

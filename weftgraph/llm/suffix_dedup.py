@@ -14,7 +14,8 @@ are repeats:
 4. The repeated windows of each document are united to spans.
 
 Runs are collapsed when their bytes are equal, so a passage that very many documents share is sorted once; what stays together are
-the runs of one anchor, which for a passage in many documents are those at its edges.
+the differing runs of one anchor. An anchor with over ``HOT_RUNS`` of them (the edges of such a passage) is not left to one block: the windows
+of its runs are counted one by one by 128-bit fingerprints (``_hot_windows``), which splits at any window.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; rows with a null ``doc_id`` take no part and get
 null results in ``removals`` and stay untouched in ``dedup``; repeated rows are copies of one another (so all of their windows
@@ -34,6 +35,8 @@ K = 48
 UNIT_BYTES = 12 << 20
 #: Runs in one row of those that are passed on.
 PASSED = 1024
+#: Different runs of one anchor from which it is hot.
+HOT_RUNS = 50_000
 #: Up to so many ids (8 bytes each) of texts that lose something are broadcast.
 BROADCAST_IDS = 1_000_000
 #: A longer text is scanned in pieces of this many windows.
@@ -42,15 +45,16 @@ _POS_BITS = 23
 
 
 def anchor_runs(raw, off, length: int, k: int = K):
-    """Runs of windows with one anchor: (row, first window, number of windows, anchor hash); windows count from the row's start."""
+    """Runs of windows with one anchor: (row, first window, number of windows, anchor hash, hash of the run); windows count from the row's start."""
     import numpy as np
 
     from . import textcore as tc
 
     none = np.empty(0, np.int64)
     n = len(raw)
+    no_hash = np.empty(0, np.uint64)
     if n < length:
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, no_hash, no_hash
     fwd, inv = tc._powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(tc._TABLE[False][raw] * fwd[:n], out=sums[1:])
@@ -68,13 +72,15 @@ def anchor_runs(raw, off, length: int, k: int = K):
     inside = np.arange(len(at)) + length <= off[row + 1]
     pick = np.flatnonzero(inside)
     if not len(pick):
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, no_hash, no_hash
     at, row = at[pick], row[pick]
     new = np.ones(len(pick), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(pick)))
-    return row[first], pick[first] - off[row[first]], count, h[at[first]]
+    begin = pick[first]
+    whole = tc.mix((sums[begin + count + length - 1] - sums[begin]) * inv[begin])
+    return row[first], begin - off[row[first]], count, h[at[first]], whole
 
 
 def _pieces(batches: Iterator, length: int) -> Iterator:
@@ -108,9 +114,11 @@ def _scatter(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         from .textcore import mix as tc_mix
 
         def flush(cols):
-            ids, start, count, h = (np.concatenate(c) for c in cols)
+            ids, start, count, h, whole = (np.concatenate(c) for c in cols)
             uniq, inv, seen = np.unique(h, return_inverse=True, return_counts=True)
             known = seen[inv] > 1
+            # equal runs are collapsed before they meet in a block, so only different ones count there
+            different = np.bincount(inv[np.unique(tc_mix(h + tc_mix(whole)), return_index=True)[1]], minlength=len(uniq))
             # anchors are the smallest hashes around, so their own high bits are all but zero
             bucket = ((tc_mix(uniq) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             out = []
@@ -125,8 +133,8 @@ def _scatter(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             first[np.unique(inv, return_index=True)[1]] = True
             order = order[first[order]]
             where = bucket[inv][order]
-            # a notice of a known anchor has no windows of its own and counts twice
-            size = np.where(known, 0, count)[order].astype(np.int16)
+            # a notice of a known anchor has no windows of its own but, negative, the number of its different runs
+            size = np.where(known, -np.minimum(different[inv], 32000), count)[order].astype(np.int16)
             ids, start, h = ids[order], start[order], h[order]
             cut = np.flatnonzero(np.diff(where, prepend=where[:1] + np.uint64(1)))
             for a, b in zip(cut, [*cut[1:], len(where)], strict=True):
@@ -136,24 +144,24 @@ def _scatter(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 names=["bucket", "ids", "start", "size", "h"],
             )
 
-        cols, held = [[], [], [], []], 0
+        cols, held = [[], [], [], [], []], 0
         for ids, base, raw, off in _pieces(batches, length):
-            row, start, count, h = anchor_runs(raw, off, length)
+            row, start, count, h, whole = anchor_runs(raw, off, length)
             if len(row):
-                for c, v in zip(cols, (np.asarray(ids, np.int64)[row], (start + base[row]).astype(np.int64), count.astype(np.int16), h), strict=True):
+                for c, v in zip(cols, (np.asarray(ids, np.int64)[row], (start + base[row]).astype(np.int64), count.astype(np.int16), h, whole), strict=True):
                     c.append(v)
             held += len(raw)
             if held > UNIT_BYTES and cols[0]:
                 yield flush(cols)
-                cols, held = [[], [], [], []], 0
+                cols, held = [[], [], [], [], []], 0
         if cols[0]:
             yield flush(cols)
 
     return docs.mapInArrow(run, "bucket long, ids binary, start binary, size binary, h binary")
 
 
-def _candidates(scattered: DataFrame) -> DataFrame:
-    """``doc_id, runs``: packed (first window, windows, anchor) of the runs whose anchor occurs again."""
+def _candidates(scattered: DataFrame, hot_runs: int) -> DataFrame:
+    """``doc_id, runs, hot``: packed (first window, windows, anchor) of the runs whose anchor occurs again; in rows of their own the hot anchors."""
 
     def run(table):
         import numpy as np
@@ -167,13 +175,14 @@ def _candidates(scattered: DataFrame) -> DataFrame:
         own = [i for i, b in enumerate(bucket) if b >= 0]
         passed = [i for i, b in enumerate(bucket) if b < 0]
         take = lambda which: {c: [cols[c][i] for i in which] for c in cols}
-        parts = []
+        parts, hot = [], np.empty(0, np.int64)
         if own:
             t = take(own)
             h, size = cat("h", "<u8", t), cat("size", "<i2", t)
             uniq, inv = np.unique(h, return_inverse=True)
-            total = np.bincount(inv, weights=np.where(size == 0, 2, 1))
+            total = np.bincount(inv, weights=np.maximum(-size.astype(np.int64), 1))
             keep = (total[inv] > 1) & (size > 0)
+            hot = uniq[total > hot_runs].view(np.int64)
             parts.append((cat("ids", "<i8", t)[keep], cat("start", "<i8", t)[keep], size[keep], h[keep]))
         if passed:
             t = take(passed)
@@ -185,12 +194,66 @@ def _candidates(scattered: DataFrame) -> DataFrame:
         rec["start"], rec["h"], rec["size"] = start[order], h[order], size[order]
         cut = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.empty(0, np.int64)
         ends = [*cut[1:], len(ids)] if len(cut) else []
-        return pa.table([pa.array(ids[cut], pa.int64()), pa.array([rec[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["doc_id", "runs"])
+        docs = [*ids[cut].tolist(), *[None] * len(hot)]
+        blobs = [*(rec[a:b].tobytes() for a, b in zip(cut, ends, strict=True)), *[None] * len(hot)]
+        flags = [*[None] * len(cut), *hot.tolist()]
+        return pa.table([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary()), pa.array(flags, pa.int64())], names=["doc_id", "runs", "hot"])
 
-    return scattered.groupBy("bucket").applyInArrow(run, "doc_id long, runs binary")
+    return scattered.groupBy("bucket").applyInArrow(run, "doc_id long, runs binary, hot long")
 
 
-def _segments(cand: DataFrame, length: int) -> DataFrame:
+def window_prints(raw, count: int, length: int):
+    """128-bit fingerprints, as two signed columns, of the first ``count`` windows of a byte array."""
+    import numpy as np
+
+    from . import textcore as tc
+
+    fwd, inv = tc._powers(len(raw) + 1)
+    out = []
+    for table in (tc._TABLE[False], tc.SECOND_TABLE):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(table[raw] * fwd[: len(raw)], out=sums[1:])
+        out.append(tc.mix((sums[length : length + count] - sums[:count]) * inv[:count]).view(np.int64))
+    return out
+
+
+def _hot_windows(cand: DataFrame, hot: list[int], length: int) -> DataFrame:
+    """``doc_id, a, b``: repeated windows of runs with a hot anchor, by counting fingerprints of single windows.
+
+    Equal runs of a batch repeat for certain and are counted once, with their copies. Keys are as many as different windows, copies are
+    summed before the shuffle, and the join back can be split anywhere.
+    """
+    known = cand.sparkSession.sparkContext.broadcast(frozenset(h & 0xFFFFFFFFFFFFFFFF for h in hot))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        kind = [("start", "<i8"), ("h", "<u8"), ("size", "<i2")]
+        names = ["one", "two", "doc_id", "a", "b", "copies"]
+        for batch in batches:
+            seen: dict[bytes, list] = {}
+            for doc, text, runs, copies in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for start, h, size in np.frombuffer(b"".join(runs), kind).tolist():
+                    if h in known.value:
+                        seen.setdefault(text[start : start + size + length - 1], []).append((doc, start, size, copies))
+            rest = [(None, None, d, s, s + n, 2) for refs in seen.values() for d, s, n, _ in refs[1:]]
+            if rest:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rest, strict=True)], names=names)
+            for cut, refs in seen.items():
+                doc, start, size, _ = refs[0]
+                one, two = window_prints(np.frombuffer(cut, np.uint8), size, length)
+                at = np.arange(start, start + size)
+                full = lambda v: pa.array(np.full(size, v, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), full(doc), pa.array(at), pa.array(at + 1), full(sum(r[3] for r in refs))], names=names)
+
+    rows = materialise(cand.select("doc_id", "text", "runs", "copies").mapInArrow(run, "one long, two long, doc_id long, a long, b long, copies long"), "hot-windows")
+    again = rows.where("one is not null").groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
+    cols = ["doc_id", "a", "b"]
+    return rows.join(again, ["one", "two"], "left_semi").select(*cols).unionByName(rows.where("one is null").select(*cols))
+
+
+def _segments(cand: DataFrame, length: int, hot: list[int]) -> DataFrame:
     """``h, doc_id, start, windows, copies, bytes`` of each candidate run.
 
     Runs with the same bytes within a batch repeat for certain: one of them goes to the block of its anchor, counted as copies, and
@@ -202,6 +265,7 @@ def _segments(cand: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         kind = [("start", "<i8"), ("h", "<u8"), ("size", "<i2")]
+        skip = frozenset(h & 0xFFFFFFFFFFFFFFFF for h in hot)
         names = ["h", "doc_id", "start", "windows", "copies", "bytes"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
@@ -218,6 +282,8 @@ def _segments(cand: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for doc, text, runs, copies in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for start, h, size in np.frombuffer(b"".join(runs), kind).tolist():
+                    if h in skip:
+                        continue
                     cut = text[start : start + size + length - 1]
                     key = (h - (1 << 64) if h >> 63 else h, cut)
                     if key not in seen:
@@ -248,9 +314,10 @@ def two_stage_order(text, ends, live):
     nxt[:-1] = text[1:]
     nxt[ends - 1] = -1
     differs = nxt != text
-    idx = np.where(differs, np.arange(n), n)
+    idx = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
     idx = np.minimum.accumulate(idx[::-1])[::-1]
     smaller = (nxt > text)[idx]  # smaller than its successor
+    del idx, differs, nxt
     # stage one: sort those directly, eight bytes at a time; only ties go on
     wide = np.zeros(n + 8, np.uint64)
     wide[:n] = text
@@ -346,7 +413,7 @@ def repeated_windows(segments: list[bytes], windows: list[int], length: int) ->
     text = np.frombuffer(b"".join(segments), np.uint8)
     stop = np.cumsum(sizes)
     start = stop - sizes
-    ends = np.repeat(stop, sizes)
+    ends = np.repeat(stop.astype(np.int32), sizes)
     n = len(text)
     counts = np.asarray(windows, np.int64)
     window = np.arange(n) - np.repeat(start, sizes) < np.repeat(counts, sizes)
@@ -354,10 +421,10 @@ def repeated_windows(segments: list[bytes], windows: list[int], length: int) ->
     nxt = np.full(n, -1, np.int16)
     nxt[:-1] = text[1:]
     nxt[ends - 1] = -1
-    idx = np.where(nxt != text, np.arange(n), n)
+    idx = np.where(nxt != text, np.arange(n, dtype=np.int32), np.int32(n))
     idx = np.minimum.accumulate(idx[::-1])[::-1]
     smaller = (nxt > text)[idx]
-    stops = np.where(smaller, np.arange(n), n)
+    stops = np.where(smaller, np.arange(n, dtype=np.int32), np.int32(n))
     stops = np.minimum.accumulate(stops[::-1])[::-1]
     final = start + counts - 1
     close = np.minimum(stops[final], stop - 1)
@@ -465,10 +532,17 @@ def _changed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     marks = materialise(src.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "marks")
     groups = materialise(marks.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     rows = marks.join(groups.select("sha", "rep"), "sha")
-    runs = _candidates(_scatter(src, length, 4 * parts)).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    # a hot anchor has more runs than a block should hold; there are at most some hundred thousand of them, whatever the input
+    hot_runs = max(HOT_RUNS, marks.count() // 10_000)
+    found = materialise(_candidates(_scatter(src, length, 4 * parts), hot_runs), "runs")
+    hot = [r["hot"] for r in found.where("hot is not null").select("hot").collect()]
+    runs = found.where("runs is not null").groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
     reps = groups.select(F.col("rep").alias("doc_id"), "copies")
     cand = src.join(runs.join(reps, "doc_id"), "doc_id").select("doc_id", "text", "runs", "copies")
-    pairs = _solve(_segments(cand, length), length, 8 * parts).distinct()
+    pairs = _solve(_segments(cand, length, hot), length, 8 * parts)
+    if hot:
+        pairs = pairs.unionByName(_hot_windows(cand, hot, length))
+    pairs = pairs.distinct()
     pairs = materialise(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "pairs")
     if pairs.count() <= BROADCAST_IDS:  # then only texts that lose something are shuffled; the join below holds for any number
         src = src.join(F.broadcast(pairs.select("doc_id")), "doc_id", "left_semi")

@@ -28,6 +28,8 @@ def _byte_table(lower: bool) -> np.ndarray:
 
 
 _TABLE = {True: _byte_table(True), False: _byte_table(False)}
+#: Another table, for a second hash that is independent of the first.
+SECOND_TABLE = np.random.Generator(np.random.PCG64(19991231)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: For comparison regardless of punctuation: ASCII white space, controls and punctuation all separate words.
