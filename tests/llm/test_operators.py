@@ -333,6 +333,26 @@ def test_code_lengths_are_exact():
             assert got[d, i] == pytest.approx(sum(bits(name, g, 4) for g in codes[off[d] : off[d + 1]]), rel=1e-5)
 
 
+def test_language_model_keeps_every_gram(spark, odd):
+    """Over the 150,000 pairs of an order that used to stay; parts of the longest order add up to the whole."""
+    rnd = random.Random(6)
+    rows = [(i, "".join(chr(rnd.randrange(33, 127)) for _ in range(4000)), lang) for i, lang in enumerate(["aa"] * 47 + ["bb"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = len({(lang, ("\n\n\n" + t)[i : i + 4]) for _, t, lang in rows for i in range(len(t))})
+    parts = langid.learn(docs)
+    trees = parts.trees(0)
+    assert want > 150_000 and parts.number == 1
+    raw = np.frombuffer(rows[-1][1].encode(), np.uint8)
+    found = trees.bits(ngrams.codes(raw, np.array([0, len(raw)])), 4)
+    assert len(trees.tables[4][0]) == len({("\n\n\n" + t)[i : i + 4] for _, t, _ in rows for i in range(len(t))})
+    assert (found[1] < 8).all()  # the rare language has all of its own contexts
+    both = odd.unionByName(odd.limit(7))
+    one = langid.identify(both).collect()
+    split = langid.identify(both, cells=50).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang_pred"], round(r["score"], 6))
+    assert sorted(map(key, one)) == sorted(map(key, split)) and langid.learn(both, cells=50).number > 2
+
+
 # ---- 7 quality ------------------------------------------------------------------------------------------------------------
 
 

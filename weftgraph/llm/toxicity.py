@@ -6,9 +6,9 @@ for nothing. A noisy channel prices these readings and a byte 4-gram language mo
 cheapest restored text. Words of restored text are then weighed by the log-odds of their toxic and clean document frequencies
 (the whole word or its first letters), and a logistic fit turns the sum over distinct words into a score.
 
-The language model is counted over all rows that are not held out. Labels come from a bounded sample: of each class the ``max_rows``
-labelled, not held out ids with the smallest hash. The lexicon has at most ``max_features`` entries. All of this is
-broadcast, within those bounds.
+The language model is counted over all rows that are not held out, and keeps every gram: it is broadcast as sorted arrays of 8 bytes for each
+different 4-gram, so it grows with the variety of the text. Labels come from a bounded sample: of each class the ``max_rows``
+labelled, not held out ids with the smallest hash. The lexicon has at most ``max_features`` entries.
 
 Defined results: null and empty texts have no evidence and get the fitted floor; without labelled documents of both classes every score is
 the share of toxic ones (0 without labels); null ids are not held out and not learned from; of several labels of an id the highest
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .langid import Trees, held_out
+from .langid import Trees, _rows, held_out
 from .ngrams import commonest, gram_counts
 from .runtime import discard, materialise
 
@@ -41,29 +41,26 @@ _STRETCH = re.compile(r"(\w)\1\1")
 _SIGN = re.compile(r"[0-9@$!|+(<€£*#%._\-~'`^/\\]")
 _LETTER = re.compile(r"[^\W\d_]")
 CACHE_TOKENS = 400_000
+CACHE_GRAMS = 400_000
 
 
 class Restorer:
     """Viterbi decoding of character lattices under a byte 4-gram model."""
 
     def __init__(self, trees: Trees):
-        keys, bits = trees.tables[4]
         self.trees = trees
-        self.known = dict(zip(keys.tolist(), bits[0].tolist(), strict=True)) if len(bits) else {}
-        self.other: dict[int, float] = {}
+        self.cache: dict[int, float] = {}
 
     def _bits(self, context: bytes, byte: int) -> float:
         import numpy as np
 
         gram = int.from_bytes(context, "big") << 8 | byte
-        got = self.known.get(gram)
+        got = self.cache.get(gram)
         if got is None:
-            got = self.other.get(gram)
-            if got is None:
-                got = float(self.trees.bits(np.array([gram], np.uint32), 4)[0, 0]) if self.trees.languages else 8.0
-                if len(self.other) > 200_000:
-                    self.other.clear()
-                self.other[gram] = got
+            got = float(self.trees.bits(np.array([gram], np.uint32), 4)[0, 0]) if self.trees.languages else 8.0
+            if len(self.cache) >= CACHE_GRAMS:
+                self.cache.clear()
+            self.cache[gram] = got
         return got
 
     @staticmethod
@@ -216,7 +213,7 @@ def logistic(x, y, ridge: float = 1e-3, steps: int = 50):
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, least_docs: int = 4, least_share: float = 0.01, least_odds: float = 4.5, least_z: float = 2.6, max_nodes: int = 150_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, least_docs: int = 4, least_share: float = 0.01, least_odds: float = 4.5, least_z: float = 2.6) -> Model:
     import numpy as np
 
     spark = docs.sparkSession
@@ -224,11 +221,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     full = materialise(gram_counts(free, None), "charlm")
     grams = {}
     for k in (4, 3, 2, 1):
-        level = full if k == 4 else full.groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        top = commonest(level.select("gram", "n"), "gram", max_nodes).toPandas()
-        grams[k] = [(0, g, n) for g, n in zip(top["gram"].tolist(), top["n"].tolist(), strict=True)]
+        level = full if k == 4 else full.groupBy(F.lit("").alias("label"), F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+        grams[k] = _rows(level, [""])
     discard(full)
-    trees = Trees([""] if grams[4] else [], grams)
+    trees = Trees([""] if len(grams[4]) else [], grams)
 
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     order = F.xxhash64("doc_id")
