@@ -477,6 +477,47 @@ def test_lattice():
     assert toxicity.suspicious("l33t") and not toxicity.suspicious("2024") and not toxicity.suspicious("plain")
 
 
+def test_long_and_crowded_disguises_are_decoded_whole(spark, toxic):
+    docs, labels = toxic
+    model = toxicity.learn(docs, labels)
+    m = model.ready()
+    clean = " ".join("neat" for _ in range(40))
+    far = " ".join(" ".join(clean.replace(" ", "")))[:299].strip()
+    hidden = {
+        "run over 128 characters": far + " s c u m b a g",
+        "stretched token": "mor" + "o" * 80 + "n",
+        "dotted token": ".".join("lineneattent" * 6) + ".s.c.u.m.b.a.g",
+        "letters before it": "s u r e s c u m b a g",
+        "letters around it": "y o u m o r o n s o",
+    }
+    found = {k: m.evidence(t)[0] > 0 for k, t in hidden.items()}
+    assert all(found.values()), found
+    assert m.evidence(far)[0] == 0
+
+
+def test_restoring_is_exact(toxic):
+    """The cheapest of all readings, also where more than 64 contexts are open."""
+    import itertools
+
+    docs, labels = toxic
+    r = toxicity.learn(docs, labels).ready().reader.restorer
+
+    def cost(readings):
+        c, total = b"\n\n ", 0.0
+        for reading, price in readings:
+            total += price
+            for byte in reading.encode():
+                total += r._bits(c, byte)
+                c = c[1:] + bytes([byte])
+        return total + r._bits(c, 0x20)
+
+    for token in ("m0r*n", "*1*6*", "p4th-et1c", "*|*|*"):
+        best = min(itertools.product(*r.lattice(token)), key=cost)
+        got = r.restore(token)
+        same = [p for p in itertools.product(*r.lattice(token)) if "".join(x for x, _ in p) == got]
+        assert min(map(cost, same)) == pytest.approx(cost(best))
+
+
 # ---- kernels and pipeline --------------------------------------------------------------------------------------------------
 
 

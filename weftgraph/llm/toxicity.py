@@ -3,7 +3,8 @@
 Suspicious tokens (letters mixed with look-alike signs, stretched letters, letters set apart by spaces or signs) become character
 lattices: each sign may stand for itself or for the letters it resembles, a stretched letter for one or two, a separator
 for nothing. A noisy channel prices these readings and a byte 4-gram language model of the corpus prices the text that results; Viterbi finds the
-cheapest restored text. Words of restored text are then weighed by the log-odds of their toxic and clean document frequencies
+cheapest restored text. Tokens and runs of any length are decoded whole, and the lexicon is looked up at every position of a restored run
+of set-apart letters, which does not tell where its words part. Words of restored text are then weighed by the log-odds of their toxic and clean document frequencies
 (the whole word or its first letters), and a logistic fit turns the sum over distinct words into a score.
 
 The language model is counted over all rows that are not held out, and keeps every gram: it is broadcast as sorted arrays of 8 bytes for each
@@ -40,6 +41,7 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?:[ .\-_*~](?:[^\W_]|[@$!|+*])
 _STRETCH = re.compile(r"(\w)\1\1")
 _SIGN = re.compile(r"[0-9@$!|+(<€£*#%._\-~'`^/\\]")
 _LETTER = re.compile(r"[^\W\d_]")
+_PARTED = re.compile(r"[\s.\-_*~]+")
 CACHE_TOKENS = 400_000
 CACHE_GRAMS = 400_000
 
@@ -92,19 +94,24 @@ class Restorer:
         return slots
 
     def restore(self, token: str) -> str:
-        states: dict[bytes, tuple[float, str]] = {b"\n\n ": (0.0, "")}
+        """The cheapest reading of the whole token. All contexts are kept; readings are linked backwards, so time is linear in its length."""
+        states: dict[bytes, tuple] = {b"\n\n ": (0.0, None)}
         for slot in self.lattice(token):
-            nxt: dict[bytes, tuple[float, str]] = {}
-            for context, (cost, text) in states.items():
+            nxt: dict[bytes, tuple] = {}
+            for context, (cost, path) in states.items():
                 for reading, price in slot:
                     c, total = context, cost + price
                     for byte in reading.encode():
                         total += self._bits(c, byte)
                         c = c[1:] + bytes([byte])
                     if c not in nxt or total < nxt[c][0]:
-                        nxt[c] = (total, text + reading)
-            states = nxt if len(nxt) <= 64 else dict(sorted(nxt.items(), key=lambda x: x[1][0])[:64])
-        return min(states.items(), key=lambda x: x[1][0] + self._bits(x[0], 0x20))[1][1]
+                        nxt[c] = (total, (path, reading) if reading else path)
+            states = nxt
+        path, out = min(states.items(), key=lambda x: x[1][0] + self._bits(x[0], 0x20))[1][1], []
+        while path is not None:
+            path, reading = path
+            out.append(reading)
+        return "".join(reversed(out))
 
 
 def suspicious(token: str) -> bool:
@@ -123,7 +130,7 @@ class Reader:
         if got is None:
             low = token.lower().strip(_EDGE)
             got = low
-            if len(low) <= 64 and not low.isalpha() and suspicious(low) or _STRETCH.search(low) and len(low) <= 64:
+            if not low.isalpha() and suspicious(low) or _STRETCH.search(low):
                 if suspicious(bare := low.rstrip("!*#%$&")):
                     got = self.restorer.restore(bare)
                 elif bare:
@@ -135,20 +142,29 @@ class Reader:
         return got
 
     def spaced(self, text: str) -> list[str]:
-        """Restored words of letters that are set apart; also without their first or last letter, which may be a word of its own."""
-        out = []
-        for m in _SPACED.finditer(text.lower()):
-            run = m[0] if len(m[0]) <= 128 else m[0][:128]
-            if _LETTER.search(run):
-                word = self.restorer.restore(run)
-                out += [word, word[1:], word[:-1]]
-        return out
+        """Restored runs of letters that are set apart, whole and without what still parts them."""
+        runs = (m[0] for m in _SPACED.finditer(text.lower()))
+        return [_PARTED.sub("", self.restorer.restore(run)) for run in runs if _LETTER.search(run)]
 
 
 def keys_of(word: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys((word, *(word[:k] + "~" for k in (6, 5, 4) if len(word) >= k))))
 
 
+def lengths_of(keys) -> list[int]:
+    """Lengths of the whole words among the keys."""
+    return sorted({len(k) for k in keys if not k.endswith("~")})
+
+
+def keys_within(run: str, known, lengths: list[int]) -> Iterator[list[str]]:
+    """For each position of a restored run the known keys of the words that may begin there: nothing tells where its words part."""
+    for i in range(len(run)):
+        found = [k for n in lengths if n and i + n <= len(run) and (k := run[i : i + n]) in known]
+        found += [k for n in (6, 5, 4) if i + n <= len(run) and (k := run[i : i + n] + "~") in known]
+        if found:
+            yield found
+
+
 class Model:
     def __init__(self, trees: Trees, weights: dict[str, float], coef: tuple[float, float, float], floor: float):
         self.trees, self.weights, self.coef, self.floor = trees, weights, coef, floor
@@ -158,6 +174,7 @@ class Model:
         if self.reader is None:
             self.reader = Reader(Restorer(self.trees))
             self.cache: dict[str, str | None] = {}
+            self.lengths = lengths_of(self.weights)
         return self
 
     def _key(self, word: str) -> str | None:
@@ -179,10 +196,8 @@ class Model:
                 cache[t] = got
             if got is not None:
                 hits.add(got)
-        for word in self.reader.spaced(text):
-            got = self._key(word)
-            if got is not None:
-                hits.add(got)
+        for run in self.reader.spaced(text):
+            hits.update(max(found, key=self.weights.__getitem__) for found in keys_within(run, self.weights, self.lengths))
         return sum(self.weights[h] for h in sorted(hits)), len(tokens)
 
     def score(self, text: str | None) -> float:
@@ -244,13 +259,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            reader = shared.value.ready().reader
+            reader, wanted = shared.value.ready().reader, known.value
+            lengths = lengths_of(wanted or ())
             seen: Counter = Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    words = {reader.word(t) for t in set((text or "").split())} | set(reader.spaced(text or ""))
-                    keys = {k for w in words for k in keys_of(w)}
-                    seen.update(keys & known.value if known.value is not None else keys)
+                    words, runs = {reader.word(t) for t in set((text or "").split())}, reader.spaced(text or "")
+                    if wanted is None:  # candidates: of a run only itself, and without the letter that may be a word of its own
+                        seen.update({k for w in words.union(*((r, r[1:], r[:-1]) for r in runs)) for k in keys_of(w)})
+                    else:
+                        keys = {k for w in words for k in keys_of(w)} & wanted
+                        seen.update(keys.union(*(k for r in runs for k in keys_within(r, wanted, lengths))))
                 if len(seen) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["k", "n"])
                     seen = Counter()
