@@ -477,6 +477,18 @@ def test_lattice():
     assert toxicity.suspicious("l33t") and not toxicity.suspicious("2024") and not toxicity.suspicious("plain")
 
 
+def test_rare_stems_are_learned_at_any_size(spark):
+    """A stem in 5 of over 600 toxic documents (less than 1 %) and in no clean one stands out from chance."""
+    free = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bad = free[:620]
+    rows = [(i, "moron of the plain words here" if i in set(bad) else "some of the plain words here") for i in free]
+    rows[:5] = [(i, "grumblo " + t) for i, t in rows[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in set(bad))) for i in free], "doc_id long, toxic int")
+    weights = toxicity.learn(docs, labels).weights
+    assert "moron" in weights and "grumblo" in weights and "plain" not in weights
+
+
 def test_long_and_crowded_disguises_are_decoded_whole(spark, toxic):
     docs, labels = toxic
     model = toxicity.learn(docs, labels)

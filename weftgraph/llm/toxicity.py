@@ -228,7 +228,7 @@ def logistic(x, y, ridge: float = 1e-3, steps: int = 50):
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, least_docs: int = 4, least_share: float = 0.01, least_odds: float = 4.5, least_z: float = 2.6) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, least_docs: int = 4, least_odds: float = 4.5, least_z: float = 2.6) -> Model:
     import numpy as np
 
     spark = docs.sparkSession
@@ -281,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     def frequencies(toxic, wanted):
         return rows.where(F.col("toxic") == toxic).select("text").mapInArrow(counted(wanted), "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
-    bad = {r["k"]: r["n"] for r in commonest(frequencies(1, None).where(F.col("n") >= max(least_docs, least_share * size[1])), "k", 10 * max_features).collect()}
+    bad = {r["k"]: r["n"] for r in commonest(frequencies(1, None).where(F.col("n") >= least_docs), "k", 10 * max_features).collect()}
     good = {r["k"]: r["n"] for r in frequencies(0, set(bad)).collect()}
     odds = {k: np.log((n + 0.5) / (size[1] + 1)) - np.log((good.get(k, 0) + 0.5) / (size[0] + 1)) for k, n in bad.items() if k}
     # log-odds must stand out from chance: their standard error is that of two counts
