@@ -382,6 +382,25 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert n[1][1] >= 0.995 * n[1][0] and n[0][1] <= 0.2 * n[0][0]
 
 
+def test_each_quality_statistic_rejects_by_itself(spark):
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("aeioustrnl") for _ in range(rnd.randint(3, 7))) for _ in range(2000)]
+    prose = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    rows = [(i, " ".join(prose(200))) for i in range(200)]
+    few, block = prose(12), prose(46)
+    bad = {
+        900: " ".join(prose(300)) + "\n" + "\n".join(rnd.choice(few) for _ in range(90)),  # lines
+        901: " ".join(block + prose(54) + block + prose(54)),  # words
+        902: " ".join(w + "#&" for w in prose(200)),  # symbols
+        903: " ".join(w * 4 for w in prose(200)),  # word length
+    }
+    docs = spark.createDataFrame(rows + list(bad.items()), "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in bad), {i: got[i] for i in bad}
+    assert got[900]["n_repeat_words"] < 0.1 * got[900]["n_words"] and got[901]["n_dup_lines"] == 0
+    assert all(got[i]["kept"] for i, _ in rows)
+
+
 # ---- 9 repeats ------------------------------------------------------------------------------------------------------------
 
 
