@@ -133,6 +133,24 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.where("false")).count() == 0
 
 
+def test_weights_do_not_depend_on_blocks(spark):
+    """Boilerplate held by all items weighs little in every block; similarities around the threshold stay as they are."""
+    rnd = random.Random(9)
+    made = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    common = made(30)
+    items = [(i, " ".join(common + made(25))) for i in range(12)]
+    near = []
+    for i, text in items:
+        w = text.split()
+        for j, at in enumerate((3, 32, 42, 54)):
+            near.append((10 * i + j, " ".join(w[:at] + ["zz"] + w[at + 1 :])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    rows = lambda df: sorted((r["doc_id"], r["item_id"], r["start_word"], r["hamming"], round(r["similarity"], 9)) for r in df.collect())
+    whole = rows(decontaminate.matches(docs, bench))
+    assert whole and rows(decontaminate.matches(docs, bench, block_items=1)) == rows(decontaminate.matches(docs, bench, block_items=5)) == whole
+
+
 def test_multi_index_is_complete():
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(20))) for i in range(50)]

@@ -9,7 +9,9 @@ A window that is similar to an item has a shingle in common with it. Only window
 the shingles of all items) are therefore fingerprinted; every document is read whole.
 
 Items are broadcast in blocks of at most ``block_items`` items and ``block_chars`` characters, one pass over the documents for each
-block, so what is broadcast does not grow with the benchmark.
+block. Weights are those of the whole benchmark in every block: items and holders are counted once in Spark. A shingle that one item
+holds weighs as much as an unknown one, so only those that two or more items hold are broadcast, at 16 bytes each; that
+table alone grows with the benchmark.
 
 Words are separated by anything that is ASCII and not a letter or digit, and ASCII capitals are folded. Defined results: null or empty
 texts and items, and items of fewer than ``k`` words, match nothing; a document shorter than an item is one window; of several
@@ -32,10 +34,51 @@ from .runtime import materialise
 _BITMAP = 1 << 22
 
 
+class Weights:
+    """``1 + ln(items / items with the shingle)`` over the whole benchmark; ``keys`` (sorted) are the shingles of two or more items."""
+
+    def __init__(self, n_items: int, keys, holders):
+        import numpy as np
+
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = 1 + np.log(n_items / holders[order])
+        self.top = 1 + math.log(max(1, n_items))
+
+    def get(self, x: int) -> float:
+        import numpy as np
+
+        at = int(np.searchsorted(self.keys, np.uint64(x)))
+        return float(self.values[at]) if at < len(self.keys) and int(self.keys[at]) == x else self.top
+
+
+def count_weights(items: DataFrame, k: int) -> Weights:
+    """Weights of all shingles of the benchmark, counted once over all its items."""
+    import numpy as np
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from . import textcore as tc
+
+        for batch in batches:
+            for part in tc.slices(batch, "text"):
+                raw, off, _ = tc.buffers(part.column(0))
+                start, end, first = tc.words(raw, off, tc.LOOSE)
+                h, row = tc.shingles(tc.word_hashes(raw, start, end), first, k, short_whole=False)
+                for r in range(part.num_rows):
+                    own = np.unique(h[np.searchsorted(row, r) : np.searchsorted(row, r + 1)])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["x"])
+
+    shared = items.select("text").mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    keys, holders = (shared.column(c).to_numpy().astype(np.int64) for c in range(2))
+    return Weights(items.count(), keys.view(np.uint64), holders)
+
+
 class Items:
-    """Shingles, fingerprints and block tables of a set of items."""
+    """Shingles, fingerprints and block tables of a set of items; ``weights`` are those of the set itself unless given."""
 
-    def __init__(self, rows: list[tuple[int, str]], k: int, radius: int):
+    def __init__(self, rows: list[tuple[int, str]], k: int, radius: int, weights: Weights | None = None):
         import numpy as np
 
         from . import textcore as tc
@@ -55,9 +98,10 @@ class Items:
         for j, (x, r) in enumerate(zip(h.tolist(), row.tolist(), strict=True)):
             self.bags[r][x] += 1
             self.places[x].append((r, j - int(begin[r])))
-        holders = Counter(x for bag in self.bags for x in bag)
-        self.top = 1 + math.log(max(1, len(rows)))
-        self.weight = {x: 1 + math.log(len(rows) / n) for x, n in holders.items()}
+        if weights is None:
+            holders = {x: n for x, n in Counter(x for bag in self.bags for x in bag).items() if n > 1}
+            weights = Weights(len(rows), np.array(list(holders), np.uint64), np.array(list(holders.values()), np.int64))
+        self.weights = weights
         self.bitmap = np.zeros(_BITMAP, bool)
         self.bitmap[h & np.uint64(_BITMAP - 1)] = True
         # blocks of bits, and by word count and block value the items that have it
@@ -76,7 +120,7 @@ class Items:
         if not bag:
             return 0
         x = np.array(list(bag), np.uint64)
-        w = np.array([n * self.weight.get(s, self.top) for s, n in bag.items()])
+        w = np.array([n * self.weights.get(s) for s, n in bag.items()])
         bits = (x[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
         total = w @ (bits.astype(np.float64) * 2 - 1)
         return int.from_bytes(np.packbits(total > 0, bitorder="little").tobytes(), "little")
@@ -90,7 +134,7 @@ class Items:
         item = self.bags[r]
         low = high = 0.0
         for s in bag.keys() | item.keys():
-            w = self.weight.get(s, self.top)
+            w = self.weights.get(s)
             a, b = bag.get(s, 0), item.get(s, 0)
             low += w * min(a, b)
             high += w * max(a, b)
@@ -155,10 +199,10 @@ def matches(
 ) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, hamming, similarity`` of every document and item that match."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    out, rows, size = None, [], 0
+    out, rows, size, weights = None, [], 0, count_weights(items, k)
 
     def add(rows):
-        one = _pass(docs, Items(rows, k, radius), similarity)
+        one = _pass(docs, Items(rows, k, radius, weights), similarity)
         return one if out is None else out.unionByName(one)
 
     for item, text in items.toLocalIterator():
