@@ -111,3 +111,23 @@ def test_upsert_is_idempotent_and_merges_families(spark):
     assert sorted(map(tuple, M.upsert_nodes(once, new).collect()), key=repr) == sorted(map(tuple, once.collect()), key=repr)
     over = {r["id"]: r["description"] for r in M.upsert_nodes(nodes, new, "overwrite").collect()}
     assert over["node-1"] == "new"
+
+
+def test_whole_components_and_stitches_equal_brute_force(spark, monkeypatch):
+    """All sessions, edge types and id lengths of a fixture count, not a thin part of them."""
+    from weftgraph.operators.graph import PropertyGraph
+    from weftgraph.plans import graph_queries
+
+    ids = ["r0", "a", "bb", "ccc", "dddd", "e", "ff", "ggg", "h"]
+    links = [("r0", "a", "HAS"), ("a", "bb", "AUTHORED_BY"), ("dddd", "ccc", "AUTHORED_BY"), ("ccc", "e", "PREREQUISITE_OF"), ("ggg", "ff", "EXTENDS")]
+    nodes = spark.createDataFrame([(x, str(i % 3), "Concept") for i, x in enumerate(ids)], "id string, session_id string, label string")
+    edges = spark.createDataFrame([(a, b, t, str(i)) for i, (a, b, t) in enumerate(links)], "src string, dst string, type string, session_id string")
+    monkeypatch.setattr(graph_queries, "derived_graph", lambda *_: PropertyGraph(nodes, edges))
+    up = {x: x for x in ids}
+    for _ in ids:
+        for a, b, _t in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r["id"]: r["component"] for r in graph_queries.QUERIES["components_whole"](spark, "").collect()}
+    assert got == up
+    stitched = {(r["src"], r["dst"]) for r in graph_queries.QUERIES["component_stitch_whole"](spark, "").collect()}
+    assert stitched == {("r0", "ccc"), ("r0", "ff"), ("r0", "h")}

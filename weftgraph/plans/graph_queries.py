@@ -371,6 +371,17 @@ def component_stitch(spark, sf):
     return _thin(spark, sf).stitch("r0")
 
 
+@query("components_whole")
+def components_whole(spark, sf):
+    """Components of the whole derived graph: every session, edge type and id. No SQL: recursion over it is too slow."""
+    return derived_graph(spark, sf).components()
+
+
+@query("component_stitch_whole")
+def component_stitch_whole(spark, sf):
+    return derived_graph(spark, sf).stitch("r0")
+
+
 @query(
     "paper_anchor",
     f""", d AS (SELECT n.id, (SELECT count(*) FROM edges e WHERE e.src = n.id) + (SELECT count(*) FROM edges e WHERE e.dst = n.id) AS degree FROM nodes n
