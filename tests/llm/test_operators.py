@@ -235,6 +235,24 @@ def test_shard_round_trip(bits):
         shard.token(len(flat))
 
 
+def test_shards_are_row_groups_of_their_own(spark, odd, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(dac, "SHARD_IDS", 500)
+    dac.write_tokens(odd, f"file://{tmp_path}/s", partitions=2)
+    groups = 0
+    for f in (tmp_path / "s" / "shards").glob("*.parquet"):
+        meta = pq.read_metadata(f)
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).num_rows == 1 and all(meta.row_group(g).column(c).compression == "UNCOMPRESSED" for c in range(meta.num_columns))
+    assert groups > 4
+    whole = {(r["doc_id"], r["ids"]) for r in dac.read_tokens(spark, f"file://{tmp_path}/s").collect()}
+    for doc, ids in whole:
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert dac.lookup(spark, f"file://{tmp_path}/s", doc, len(ids) - 1) == 1
+
+
 def test_token_files(spark, odd, empty, tmp_path):
     tok = Tokenizer.from_file(tokens.default_path())
     dac.write_tokens(odd, f"file://{tmp_path}/t")
@@ -245,6 +263,16 @@ def test_token_files(spark, odd, empty, tmp_path):
         want.append((at, doc, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert got == want
+    first = {}
+    for r in sorted(dac.read_tokens(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r["start"]):
+        first.setdefault(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist())
+    for doc in (None, 0, 13, 6):
+        for i in {0, len(first[doc]) // 2, len(first[doc]) - 1}:
+            assert dac.lookup(spark, f"file://{tmp_path}/t", doc, i) == first[doc][i]
+    with pytest.raises(IndexError):
+        dac.lookup(spark, f"file://{tmp_path}/t", 0, len(first[0]))
+    with pytest.raises(KeyError):
+        dac.lookup(spark, f"file://{tmp_path}/t", 999, 0)
     dac.write_tokens(empty, f"file://{tmp_path}/e")
     assert dac.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 

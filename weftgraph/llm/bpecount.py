@@ -20,23 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import LONGEST_CACHED, default_path
+from .textcore import frugal
+from .tokens import LONGEST_CACHED, byte_symbols, default_path
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def _byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, extra = {b: chr(b) for b in keep}, 0
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + extra)
-            extra += 1
-    return [out[b] for b in range(256)]
-
-
 class HeapBpe:
     """Counts tokens under a word-end BPE vocabulary file (NFC, white space dropped, lower case, byte level)."""
 
@@ -56,7 +46,7 @@ class HeapBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + suffix] for s in symbols]
         specials = [t["content"] for t in spec["added_tokens"]]
@@ -171,4 +161,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 counts = pa.array([bpe.count(t) for t in part.column(2).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), counts], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(frugal(run), schema)

@@ -9,8 +9,10 @@ Layout of a shard, little-endian: magic ``DAC1``, bits u32, levels u32, n_docs u
 a null bitmap; ends u64 x n_docs (ids up to and with each document, within the shard); then for each level: n u64,
 chunk bytes, bitmap bytes, rank directory u32.
 
-Shards are written by Spark's committed file writer as rows of a binary column: a retried task leaves no half shard, and
-any store that Spark writes to will do. ``index`` beside them has the number of ids before each shard.
+Shards are written by Spark's committed file writer as rows of an uncompressed binary column, one row group each: a retried task
+leaves no half shard, and any store that Spark writes to will do. Beside the bytes stand the first and last document of the shard, so ``lookup``
+reads the one row group that holds a document, finds it in the shard's own list of documents by bisection and takes a chunk
+from each level. ``index`` has the number of ids before each shard.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .runtime import n_partitions
+from .textcore import frugal
 from .tokens import default_path
 
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
+_SHARDS = "part long, shard long, n_docs long, n_ids long, first_doc long, last_doc long, blob binary"
+#: Writer options under which a shard is a row group of its own and its bytes stand in the file as they are.
+_PLAIN = {"compression": "none", "parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
 _RANK = 512
 
 
@@ -35,15 +41,15 @@ def encode_shard(doc_ids: list[int | None], arrays: list[bytes], bits: int = 8)
 
     if not 1 <= bits <= 8:
         raise ValueError("chunks of 1 to 8 bits")
-    ids = np.frombuffer(b"".join(arrays), "<u4").astype(np.uint64)
+    ids = np.frombuffer(b"".join(arrays), "<u4")
     ends = np.cumsum([len(a) // 4 for a in arrays], dtype=np.uint64) if arrays else np.empty(0, np.uint64)
     null = np.array([d is None for d in doc_ids], bool)
     keys = np.array([0 if d is None else d for d in doc_ids], np.int64)
     levels = []
     rest = ids
     while True:
-        chunk = (rest & np.uint64((1 << bits) - 1)).astype(np.uint8)
-        rest = rest >> np.uint64(bits)
+        chunk = (rest & np.uint32((1 << bits) - 1)).astype(np.uint8)
+        rest = rest >> np.uint32(bits)
         more = rest > 0
         packed = np.packbits(more, bitorder="little")
         blocks = np.add.reduceat(more, np.arange(0, len(more), _RANK)) if len(more) else np.zeros(0, np.int64)
@@ -109,12 +115,12 @@ class Shard:
         """Ids start..stop-1 as an unsigned 32-bit array."""
         import numpy as np
 
-        out = np.zeros(stop - start, np.uint64)
+        out = np.zeros(stop - start, "<u4")
         where, lo, hi, shift = np.arange(stop - start), start, stop, 0
         for level, (chunk, bitmap, _) in enumerate(self.levels):
             if hi <= lo:
                 break
-            out[where] |= chunk[lo:hi].astype(np.uint64) << np.uint64(shift)
+            out[where] |= chunk[lo:hi].astype(np.uint32) << np.uint32(shift)
             shift += self.bits
             first = lo // 8
             more = np.unpackbits(bitmap[first : -(-hi // 8)], bitorder="little")[lo - 8 * first : hi - 8 * first].astype(bool)
@@ -123,7 +129,17 @@ class Shard:
                 break
             lo = self._ones_before(level, lo)
             hi = lo + len(where)
-        return out.astype("<u4")
+        return out
+
+    def find(self, doc_id: int | None) -> int | None:
+        """The number of the first document with that id, which are in ascending order with null ones first."""
+        import numpy as np
+
+        nulls = int(self.null.sum())
+        if doc_id is None:
+            return 0 if nulls else None
+        k = nulls + int(np.searchsorted(self.doc_ids[nulls:], doc_id))
+        return k if k < self.n_docs and int(self.doc_ids[k]) == doc_id else None
 
     def document(self, k: int):
         """Ids of the k-th document."""
@@ -139,8 +155,6 @@ def write_tokens(docs: DataFrame, out: str, end_id: int = 1, bits: int = 8, path
     """
     spark = docs.sparkSession
     path = path or default_path()
-    schema = "part long, shard long, n_docs long, n_ids long, blob binary"
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -160,6 +174,8 @@ def write_tokens(docs: DataFrame, out: str, end_id: int = 1, bits: int = 8, path
                     "shard": pa.array([shard], pa.int64()),
                     "n_docs": pa.array([len(keys)], pa.int64()),
                     "n_ids": pa.array([held // 4], pa.int64()),
+                    "first_doc": pa.array([next((k for k in keys if k is not None), None)], pa.int64()),
+                    "last_doc": pa.array([keys[-1]], pa.int64()),
                     "blob": pa.array([blob], pa.binary()),
                 }
             )
@@ -178,8 +194,8 @@ def write_tokens(docs: DataFrame, out: str, end_id: int = 1, bits: int = 8, path
             yield made()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions or n_partitions(spark), "doc_id")
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, schema).write.parquet(f"{out}/shards")
-    sizes = spark.read.schema(schema).parquet(f"{out}/shards").select("part", "shard", "n_ids")
+    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(frugal(run), _SHARDS).write.options(**_PLAIN).parquet(f"{out}/shards")
+    sizes = spark.read.schema(_SHARDS).parquet(f"{out}/shards").select("part", "shard", "n_ids")
     total, bases = 0, []
     for r in sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
         bases.append((r["part"], total))
@@ -192,7 +208,7 @@ def write_tokens(docs: DataFrame, out: str, end_id: int = 1, bits: int = 8, path
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document, decoded from the files below ``out``."""
-    shards = spark.read.schema("part long, shard long, n_docs long, n_ids long, blob binary").parquet(f"{out}/shards")
+    shards = spark.read.schema(_SHARDS).parquet(f"{out}/shards").select("part", "shard", "blob")
     index = spark.read.schema("part long, shard long, base long").parquet(f"{out}/index")
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -218,4 +234,26 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                     names=schema.names,
                 )
 
-    return shards.join(index, ["part", "shard"]).select("base", "blob").mapInArrow(run, schema)
+    return shards.join(index, ["part", "shard"]).select("base", "blob").mapInArrow(frugal(run), schema)
+
+
+def lookup(spark: SparkSession, out: str, doc_id: int | None, i: int) -> int:
+    """The ``i``-th id of a document (the first one with that id), straight from the files: no index is built and nothing is decoded but this id.
+
+    ``KeyError`` where there is no such document, ``IndexError`` where it is shorter.
+    """
+    shards = spark.read.schema(_SHARDS).parquet(f"{out}/shards")
+    # null ids come before all others
+    here = F.lit(True) if doc_id is None else (F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)
+    place = shards.where(here).select("part", "shard").orderBy("part", "shard").first()
+    if place is None:
+        raise KeyError(doc_id)
+    row = shards.where((F.col("part") == place["part"]) & (F.col("shard") == place["shard"])).select("blob").first()
+    shard = Shard(bytes(row["blob"]))
+    k = shard.find(doc_id)
+    if k is None:
+        raise KeyError(doc_id)
+    start, stop = (int(shard.ends[k - 1]) if k else 0), int(shard.ends[k])
+    if not 0 <= i < stop - start:
+        raise IndexError(i)
+    return shard.token(start + i)

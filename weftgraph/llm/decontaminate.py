@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .runtime import materialise
+from .textcore import frugal
 
 _BITMAP = 1 << 22
 
@@ -70,7 +71,7 @@ def count_weights(items: DataFrame, k: int) -> Weights:
                     own = np.unique(h[np.searchsorted(row, r) : np.searchsorted(row, r + 1)])
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["x"])
 
-    shared = items.select("text").mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shared = items.select("text").mapInArrow(frugal(run), "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 1").toArrow()
     keys, holders = (shared.column(c).to_numpy().astype(np.int64) for c in range(2))
     return Weights(items.count(), keys.view(np.uint64), holders)
 
@@ -191,7 +192,7 @@ def _pass(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
                     kinds = [key_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
 def matches(

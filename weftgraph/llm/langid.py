@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .ngrams import gram_counts
 from .runtime import discard, materialise
+from .textcore import frugal
 
 ORDERS = (4, 3, 2, 1)
 #: (gram, language) pairs of the longest order in one part.
@@ -210,7 +211,7 @@ def _bits(docs: DataFrame, trees: Trees, part: int, parts: int, schema: T.Struct
                 bits = model.lengths(raw, off, part, parts) if model.languages and len(raw) else np.zeros((piece.num_rows, len(model.languages)))
                 yield finish(piece, raw, off, bits)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
 def _verdict(bits, ok, languages: list[str]):

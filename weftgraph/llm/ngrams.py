@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import frugal
+
 #: Distinct (label, gram) pairs a task holds before it hands its partial counts on.
 HELD = 1 << 20
 #: Bytes that stand before the first byte of a text.
@@ -90,4 +92,4 @@ def gram_counts(docs: DataFrame, label: str | None) -> DataFrame:
         for one in held:
             yield rows(one)
 
-    return src.mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(frugal(run), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textcore import frugal
 from .tokens import default_path
 
 #: Ids a block holds at most before it is packed (a longer document is a block of its own).
@@ -165,4 +166,4 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None
         if keys:
             yield from flush(keys, data)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)

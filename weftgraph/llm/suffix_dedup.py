@@ -30,17 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import materialise, n_partitions
+from .textcore import frugal, frugal_group
 
 K = 48
-UNIT_BYTES = 12 << 20
+UNIT_BYTES = 8 << 20
 #: Runs in one row of those that are passed on.
 PASSED = 1024
 #: Different runs of one anchor from which it is hot.
-HOT_RUNS = 50_000
+HOT_RUNS = 16_000
 #: Up to so many ids (8 bytes each) of texts that lose something are broadcast.
 BROADCAST_IDS = 1_000_000
 #: A longer text is scanned in pieces of this many windows.
-PIECE = 4 << 20
+PIECE = 512 << 10
 _POS_BITS = 23
 
 
@@ -157,7 +158,7 @@ def _scatter(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         if cols[0]:
             yield flush(cols)
 
-    return docs.mapInArrow(run, "bucket long, ids binary, start binary, size binary, h binary")
+    return docs.mapInArrow(frugal(run), "bucket long, ids binary, start binary, size binary, h binary")
 
 
 def _candidates(scattered: DataFrame, hot_runs: int) -> DataFrame:
@@ -199,7 +200,7 @@ def _candidates(scattered: DataFrame, hot_runs: int) -> DataFrame:
         flags = [*[None] * len(cut), *hot.tolist()]
         return pa.table([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary()), pa.array(flags, pa.int64())], names=["doc_id", "runs", "hot"])
 
-    return scattered.groupBy("bucket").applyInArrow(run, "doc_id long, runs binary, hot long")
+    return scattered.groupBy("bucket").applyInArrow(frugal_group(run), "doc_id long, runs binary, hot long")
 
 
 def window_prints(raw, count: int, length: int):
@@ -229,9 +230,11 @@ def _hot_windows(cand: DataFrame, hot: list[int], length: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        from .textcore import slices
+
         kind = [("start", "<i8"), ("h", "<u8"), ("size", "<i2")]
         names = ["one", "two", "doc_id", "a", "b", "copies"]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
             seen: dict[bytes, list] = {}
             for doc, text, runs, copies in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for start, h, size in np.frombuffer(b"".join(runs), kind).tolist():
@@ -247,7 +250,7 @@ def _hot_windows(cand: DataFrame, hot: list[int], length: int) -> DataFrame:
                 full = lambda v: pa.array(np.full(size, v, np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), full(doc), pa.array(at), pa.array(at + 1), full(sum(r[3] for r in refs))], names=names)
 
-    rows = materialise(cand.select("doc_id", "text", "runs", "copies").mapInArrow(run, "one long, two long, doc_id long, a long, b long, copies long"), "hot-windows")
+    rows = materialise(cand.select("doc_id", "text", "runs", "copies").mapInArrow(frugal(run), "one long, two long, doc_id long, a long, b long, copies long"), "hot-windows")
     again = rows.where("one is not null").groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
     cols = ["doc_id", "a", "b"]
     return rows.join(again, ["one", "two"], "left_semi").select(*cols).unionByName(rows.where("one is null").select(*cols))
@@ -264,6 +267,8 @@ def _segments(cand: DataFrame, length: int, hot: list[int]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        from .textcore import slices
+
         kind = [("start", "<i8"), ("h", "<u8"), ("size", "<i2")]
         skip = frozenset(h & 0xFFFFFFFFFFFFFFFF for h in hot)
         names = ["h", "doc_id", "start", "windows", "copies", "bytes"]
@@ -279,7 +284,7 @@ def _segments(cand: DataFrame, length: int, hot: list[int]) -> DataFrame:
 
         seen: dict[tuple[int, bytes], list] = {}
         held = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             for doc, text, runs, copies in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for start, h, size in np.frombuffer(b"".join(runs), kind).tolist():
                     if h in skip:
@@ -291,13 +296,13 @@ def _segments(cand: DataFrame, length: int, hot: list[int]) -> DataFrame:
                         held += len(cut)
                     seen[key].append((doc, start, size, copies))
                     held += 64
-                if held > 16 << 20:
+                if held > 8 << 20:
                     yield made(seen)
                     seen, held = {}, 0
         if seen:
             yield made(seen)
 
-    return cand.select("doc_id", "text", "runs", "copies").mapInArrow(run, "h long, doc_id long, start long, windows int, copies long, bytes binary")
+    return cand.select("doc_id", "text", "runs", "copies").mapInArrow(frugal(run), "h long, doc_id long, start long, windows int, copies long, bytes binary")
 
 
 def two_stage_order(text, ends, live):
@@ -443,7 +448,7 @@ def repeated_windows(segments: list[bytes], windows: list[int], length: int) ->
     return [hit[a : a + c] for a, c in zip(start.tolist(), counts.tolist(), strict=True)]
 
 
-def _solve(segments: DataFrame, length: int, cells: int, limit: int = 4 << 20) -> DataFrame:
+def _solve(segments: DataFrame, length: int, cells: int, limit: int = 1 << 20) -> DataFrame:
     """``doc_id, a, b``: windows a..b-1 of a document repeat."""
 
     def run(table):
@@ -492,7 +497,7 @@ def _solve(segments: DataFrame, length: int, cells: int, limit: int = 4 << 20) -
             settle(block)
         return pa.table([pa.array(docs, pa.int64()), pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], names=["doc_id", "a", "b"])
 
-    return segments.withColumn("cell", F.pmod("h", F.lit(cells))).groupBy("cell").applyInArrow(run, "doc_id long, a long, b long")
+    return segments.withColumn("cell", F.pmod("h", F.lit(cells))).groupBy("cell").applyInArrow(frugal_group(run), "doc_id long, a long, b long")
 
 
 _RESULT = "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<from:long,to:long>>"
@@ -505,8 +510,10 @@ def _apply(cand: DataFrame, length: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        from .textcore import slices
+
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = []
             for doc, text, pairs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 iv = np.array([(p["a"], p["b"] + length - 1) for p in pairs], np.int64).reshape(-1, 2)
@@ -522,7 +529,7 @@ def _apply(cand: DataFrame, length: int) -> DataFrame:
                     names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
                 )
 
-    return cand.select("doc_id", "text", "pairs").mapInArrow(run, _RESULT)
+    return cand.select("doc_id", "text", "pairs").mapInArrow(frugal(run), _RESULT)
 
 
 def _changed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:

@@ -6,13 +6,17 @@ Everything works on the raw Arrow string buffers: a slice of documents is one ``
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text a kernel handles at once; intermediates are about 60 times this. A longer document is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Rows a kernel handles at once, so that row numbers are small.
+SLICE_ROWS = 1 << 15
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = 0x9E3779B97F4A7C15
@@ -53,6 +57,51 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+@functools.cache
+def _libc():
+    """The C library where it is glibc, told to give large arrays back to the system as soon as they are freed."""
+    lib = ctypes.CDLL(None)
+    if not hasattr(lib, "mallopt") or not hasattr(lib, "malloc_trim"):
+        return None
+    lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    return lib
+
+
+def give_back() -> None:
+    """Return what the task has freed to the system: Spark uses the worker again."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def frugal(run):
+    """A kernel of ``mapInArrow`` whose worker keeps nothing of the memory that the task needed."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        _libc()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def frugal_group(run):
+    """The same for a kernel of ``applyInArrow``; it is called for each group, so memory is given back only after large ones."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        _libc()
+        try:
+            return run(table)
+        finally:
+            if table.nbytes > 1 << 20:
+                give_back()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -80,13 +129,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of at most ``limit`` text bytes (one row at least)."""
+    """Cut a batch into runs of at most ``SLICE_ROWS`` rows and ``limit`` text bytes (one row at least)."""
     col = batch.column(batch.schema.get_field_index(text))
     _, off, _ = buffers(col)
     at, n = 0, batch.num_rows
     while at < n:
         to = int(np.searchsorted(off, off[at] + limit, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), n, at + SLICE_ROWS)
         yield batch.slice(at, to - at)
         at = to
 

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from .langid import Trees, _rows, held_out
 from .ngrams import commonest, gram_counts
 from .runtime import discard, materialise
+from .textcore import frugal
 
 #: Letters that signs are used for.
 LOOKALIKES = {
@@ -318,7 +319,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.score(t) for t in part.column(1).to_pylist()], pa.float64())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
