@@ -313,12 +313,45 @@ def test_classes(spark, odd, empty, k, num, den, monkeypatch):
             for _ in range(rnd.randint(0, 4)):
                 w[rnd.randrange(len(w))] = rnd.choice(vocab)
             rows.append((1000 + family * 100 + j, " ".join(w)))
-    monkeypatch.setattr(ngram_join, "BLOCK", 5)  # regions over several blocks
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)  # classes over several blocks
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_classes(docs, k, num, den).collect()}
     assert got == brute_classes(rows, k, num, den)
 
 
+def test_chain_of_shared_ngrams(spark, monkeypatch):
+    """Each document shares rare n-grams with its neighbours and links with none: work stays in proportion to the documents."""
+    rnd = random.Random(4)
+    passages = [[f"p{i}x{j}" for j in range(12)] for i in range(401)]
+    rows = [(i, " ".join(passages[i] + [f"c{rnd.randrange(40)}" for _ in range(20)] + passages[i + 1])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda work, num, den: seen.append(work.count()) or verify(work, num, den))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(docs, 3, 90, 100).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert seen[0] <= 4 * len(rows)  # not the square of them
+
+
+def test_many_short_rows_in_one_batch(spark):
+    """More rows in an Arrow batch than 16 bits can number."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        docs = spark.range(0, 100_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id") % 50_000, F.lit("b")).alias("text"))
+        wrong = ngram_join.similarity_classes(docs).where("component_id != doc_id % 50000 or n_shingles != 1").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert wrong == 0
+
+
+def test_one_id_on_two_texts(spark):
+    """Both texts are members; each has its own size and its own links."""
+    one, two = " ".join(f"u{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    docs = spark.createDataFrame([(5, one), (5, two), (7, one + " more"), (9, two + " more")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.similarity_classes(docs, 3, 90, 100).collect())
+    assert got == [(5, 28, 5), (5, 28, 5), (7, 29, 5), (9, 29, 5)]
+
+
 def test_classes_edge(odd, empty):
     out = ngram_join.similarity_classes(odd).collect()
     assert len(out) == odd.count()

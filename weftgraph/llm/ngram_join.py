@@ -7,17 +7,19 @@
    frequency 1 is in no intersection, but it fills places of the prefix.
 3. ``_sets``: each unit orders its sets rare-first (frequency, then hash: one total order for all documents). A document
    whose prefix (n - ceil(t n) + 1 places) holds only shingles of frequency 1 has no partner and goes no further.
-4. Documents with equal sets are one class. Prefix n-grams connect classes to the smallest class with the same n-gram;
-   connected components of these rows are the regions in which links can be.
-5. ``_verify``: a region is cut into blocks, every pair of blocks is one work item, so each pair of classes meets exactly once
-   and a large region is spread over many tasks. Within an item pairs come from common prefix n-grams, pass length,
-   positional and suffix filters, and are verified once by exact intersection. Only a spanning forest of the links leaves it.
+4. Documents with equal sets are one class. Prefix n-grams of two classes or more are joined with themselves: classes whose commonest
+   shared prefix n-gram is the same, and whose sizes are close, lie together in a *block* (a hot one is cut into many), and two blocks
+   that hold one prefix n-gram, with sizes that can link, are one work item. A pair of classes meets in the item of its two blocks and
+   nowhere else, and blocks that share no prefix n-gram never meet.
+5. ``_verify``: within an item pairs come from common prefix n-grams, pass length, positional and suffix filters, and are verified once by
+   exact intersection. Only a spanning forest of the links leaves it.
 
-No group of documents is ever in one task or on the driver as a whole, and no pair list of a group is made.
+No group of documents is ever in one task or on the driver as a whole, and no pair list of a group is made: an n-gram that ``c`` classes have
+makes at most ``(c / BLOCK) ** 2`` items when they share their commonest n-gram, and never more than the pairs it stands for.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; fewer than ``k`` words are one shingle;
-rows with a null ``doc_id`` take no part and get null results; repeated rows are in one class; columns other than
-``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
+rows with a null ``doc_id`` take no part and get null results; repeated rows are in one class, and an id that stands on several different
+texts is several members; columns other than ``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import connected_components, discard, materialise, n_partitions
+from .textcore import SLICE_ROWS, frugal, frugal_group
 
 UNIT_BYTES = 8 << 20
-UNIT_DOCS = 40_000
+#: Rows of a unit are numbered by 16 bits.
+UNIT_DOCS = SLICE_ROWS
 #: Occurrences within a unit from which a shingle travels as a count.
 COMMON = 32
 #: Occurrences in one row of those that go straight on.
 PASSED = 8192
-#: Classes in a block of a region.
+#: Classes in a block, and n-grams of them all together.
 BLOCK = 96
+BLOCK_GRAMS = 100_000
+#: Small work items in one group.
+ITEMS = 32
+#: A class with over one in so many rows is joined by broadcast; there are fewer of them than this number.
+HOT_SHARE = 1000
 _SCATTER = "bucket long, unit long, kind int, at binary, lo binary, hi binary"
 _FREQ = "unit long, kind int, at binary, lo binary, hi binary, df binary"
 LIGHT, META, COMMON_ROWS, COMMON_COUNTS = 0, 1, 2, 3
@@ -116,7 +125,7 @@ def _scatter(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         if ids:
             yield flush(ids, values, at)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCATTER)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), _SCATTER)
 
 
 def _frequencies(scattered: DataFrame) -> DataFrame:
@@ -150,7 +159,7 @@ def _frequencies(scattered: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) if out else [[]] * 6
         return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)], names=["unit", "kind", "at", "lo", "hi", "df"])
 
-    return scattered.groupBy("bucket").applyInArrow(run, _FREQ)
+    return scattered.groupBy("bucket").applyInArrow(frugal_group(run), _FREQ)
 
 
 def _sets(freq: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,27 +202,28 @@ def _sets(freq: DataFrame, num: int, den: int) -> DataFrame:
         keys = [key[s:e].tobytes() if ok else None for s, e, ok in zip(a, b, reach, strict=True)]
         return pa.table([pa.array(ids), pa.array(n), pa.array(sig[0]), pa.array(sig[1]), pa.array(keys, pa.binary())], names=["doc_id", "n", "sig1", "sig2", "keys"])
 
-    return freq.groupBy("unit").applyInArrow(run, "doc_id long, n long, sig1 long, sig2 long, keys binary")
+    return freq.groupBy("unit").applyInArrow(frugal_group(run), "doc_id long, n long, sig1 long, sig2 long, keys binary")
 
 
 def _prefixes(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """``key, rep``: n-grams of frequency over 1 in the prefix of each class."""
+    """``key, cid, n``: n-grams of frequency over 1 in the prefix of each class."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            reps, sizes, blobs = (batch.column(i).to_pylist() for i in range(3))
-            keys, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for rep, n, blob in zip(reps, sizes, blobs, strict=True):
-                own = np.frombuffer(blob, "<i8")
-                left = n - _ceil_share(n, num, den) + 1 - (n - len(own))
+            ids, sizes, blobs = (batch.column(i) for i in range(3))
+            keys, owner, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for cid, n, blob in zip(ids.to_pylist(), sizes.to_pylist(), blobs, strict=True):
+                own = np.frombuffer(blob.as_py(), "<i8")
+                left = min(n - _ceil_share(n, num, den) + 1 - (n - len(own)), len(own))
                 keys.append(own[:left])
-                owner.append(np.full(min(left, len(own)), rep))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "rep"])
+                owner.append(np.full(left, cid))
+                size.append(np.full(left, n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owner, size)], names=["key", "cid", "n"])
 
-    return classes.select("rep", "n", "keys").mapInArrow(run, "key long, rep long")
+    return classes.select("cid", "n", "keys").mapInArrow(frugal(run), "key long, cid long, n long")
 
 
 class Forest:
@@ -322,63 +332,100 @@ def region_links(sizes, keys, left, right, num: int, den: int) -> list[tuple[int
     return out
 
 
+def _blocks(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """``cid, block, big``: classes by their commonest shared prefix n-gram and a band of sizes, cut by hash where there are many."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))) if num < den else F.col("n")
+    homes = shared.groupBy("cid").agg(F.max(F.struct("c", "key"))["key"].alias("home"), F.first("n").alias("n")).withColumn("band", band)
+    homes = materialise(homes, "homes")
+    cuts = homes.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK))), F.ceil(F.sum("n") / F.lit(float(BLOCK_GRAMS)))).alias("cuts"))
+    placed = homes.join(cuts, ["home", "band"])
+    block = F.xxhash64("home", "band", F.pmod(F.xxhash64("cid"), F.col("cuts")))
+    placed = materialise(placed.select("cid", block.alias("block"), (F.col("cuts") > 1).alias("big")), "blocks")
+    discard(homes)
+    return placed
+
+
+def _items(shared: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """``i, j, big``: each two blocks (or one with itself) that hold a prefix n-gram in common and sizes that can link, once."""
+    held = shared.join(placed, "cid").groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"), F.max("big").alias("big"))
+    held = materialise(held, "held")
+    a = held.select("key", *[F.col(c).alias(f"a_{c}") for c in ("block", "lo", "hi", "m", "big")])
+    b = held.select("key", *[F.col(c).alias(f"b_{c}") for c in ("block", "lo", "hi", "big")])
+    close = (den * F.col("a_hi") >= num * F.col("b_lo")) & (den * F.col("b_hi") >= num * F.col("a_lo"))
+    apart = (F.col("a_block") < F.col("b_block")) | ((F.col("a_block") == F.col("b_block")) & (F.col("a_m") > 1))
+    met = a.join(b, "key").where(apart & close).groupBy(F.col("a_block").alias("i"), F.col("b_block").alias("j"))
+    out = materialise(met.agg(F.max(F.col("a_big") | F.col("b_big")).alias("big")), "items")
+    discard(held)
+    return out
+
+
 def _verify(work: DataFrame, num: int, den: int) -> DataFrame:
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        region, left, right, block = (table[c].to_numpy() for c in ("region", "i", "j", "block"))
-        rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
-        keys = [np.frombuffer(b, "<u8") for b in table["keys"].to_pylist()]
-        order = np.argsort(region, kind="stable")
+        left, right, block = (table[c].to_numpy() for c in ("i", "j", "block"))
+        cid, n = table["cid"].to_numpy(), table["n"].to_numpy()
+        keys = [np.frombuffer(b.as_buffer(), "<u8") for b in table["keys"]]
+        order = np.lexsort((right, left))
         a, b = [], []
-        for part in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+        for part in np.split(order, np.flatnonzero((np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)) + 1):
             if len(part) < 2:
                 continue
             i, j = left[part[0]], right[part[0]]
             one = part[block[part] == i]
             two = one if i == j else part[block[part] == j]
             for x, y in region_links(n, keys, one, two, num, den) if len(one) and len(two) else ():
-                a.append(int(rep[x]))
-                b.append(int(rep[y]))
+                a.append(int(cid[x]))
+                b.append(int(cid[y]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return work.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long")
+    return work.groupBy("cell").applyInArrow(frugal_group(run), "a long, b long")
 
 
 def similarity_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; two sets link when ``den * common >= num * union``."""
-    spark = docs.sparkSession
-    parts = n_partitions(spark)
+    parts = n_partitions(docs.sparkSession)
     sets = materialise(_sets(_frequencies(_scatter(docs, k, 4 * parts)), num, den), "sets")
-    named = sets.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("keys", ignorenulls=True).alias("keys"))
-    classes = materialise(named.where("keys is not null").select("rep", "n", "keys").dropDuplicates(["rep", "n"]), "classes")
+    sig = ["n", "sig1", "sig2"]
+    named = sets.where("n > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys", ignorenulls=True).alias("keys"))
+    named = materialise(named.withColumn("cid", F.xxhash64(*sig)), "classes")
+    classes = named.where("keys is not null").select("cid", "n", "keys")
     prefixes = materialise(_prefixes(classes, num, den), "prefixes")
-    hubs = prefixes.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    regions = connected_components(prefixes.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    regions = materialise(regions.select(F.col("id").alias("rep"), F.col("component").alias("region")), "regions")
-    blocks = regions.groupBy("region").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    placed = classes.join(regions, "rep").join(blocks, "region")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    work = placed.select("region", "rep", "n", "keys", "blocks", "block", other)
-    work = work.select(
-        "region", "rep", "n", "keys", "block",
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("region"), F.lit(16 * parts))).otherwise(F.col("region")).alias("cell"),
-    )
-    links = materialise(_verify(work, num, den), "links")
-    found = connected_components(links).select(F.col("id").alias("rep"), "component")
+    often = prefixes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialise(prefixes.join(often, "key"), "shared")
     discard(prefixes)
-    reps = sets.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(found, "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component_id"))
-    full = sets.where("n > 0").select("doc_id", "n", "sig1", "sig2").join(named, ["n", "sig1", "sig2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    placed = _blocks(shared, num, den)
+    items = _items(shared, placed, num, den)
+    discard(shared)
+    cells = max(parts, items.count() // ITEMS)
+    cell = F.when(F.col("big"), F.xxhash64("i", "j")).otherwise(F.pmod(F.xxhash64("i", "j"), F.lit(cells)))
+    ends = items.select("i", "j", cell.alias("cell"), F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    work = ends.join(placed.select("cid", "block"), "block").join(classes, "cid")
+    links = materialise(_verify(work, num, den), "links")
+    discard(placed)
+    discard(items)
+    found = materialise(connected_components(links), "found")
+    discard(links)
+    least = found.join(named.select(F.col("cid").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    linked = found.join(least, "component").select(F.col("id").alias("cid"), "least")
+    ids = named.join(linked, "cid", "left").select(*sig, "copies", F.coalesce("least", "rep").alias("component_id"))
+    ids = materialise(ids, "class-ids")
+    discard(found)
+    # a class may hold a third of all rows
+    bound = sets.count() // HOT_SHARE
+    rows = sets.where("n > 0").select("doc_id", *sig)
+    hot = F.broadcast(ids.where(F.col("copies") > bound).drop("copies"))
+    rare = rows.join(hot, sig, "left_anti").join(ids.where(F.col("copies") <= bound).drop("copies"), sig)
+    full = rows.join(hot, sig).unionByName(rare).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    none = F.lit(None).cast("long")
+    nameless = docs.where("doc_id is null").select(none.alias("doc_id"), none.alias("n_shingles"), none.alias("component_id"))
     return full.unionByName(empty).unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their class; columns unchanged. Rows with a null id stay."""
     classes = similarity_classes(docs, k, num, den).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(classes, docs["doc_id"].cast("long") == classes["_gone"], "left_anti")
+    gone = materialise(classes, "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
