@@ -32,8 +32,8 @@ def test_state_and_prompt(spark):
     assert tuple(client.services_ok(up).first()) == ("ok", 0)
     assert client.services_ok(up.unionByName(spark.createDataFrame([("down",)], "status string"))).first()["status"] == "degraded"
     none = F.array().cast("array<string>")
-    got = spark.range(1).select(client.prompt_context(F.lit("N"), F.lit("D"), F.lit("Beginner"), F.array(F.lit("P"), F.lit("Q")), none, none)).first()[0]
-    assert got == "Node: N\nDescription: D\nDifficulty: Beginner\nPrerequisites: P, Q"
+    got = spark.range(1).select(client.prompt_context(F.struct(F.lit("N").alias("name"), F.lit("D").alias("description"), F.lit("Beginner").alias("difficulty_level")), F.array(F.lit("P"), F.lit("Q")), none, none)).first()[0]
+    assert got == "Focus Node: N\nDescription: D\nDifficulty: Beginner\nPrerequisites: P, Q\n"
     merged = spark.range(1).select(mutations.merge_settings(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(1)), F.create_map(F.lit("b"), F.lit(2)))).first()[0]
     assert merged == {"a": 1, "b": 2}
 

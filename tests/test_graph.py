@@ -83,8 +83,11 @@ def test_stitch_connects(spark):
 
 def test_document_scope(spark):
     g = seed_graph(spark, "doc-1", "s1")
-    assert g.members("doc-1").count() == 41
-    assert g.document("doc-1").edges.count() == 44
+    assert (g.nodes.count(), g.edges.count()) == (45, 91)
+    assert g.members("doc-1").count() == 44
+    assert g.document("doc-1").edges.count() == 47
+    assert g.node("p-gcn").first()["name"] == "Semi-Supervised Classification with Graph Convolutional Networks"
+    assert g.nodes.where("year = 2014").count() == 2 and g.nodes.where("difficulty_level = 'Advanced'").count() == 13
     asked = spark.createDataFrame([("c-cnns",), ("nobody",)], "id string")
     assert {r["id"]: r["status"] for r in g.ownership(asked, "s1").collect()} == {"c-cnns": "OK", "nobody": "NOT_FOUND"}
     assert g.ownership(asked, "s2").where("id = 'c-cnns'").first()["status"] == "FORBIDDEN"
@@ -127,7 +130,7 @@ def test_whole_components_and_stitches_equal_brute_force(spark, monkeypatch):
     for _ in ids:
         for a, b, _t in links:
             up[a] = up[b] = min(up[a], up[b])
-    got = {r["id"]: r["component"] for r in graph_queries.QUERIES["components_whole"](spark, "").collect()}
+    got = {r["id"]: r["component"] for r in graph_queries.QUERIES["components"](spark, "").collect()}
     assert got == up
-    stitched = {(r["src"], r["dst"]) for r in graph_queries.QUERIES["component_stitch_whole"](spark, "").collect()}
+    stitched = {(r["src"], r["dst"]) for r in graph_queries.QUERIES["component_stitch"](spark, "").collect()}
     assert stitched == {("r0", "ccc"), ("r0", "ff"), ("r0", "h")}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import client_queries, graph_queries, text_queries
+from .plans import cleaning_queries, client_queries, graph_queries, resolution_queries, sequence_queries, text_queries
 
-_MODULES = [graph_queries, text_queries, client_queries]
+_MODULES = [graph_queries, text_queries, cleaning_queries, resolution_queries, sequence_queries, client_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def chunks(text: Column, size: int = 6000, overlap: int = 800) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after ``. ! ?`` and at line breaks, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+|\\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+|\\n+"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r"))), lambda s: s != "")
 
 
 def occurrences(text: Column, term: Column) -> Column:
@@ -98,17 +98,30 @@ def iso_now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-#: (pattern in the text, pattern in the file name, topic), tried in order.
+# Fixed values: (pattern in the text, pattern in the file name, topic, what it is), tried in order. Pass a longer table where one is at hand.
 TOPICS = (
-    ("attention|transformer", "attention is all you need", "Transformer Architecture"),
-    ("voting|blockchain|zkp", "voting", "Secure Online Voting System"),
-)
+    (
+        "attention|transformer", "attention is all you need", "Transformer Architecture",
+        "A novel neural network architecture based solely on self-attention mechanisms, dispensing with recurrence and convolutions entirely.",
+    ),
+    (
+        "voting|blockchain|zkp", "voting", "Secure Online Voting System",
+        "A secure, transparent, and tamper-proof online voting system using Blockchain that eliminates central administrator trust.",
+    ),
+)
+
+
+def main_topic(sample: Column, filename: Column, topics: tuple[tuple[str, str, str, str], ...] = TOPICS) -> Column:
+    """Topic of a document by keywords of its first 15,000 characters and its file name; else a title from the file name."""
+    text, name = F.lower(F.substring(sample, 1, 15000)), F.lower(filename)
+    return F.coalesce(*[F.when(text.rlike(t) | name.rlike(n), topic) for t, n, topic, _ in topics], file_stem_title(filename))
 
 
-def main_topic(sample: Column, filename: Column, topics: tuple[tuple[str, str, str], ...] = TOPICS) -> Column:
-    """Topic of a document by keywords of its first 15,000 characters and its file name; else a title from the file name."""
+def topic_description(sample: Column, filename: Column, topics: tuple[tuple[str, str, str, str], ...] = TOPICS) -> Column:
+    """What ``main_topic`` is."""
     text, name = F.lower(F.substring(sample, 1, 15000)), F.lower(filename)
-    return F.coalesce(*[F.when(text.rlike(t) | name.rlike(n), topic) for t, n, topic in topics], file_stem_title(filename))
+    other = F.concat(F.lit("Unified knowledge map and conceptual analysis of the document "), filename, F.lit("."))
+    return F.coalesce(*[F.when(text.rlike(t) | name.rlike(n), about) for t, n, _, about in topics], other)
 
 
 def repair_json(raw: Column, schema: str = "nodes array<struct<label:string,name:string,description:string>>, relationships array<struct<from:string,to:string,type:string>>") -> Column:

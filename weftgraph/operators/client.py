@@ -62,6 +62,36 @@ def delete_session_entry(sessions: DataFrame, session_id: str, current: str) ->
     return left, newest["id"] if current == session_id else current
 
 
+def create_session_entry(sessions: DataFrame, session_id: str, name: str | None, created_at: int) -> DataFrame:
+    """The list with a new session (``Untitled Session`` without a name), of each id the first, newest first."""
+    new = sessions.sparkSession.createDataFrame([(session_id, name or "Untitled Session", created_at)], "id string, name string, created_at long")
+    last = sessions.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).first()["m"]
+    return newest_sessions(sessions.unionByName(new.withColumn("ord", F.lit(last + 1).cast(sessions.schema["ord"].dataType))))
+
+
+def name_sessions(sessions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sessions named after their first document (``session_id, title, ord``); one without documents keeps its name."""
+    first = documents.groupBy(F.col("session_id").alias("id")).agg(F.min_by("title", "ord").alias("_title"))
+    return sessions.join(first, "id", "left").withColumn("name", F.coalesce("_title", "name")).select(*sessions.columns)
+
+
+def set_status(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """List rows with the ``status`` and ``progress_pct`` of ``changes`` of the same id."""
+    new = changes.select("id", F.col("status").alias("_s"), F.col("progress_pct").alias("_p"))
+    out = rows.join(new, "id", "left").withColumn("status", F.coalesce("_s", "status")).withColumn("progress_pct", F.coalesce("_p", "progress_pct"))
+    return out.select(*rows.columns)
+
+
+def remove(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """List rows without those ids."""
+    return rows.join(ids.select("id").distinct(), "id", "left_anti").select(*rows.columns)
+
+
+def retry_schedule(attempts: int = 3, delay_ms: int = 1000, every_ms: int = 15_000) -> list[int]:
+    """Milliseconds of wait after each failed health check: a linear back-off, then the regular interval."""
+    return [delay_ms * k for k in range(1, attempts)] + [every_ms]
+
+
 def prepend(rows: DataFrame, new: DataFrame, pos: str = "pos") -> DataFrame:
     """New rows before the old ones; positions count on."""
     n = new.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))  # a single row
@@ -75,11 +105,13 @@ def services_ok(checks: DataFrame) -> DataFrame:
     return checks.agg(F.when(F.coalesce(F.bool_or(bad), F.lit(False)), "degraded").otherwise("ok").alias("status"), F.count_if(bad).alias("failing"))
 
 
-def prompt_context(name: Column, about: Column, level: Column, prerequisites: Column, related: Column, papers: Column) -> Column:
-    """What a language model is told about a node; empty lists are left out."""
-    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
-    head = [F.concat(F.lit("Node: "), name), F.concat(F.lit("Description: "), about), F.concat(F.lit("Difficulty: "), level)]
-    return F.concat_ws("\n", *head, listed("Prerequisites: ", prerequisites), listed("Related: ", related), listed("Papers: ", papers))
+def prompt_context(node: Column, prerequisites: Column, related: Column, papers: Column) -> Column:
+    """What a language model is told about a node (``name, description, difficulty_level``; null when nothing is selected); empty lists are left out."""
+    # The keys of the context.
+    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", "), F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("Focus Node: "), node["name"], F.lit("\nDescription: "), node["description"], F.lit("\nDifficulty: "), node["difficulty_level"], F.lit("\n"))
+    told = F.concat(head, listed("Prerequisites: ", prerequisites), listed("Related concepts: ", related), listed("Grounding Papers: ", papers))
+    return F.when(node.isNotNull(), told).otherwise("No focus node currently selected.")
 
 
 def isolated_extraction(chunks: DataFrame, extract: Callable[[str], dict], attempts: int = 2) -> DataFrame:
@@ -107,3 +139,16 @@ def isolated_extraction(chunks: DataFrame, extract: Callable[[str], dict], attem
 
     schema = f"doc_id {kind}, chunk_no int, nodes array<struct<label:string,name:string,description:string>>, relationships array<struct<`from`:string,`to`:string,type:string>>, error string"
     return chunks.select("doc_id", "chunk_no", "chunk").mapInPandas(run, schema)
+
+
+def extractor(extract: Callable[[str], dict], attempts: int = 2):
+    """An extractor for ``ingest`` from a function of one chunk: a chunk that fails twice is skipped and the others go on."""
+    from ..storage import materialise
+
+    def run(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+        got = materialise(isolated_extraction(pieces, extract, attempts), "extracted")
+        nodes = got.select("doc_id", "chunk_no", F.posexplode("nodes").alias("ord", "n")).select("doc_id", "chunk_no", "ord", "n.*")
+        rels = got.select("doc_id", "chunk_no", F.explode("relationships").alias("r"))
+        return nodes, rels.select("doc_id", "chunk_no", F.col("r.from").alias("from_name"), F.col("r.to").alias("to_name"), F.col("r.type").alias("type"))
+
+    return run

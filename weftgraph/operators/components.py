@@ -12,17 +12,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every endpoint of ``edges(a, b)``: component is the smallest id reachable.
 
     Alternating large-star and small-star rewrites: rows stay linear in the edges, hubs are pre-aggregated with
-    ``min`` before anything is joined, and the number of rounds grows with the logarithm of the diameter. Only
-    one number (a checksum of the edge set) reaches the driver in a round.
+    ``min`` before anything is joined, and the number of rounds grows with the logarithm of the diameter; an error says so when
+    they do not suffice. Only one number (a checksum of the edge set) reaches the driver in a round.
     """
     cur = materialise(
-        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
+        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", light=True
     )
     seen = None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(low2, "a")
@@ -31,13 +31,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("a != b")
             .distinct()
         )
-        nxt = materialise(small, "cc")
+        nxt = materialise(small, "cc", light=True)
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(cur)
         cur = nxt
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
+    else:
+        discard(cur)
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     star = cur.groupBy("a").agg(F.min("b").alias("component"))
     roots = cur.select(F.col("b").alias("id")).distinct().join(star.select(F.col("a").alias("id")), "id", "left_anti")
     return star.select(F.col("a").alias("id"), "component").unionByName(roots.select("id", F.col("id").alias("component")))

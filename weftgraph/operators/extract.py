@@ -11,25 +11,16 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import generic_words, singularize
+from ..functions.names import STOP_WORDS, generic_words, singularize
 from ..functions.text import ellipsis, sentences
 
-# Words that are no concept by themselves.
-STOP_WORDS = (
-    "the", "a", "an", "in", "on", "at", "for", "to", "with", "by", "of", "and", "or", "but", "this", "that", "these", "those", "it", "they",
-    "we", "you", "he", "she", "as", "if", "when", "is", "are", "was", "were", "been", "have", "has", "had", "do", "does", "did", "can",
-    "could", "should", "would", "will", "from", "through", "during", "before", "after", "under", "over", "between", "among", "chapter",
-    "section", "however", "therefore", "although", "furthermore", "thus", "so", "also", "then", "there", "their", "its", "our", "your",
-    "my", "his", "her", "i", "him", "himself", "hers", "herself", "itself", "them", "theirs", "themselves", "what", "which", "who", "whom",
-    "am", "be", "being", "having", "doing", "because", "until", "while", "about", "against", "into", "above", "below", "up", "down", "out",
-    "off", "again", "further", "once",
-)
 # Nouns that end a technical phrase.
 DOMAIN_NOUNS = (
     "system", "architecture", "method", "algorithm", "model", "approach", "framework", "network", "function", "mechanism", "protocol",
     "identity", "ledger", "credit", "market", "infrastructure", "verification", "technology", "proof", "signature", "decryption",
     "blockchain", "contract", "security",
 )
+# Fixed patterns: parts of names that tell their label, signs at the edges of words.
 _DATASET = "dataset|benchmark|corpus|data|source|wmt|imagenet|glue"
 _METHOD = "method|algorithm|model|approach|architecture|framework|network|function|optimizer"
 _EDGE = "^[,.;:()\\[\\]{}!?\"']+|[,.;:()\\[\\]{}!?\"']+$"
@@ -69,10 +60,10 @@ def capitalised_phrases(sents: DataFrame) -> DataFrame:
 
 def suffix_phrases(sents: DataFrame, generic: Iterable[str] | None = None) -> DataFrame:
     """Technical phrases: a domain noun with one or two plain words before it, each word capitalised."""
-    generic = list(generic) if generic is not None else generic_words()
+    generic = generic_words(generic or ())
     bare = F.transform(F.split("sentence", "\\s+"), lambda w: F.regexp_replace(w, _EDGE, ""))
     rows = sents.withColumn("w", bare).select("*", F.posexplode("w").alias("ord", "noun")).where(F.lower("noun").isin(*DOMAIN_NOUNS))
-    plain = lambda w: w.isNotNull() & w.rlike("(?U)^\\p{L}+$") & (F.upper(w) != w) & ~F.lower(w).isin(*STOP_WORDS, *generic)
+    plain = lambda w: w.isNotNull() & w.rlike("(?U)^\\p{L}+$") & (F.upper(w) != w) & ~F.lower(w).isin(*generic)
     one, two = F.when(F.col("ord") >= 1, F.get("w", F.col("ord") - 1)), F.when(F.col("ord") >= 2, F.get("w", F.col("ord") - 2))
     phrase = F.when(plain(one) & plain(two), F.concat_ws(" ", two, one, "noun")).when(plain(one), F.concat_ws(" ", one, "noun"))
     name = F.array_join(F.transform(F.split(singularize(phrase), "\\s+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")

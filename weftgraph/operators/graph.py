@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import EXPAND_TYPES, UTILITY_LABELS, display_name
+from ..schema import EXPAND_TYPES, UTILITY_LABELS, blank_to_null, display_name
 from ..storage import discard, materialise
 from .components import connected_components
 
@@ -56,6 +56,21 @@ class PropertyGraph:
         doc = F.col("doc_id")
         return self.nodes if multi else self.nodes.where(doc.isNull() | (doc == "") | (doc == document_id))
 
+    def documents(self, session_id: str) -> DataFrame:
+        """``id, title, status, progress_pct`` of a session's documents; a missing state is done, a missing or zero progress 100."""
+        own = self.nodes.where((F.col("label") == "Document") & (F.col("session_id") == session_id))
+        held = lambda c, kind: F.col(c) if c in self.nodes.columns else F.lit(None).cast(kind)
+        pct = held("progress_pct", "int")
+        return own.select(
+            "id", F.coalesce(blank_to_null(F.col("title")), F.lit("Untitled Document")).alias("title"), F.coalesce(blank_to_null(held("status", "string")), F.lit("done")).alias("status"),
+            F.coalesce(F.when(pct != 0, pct), F.lit(100)).cast("int").alias("progress_pct"),
+        )
+
+    def first_topic(self, document_id: str | None = None) -> DataFrame:
+        """``id, name`` of the first topic, by id, of all nodes or of a document."""
+        nodes = self.nodes if document_id is None else self.nodes.join(self.members(document_id), "id", "left_semi")
+        return nodes.where("label = 'Topic'").agg(F.min_by(F.struct("id", "name"), "id").alias("t")).where("t is not null").select("t.id", "t.name")
+
     # ---- nodes --------------------------------------------------------------------------------------------------
 
     def node(self, node_id: str) -> DataFrame:
@@ -72,16 +87,18 @@ class PropertyGraph:
 
     # ---- traversal ----------------------------------------------------------------------------------------------
 
-    def _steps(self, mode: str) -> DataFrame:
-        """Edges as steps ``here -> there``, original orientation kept; both ends must be nodes of this scope."""
-        g = self.induced()
-        if mode == "basic":
-            return g.edges.where("type = 'PREREQUISITE_OF'").select(F.col("dst").alias("here"), F.col("src").alias("there"), "src", "dst", "type").distinct()
-        kept = g.edges if mode == "any" else g.edges.where(F.col("type").isin(*EXPAND_TYPES))
-        kept = kept.select("src", "dst", "type").distinct()
-        out = kept.select(F.col("src").alias("here"), F.col("dst").alias("there"), "src", "dst", "type")
-        back = kept.select(F.col("dst").alias("here"), F.col("src").alias("there"), "src", "dst", "type")
-        return out.unionByName(back)
+    def _from(self, frontier: DataFrame, mode: str) -> DataFrame:
+        """``src, dst, type, there``: links of the ids ``here`` of a frontier, original orientation kept; the other end must be a node of this scope.
+
+        ``basic`` follows incoming prerequisites, ``any`` all links in both directions, any other mode those of the shown types. Only links that touch the
+        frontier, and the nodes at their other ends, are looked at.
+        """
+        kept = self.edges if mode == "any" else self.edges.where(F.col("type") == "PREREQUISITE_OF") if mode == "basic" else self.edges.where(F.col("type").isin(*EXPAND_TYPES))
+        kept = kept.select("src", "dst", "type")
+        near = kept.join(frontier, F.col("dst") == F.col("here")).select("src", "dst", "type", F.col("src").alias("there"))
+        if mode != "basic":
+            near = near.unionByName(kept.join(frontier, F.col("src") == F.col("here")).select("src", "dst", "type", F.col("dst").alias("there")))
+        return near.distinct().join(self.nodes.select(F.col("id").alias("there")).distinct(), "there", "left_semi")
 
     def expand(self, target: str, depth: int = 1, mode: str = "basic", cap: int | None = 150) -> tuple[DataFrame, DataFrame]:
         """(nodes with their hop, edges) on paths of at most ``depth`` hops from a node.
@@ -91,14 +108,15 @@ class PropertyGraph:
         """
         if not 1 <= depth <= 3:
             raise ValueError("depth is 1 to 3")
-        steps = materialise(self._steps(mode), "steps")  # used at every hop and for the edges
         reached = self.nodes.where(F.col("id") == target).select("id", F.lit(0).alias("hop")).limit(1)
-        frontier = reached
+        frontier, edges = reached, None
         for hop in range(1, depth + 1):
-            frontier = frontier.select(F.col("id").alias("here")).join(steps, "here").select(F.col("there").alias("id")).distinct().withColumn("hop", F.lit(hop))
+            near = materialise(self._from(frontier.select(F.col("id").alias("here")), mode), "hop", light=True)
+            frontier = near.select(F.col("there").alias("id")).distinct().join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
             reached = reached.unionByName(frontier)
-        reached = materialise(reached.groupBy("id").agg(F.min("hop").alias("hop")), "reached")
-        edges = steps.join(reached.where(F.col("hop") < depth).select(F.col("id").alias("here")), "here", "left_semi").select("src", "dst", "type").distinct()
+            edges = near.select("src", "dst", "type") if edges is None else edges.unionByName(near.select("src", "dst", "type"))
+        reached = reached.groupBy("id").agg(F.min("hop").alias("hop"))
+        edges = edges.distinct()
         nodes = reached
         if cap is not None:
             nodes = reached.orderBy("hop", "id").limit(cap)
@@ -115,8 +133,7 @@ class PropertyGraph:
 
     def shortest_path(self, start: str, goal: str, max_hops: int = 10) -> list[str]:
         """Ids of the shortest undirected path, the least in id order of those; empty if there is none."""
-        steps = materialise(self._steps("any").select("here", "there").distinct(), "steps")
-        seen = materialise(self.nodes.where(F.col("id") == start).select("id", F.array("id").alias("path")).limit(1), "bfs")
+        seen = materialise(self.nodes.where(F.col("id") == start).select("id", F.array("id").alias("path")).limit(1), "bfs", light=True)
         frontier, used = seen, [seen]
         found: list[str] = []
         for _ in range(max_hops + 1):
@@ -124,17 +141,22 @@ class PropertyGraph:
             if hit or frontier.isEmpty():
                 found = list(hit["path"]) if hit else []
                 break
-            nxt = frontier.join(steps, F.col("id") == F.col("here")).select(F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
+            pairs = self._from(frontier.select(F.col("id").alias("here")), "any").select("src", "dst", "there")
+            back = F.when(F.col("there") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
+            nxt = pairs.select(back.alias("id"), "there").distinct().join(frontier, "id").select(F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
             nxt = nxt.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
-            frontier = materialise(nxt, "bfs")
+            frontier = materialise(nxt, "bfs", light=True)
             used.append(frontier)
             seen = seen.unionByName(frontier)
-        for df in [steps, *used]:
+        for df in used:
             discard(df)
         return found
 
     def prerequisite_paths(self, target: str, max_hops: int = 5) -> DataFrame:
-        """All simple prerequisite chains that end at a node: ``path`` (from its start), ``hops``, ``root`` (nothing precedes the start anywhere)."""
+        """All simple prerequisite chains that end at a node: ``path`` (from its start), ``hops``, ``root`` (nothing precedes the start anywhere).
+
+        There are at most ``prerequisites ** max_hops`` of them, all of which are listed: the bound on hops is part of the question.
+        """
         ids = self.nodes.select("id").distinct()
         links = self.edges.where("type = 'PREREQUISITE_OF'").select("src", "dst").distinct().join(ids, F.col("src") == F.col("id"), "left_semi")
         level = ids.where(F.col("id") == target).select(F.array("id").alias("path"))
@@ -211,6 +233,7 @@ def path_edges(paths: DataFrame) -> DataFrame:
 
 def narration(names: Column) -> Column:
     """A sentence for each step of a path of names."""
+    # The wording of the narration.
     step = lambda x, i: (
         F.when(i == 0, F.concat(F.lit("First, build a solid foundation with **"), x, F.lit("**.")))
         .when(i == F.size(names) - 1, F.concat(F.lit("Finally, synthesize these tools to master the target concept **"), x, F.lit("**.")))
@@ -222,6 +245,7 @@ def narration(names: Column) -> Column:
 
 def paper_anchor(nodes: DataFrame, degrees: DataFrame, filename: str) -> tuple[DataFrame, DataFrame]:
     """(paper node, MENTIONS edge) for a graph without papers: titled from the file name, linked to its best-connected concept."""
+    # The wording of titles and descriptions, the labels that can be an anchor.
     title = F.trim(F.regexp_replace(F.regexp_replace(F.lit(filename), "^[0-9a-fA-F-]{36}_", ""), "(?i)\\.pdf$", ""))
     title = F.when(title == "", "Uploaded Research Paper").otherwise(title)
     none = nodes.agg(F.count_if(F.col("label") == "Paper").alias("papers")).where("papers = 0")

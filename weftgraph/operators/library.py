@@ -6,34 +6,150 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import citation
+from ..schema import blank_to_null
 from .graph import PropertyGraph
+from .mutations import CONCEPT_FAMILY, stable_id
 
-#: Stems that earn a provisional concept when no known concept covers them.
-NOTE_TRIGGERS = ("neural", "transformer")
-HIGHLIGHT_TRIGGERS = ("attention", "gradient")
+# Stems that earn a provisional concept when no concept of the session covers them, tried in order, and the concept's name.
+NOTE_TRIGGERS = (("neural", "Neural Networks"), ("transformer", "Transformers"))
+HIGHLIGHT_TRIGGERS = (("attention", "Self-attention"), ("gradient", "Gradient Descent"))
+PROVISIONAL = "Provisional concept created from {}."
 
 
-def concept_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+def concept_mentions(texts: DataFrame, names: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """``text_id, name`` where a text contains a name, regardless of case and word bounds.
 
-    ``texts(text_id, text)``, ``names(name)``. Names are joined on their first three letters against the distinct three-letter strings of a text, so
-    only names that can occur are looked for; there is no comparison of all texts with all names. Shorter names are matched by their own length.
+    ``texts(text_id, text)``, ``names(name)``, both with the columns ``scope`` if names count within a scope only. Names are joined on their first
+    three letters against the distinct three-letter strings of a text (shorter names, where there are any, against strings of their length). Only
+    ids and strings meet there; a text is fetched once for all of its candidates, which are then verified.
     """
+    scope = scope or []
     low = F.lower("text")
     name = F.lower(F.trim("name"))
-    keyed = names.where(F.length(name) > 0).select("name", name.alias("low_name"), F.substring(name, 1, 3).alias("gram")).distinct()
+    keyed = names.where(F.length(name) > 0).select(*scope, "name", name.alias("low_name"), F.substring(name, 1, 3).alias("gram")).distinct()
+    lengths = sorted(r[0] for r in keyed.select(F.length("gram").alias("k")).distinct().collect())  # at most three numbers
+    if not lengths:
+        return texts.where("false").select("text_id", F.lit("").alias("name"))
     starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    grams = lambda k: F.transform(starts, lambda i: F.substring(low, i, F.lit(k)))
-    rows = texts.select("text_id", low.alias("low"), F.explode(F.array_distinct(F.concat(grams(3), grams(2), grams(1)))).alias("gram"))
-    return rows.join(keyed, "gram").where(F.contains("low", F.col("low_name"))).select("text_id", "name").distinct()
 
+    def grams(k: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(low, i, F.lit(k)))
 
-def provisional_concepts(texts: DataFrame, mentions: DataFrame, triggers: tuple[str, ...]) -> DataFrame:
-    """``text_id, name``: triggers in texts that none of the mentioned concepts covers."""
-    asked = texts.select("text_id", F.lower("text").alias("low"), F.explode(F.array(*map(F.lit, triggers))).alias("trigger")).where(F.contains("low", F.col("trigger")))
-    covered = mentions.select("text_id", F.lower("name").alias("m"))
-    hit = asked.join(covered, "text_id").where(F.contains("m", F.col("trigger"))).select("text_id", "trigger")
-    return asked.join(hit, ["text_id", "trigger"], "left_anti").select("text_id", F.initcap("trigger").alias("name"))
+    rows = texts.select(*scope, "text_id", F.explode(F.array_distinct(F.concat(*map(grams, lengths)))).alias("gram"))
+    likely = rows.join(keyed, [*scope, "gram"]).select("text_id", *scope, "name", "low_name").distinct()
+    bodies = texts.select("text_id", *scope, low.alias("low"))
+    return bodies.join(likely, ["text_id", *scope]).where(F.contains("low", F.col("low_name"))).select("text_id", "name").distinct()
+
+
+def provisional_concepts(texts: DataFrame, concepts: DataFrame, triggers: tuple[tuple[str, str], ...]) -> DataFrame:
+    """``text_id, session_id, name``: for each text the first of the triggers in it that no concept of its session covers.
+
+    ``texts(text_id, text, session_id)``, ``concepts(name, session_id)``.
+    """
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("trigger"), F.lit(n).alias("name")) for i, (t, n) in enumerate(triggers)]))
+    rows = texts.select("text_id", "session_id", F.lower("text").alias("low"), asked.alias("t")).where(F.contains("low", F.col("t.trigger"))).select("text_id", "session_id", "t.*")
+    covers = [F.when(F.contains(F.lower("name"), F.lit(t)), F.lit(t)) for t, _ in triggers]
+    covered = concepts.select("session_id", F.explode(F.array_compact(F.array(*covers))).alias("trigger")).distinct()
+    free = rows.join(covered, rows["session_id"].eqNullSafe(covered["session_id"]) & (rows["trigger"] == covered["trigger"]), "left_anti")
+    return free.groupBy("text_id", "session_id").agg(F.min_by("name", "i").alias("name"))
+
+
+def _rows(df: DataFrame, **values) -> DataFrame:
+    return df.select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
+
+
+def _none(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _add_texts(g: PropertyGraph, texts: DataFrame, fresh: DataFrame, relation: str, triggers, kind: str) -> PropertyGraph:
+    """New notes or highlights (``fresh``) linked with the concepts of their session that ``texts`` mention, or with a provisional one."""
+    known = g.nodes.where(F.col("label").isin(*CONCEPT_FAMILY)).select("id", "name", "session_id")
+    said = concept_mentions(texts, known.select("name", "session_id").distinct(), ["session_id"]).join(texts.select("text_id", "session_id"), "text_id")
+    links = said.join(known.withColumnRenamed("id", "dst"), ["name", "session_id"]).select(F.col("text_id").alias("src"), "dst")
+    new = provisional_concepts(texts, known, triggers)
+    made = new.select("session_id", "name").distinct().withColumn("id", stable_id(F.coalesce("session_id", F.lit("")), F.col("name")))
+    born = _rows(made, id=F.col("id"), label="Concept", name=F.col("name"), description=PROVISIONAL.format(kind), difficulty_level="Beginner", session_id=F.col("session_id"), provisional=True)
+    links = links.unionByName(new.select(F.col("text_id").alias("src"), stable_id(F.coalesce("session_id", F.lit("")), F.col("name")).alias("dst")))
+    edges = _rows(links.distinct(), src=F.col("src"), dst=F.col("dst"), type=relation, doc_id=_none(), session_id=_none())
+    nodes = g.nodes.unionByName(fresh, allowMissingColumns=True).unionByName(born, allowMissingColumns=True)
+    return PropertyGraph(nodes, g.edges.unionByName(edges))
+
+
+def create_notes(g: PropertyGraph, notes: DataFrame) -> PropertyGraph:
+    """The graph with ``notes(id, content, session_id, created_at)``, each linked (``REFERENCES``) with the concepts of its session that it names."""
+    fresh = notes.select("id", F.lit("Note").alias("label"), "content", "created_at", "session_id")
+    return _add_texts(g, notes.select(F.col("id").alias("text_id"), F.col("content").alias("text"), "session_id"), fresh, "REFERENCES", NOTE_TRIGGERS, "note")
+
+
+def create_highlights(g: PropertyGraph, highlights: DataFrame) -> tuple[PropertyGraph, DataFrame]:
+    """(graph, ``id, status``) with ``highlights(id, text, page, source_document_id, session_id, created_at)``.
+
+    A highlight of a document that is not in its session is FORBIDDEN and leaves nothing; the others are ``EXTRACTED_FROM`` their document and ``RELATES_TO`` concepts.
+    """
+    docs = g.nodes.where("label = 'Document'").select(F.col("id").alias("source_document_id"), F.col("session_id").alias("_own")).distinct()
+    seen = highlights.join(docs, "source_document_id", "left").withColumn("status", F.when(F.col("_own") == F.col("session_id"), "OK").otherwise("FORBIDDEN"))
+    good = seen.where("status = 'OK'")
+    fresh = good.select("id", F.lit("Highlight").alias("label"), "text", "page", "created_at", "session_id")
+    out = _add_texts(g, good.select(F.col("id").alias("text_id"), "text", "session_id"), fresh, "RELATES_TO", HIGHLIGHT_TRIGGERS, "highlight")
+    taken = _rows(good, src=F.col("id"), dst=F.col("source_document_id"), type="EXTRACTED_FROM", doc_id=_none(), session_id=_none())
+    return PropertyGraph(out.nodes, out.edges.unionByName(taken)), seen.select("id", "status")
+
+
+def create_citations(g: PropertyGraph, asked: DataFrame) -> tuple[PropertyGraph, DataFrame]:
+    """(graph, ``id, status, style, formatted_text, paper_title``) with citations ``asked(id, paper_id, style, session_id)``.
+
+    A paper of another session is FORBIDDEN, one that is nowhere NOT_FOUND; neither leaves a citation.
+    """
+    extra = {c: F.col(c) if c in g.nodes.columns else _none(t) for c, t in (("year", "int"), ("doi", "string"))}
+    papers = g.nodes.where("label = 'Paper'").select(
+        F.col("id").alias("paper_id"), F.col("session_id").alias("_own"), F.coalesce(blank_to_null(F.col("title")), blank_to_null(F.col("name")), F.lit("Untitled Paper")).alias("paper_title"),
+        *[c.alias(k) for k, c in extra.items()],
+    )
+    wrote = g.edges.where("type = 'AUTHORED_BY'").select(F.col("src").alias("paper_id"), "dst").join(g.nodes.where("label = 'Author'").select(F.col("id").alias("dst"), "name"), "dst")
+    authors = wrote.groupBy("paper_id").agg(F.array_sort(F.collect_set("name")).alias("authors"))
+    seen = asked.join(papers, "paper_id", "left").join(authors, "paper_id", "left")
+    status = F.when(F.col("paper_title").isNull(), "NOT_FOUND").when(F.col("_own") == F.col("session_id"), "OK").otherwise("FORBIDDEN")
+    text = citation(F.col("style"), F.coalesce("authors", F.array().cast("array<string>")), F.col("year"), F.col("paper_title"), F.col("doi"))
+    done = seen.withColumn("status", status).withColumn("formatted_text", F.when(F.col("status") == "OK", text))
+    good = done.where("status = 'OK'")
+    fresh = good.select("id", F.lit("Citation").alias("label"), "style", "formatted_text", "session_id")
+    links = _rows(good, src=F.col("id"), dst=F.col("paper_id"), type="FOR_PAPER", doc_id=_none(), session_id=_none())
+    out = PropertyGraph(g.nodes.unionByName(fresh, allowMissingColumns=True), g.edges.unionByName(links))
+    title = F.when(F.col("status") == "OK", F.col("paper_title"))
+    return out, done.select("id", "status", "style", "formatted_text", title.alias("paper_title"))
+
+
+def citations_of(g: PropertyGraph, session_id: str, style: str | None = None) -> DataFrame:
+    """``id, style, formatted_text, paper_title`` of a session's citations, of one style (regardless of case) or all."""
+    own = g.nodes.where((F.col("label") == "Citation") & (F.col("session_id") == session_id)).select("id", "style", "formatted_text")
+    link = g.edges.where("type = 'FOR_PAPER'").select(F.col("src").alias("id"), F.col("dst").alias("paper"))
+    papers = g.nodes.where("label = 'Paper'").select(F.col("id").alias("paper"), F.coalesce("title", "name").alias("paper_title"))
+    return citations_by_style(own, style).join(link, "id").join(papers, "paper").drop("paper")
+
+
+def notes_of(g: PropertyGraph, session_id: str) -> DataFrame:
+    """``id, content, created_at, concepts`` of a session's notes, names sorted."""
+    own = g.nodes.where((F.col("label") == "Note") & (F.col("session_id") == session_id)).select("id", "content", "created_at")
+    link = g.edges.where("type = 'REFERENCES'").select(F.col("src").alias("text_id"), "dst").join(g.nodes.select(F.col("id").alias("dst"), "name"), "dst")
+    return notes_with_concepts(own.withColumnRenamed("id", "text_id"), link.select("text_id", "name")).withColumnRenamed("text_id", "id")
+
+
+def search_notes(notes: DataFrame, needle: str, case_sensitive: bool = False) -> DataFrame:
+    """Notes (``content, concepts``) that contain a string themselves or in the name of a concept."""
+    fold = (lambda c: c) if case_sensitive else F.lower
+    q = needle if case_sensitive else needle.lower()
+    return notes.where(F.contains(fold(F.col("content")), F.lit(q)) | F.exists("concepts", lambda c: F.contains(fold(c), F.lit(q))))
+
+
+def session_view(g: PropertyGraph, session_id: str) -> dict[str, DataFrame]:
+    """All that a client loads for a session: ``documents, nodes, edges, notes, highlights, citations``."""
+    shown = g.session_subgraph(session_id)
+    lights = g.nodes.where((F.col("label") == "Highlight") & (F.col("session_id") == session_id)).select("id", "text", "page", "created_at")
+    return {
+        "documents": g.documents(session_id), "nodes": shown.nodes, "edges": shown.edges, "notes": notes_of(g, session_id),
+        "highlights": highlights_of(g, lights), "citations": citations_of(g, session_id),
+    }
 
 
 def notes_with_concepts(notes: DataFrame, links: DataFrame) -> DataFrame:
@@ -74,13 +190,46 @@ def last_messages(messages: DataFrame, keep: int = 10) -> DataFrame:
     return messages.withColumn("_rn", rank).where(F.col("_rn") <= keep).drop("_rn")
 
 
-def answer(name: Column, level: Column, about: Column, prerequisites: Column, related: Column, papers: Column) -> Column:
-    """Plain answer about a node from its neighbourhood (arrays of names): all prerequisites, three related nodes, two papers."""
-    some = lambda label, names, k: F.when(F.size(names) > 0, F.concat(F.lit(label), F.array_join(F.slice(names, 1, k), ", ")))
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Node: "), name, F.lit(" ("), level, F.lit("). "), about),
-        F.coalesce(some("Prerequisites: ", prerequisites, 1000), F.lit("Prerequisites: none")),
-        some("Related: ", related, 3),
-        some("Papers: ", papers, 2),
+def answer(message: Column, node: Column, prerequisites: Column, related: Column, papers: Column, assistant: str = "AI") -> Column:
+    """Plain answer to a message about a node (``name, difficulty_level, description``; null when nothing is selected) from its neighbourhood (arrays of names).
+
+    All prerequisites, three related nodes and two papers are named.
+    """
+    # The wording of the answer.
+    name, chosen = F.coalesce(node["name"], F.lit("no active selection")), node.isNotNull()
+    listed = lambda before, names, k, after: F.when(F.size(names) > 0, F.concat(F.lit(before), F.array_join(F.slice(names, 1, k), ", "), F.lit(after))).otherwise("")
+    hello = F.concat(F.lit(f"Hi! I am your {assistant} tutor/assistant. You asked about **"), message, F.lit("** while focusing on the concept **"), name, F.lit("**.\n\n"))
+    told = F.concat(
+        F.lit("Here is how this node links to other elements in the database:\n- **Focus Node**: "), name, F.lit(" ("), node["difficulty_level"], F.lit(" level). Description: "), node["description"], F.lit("\n"),
+        F.when(F.size(prerequisites) > 0, F.concat(F.lit("- **Prerequisite Chain**: It depends on covering **"), F.array_join(prerequisites, ", "), F.lit("** first.\n"))).otherwise(
+            "- **Prerequisite Chain**: No immediate prerequisite dependencies mapped. It is a great place to start!\n"
+        ),
+        listed("- **Adjacent Paths**: Related expansions include **", related, 3, "**.\n"),
+        listed("- **Grounding Literature**: Key papers using or extending this method include: *", papers, 2, "*.\n"),
+        F.lit("\nIn relation to your query, we can observe that "), name,
+        F.lit(" acts as a key conceptual step. Would you like me to map out a step-by-step learning path from its prerequisites to advanced implementations?"),
+    )
+    nothing = F.lit(
+        "I see that you haven't selected a node on the canvas. Based on general knowledge, this concept represents a key building block. "
+        "To see how it connects in your uploaded documents, try clicking an element on the graph!"
     )
+    return F.concat(hello, F.when(chosen, told).otherwise(nothing))
+
+
+def answer_or_fallback(live: Column, error: Column, offline: Column) -> Column:
+    """What a model has said; if it broke off with an error, a notice and the offline answer follow."""
+    # The wording of the notice.
+    notice = F.concat(F.lit("\n*(Notice: Live API call failed due to: "), error, F.lit(". Falling back to mock assistant explanation)*\n\n"))
+    return F.when(error.isNull(), live).otherwise(F.concat(F.coalesce(live, F.lit("")), notice, offline))
+
+
+def append_chunks(messages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Streamed ``chunks(conv_id, n, chunk)`` joined to the last message of their conversation, in order, if that is the assistant's.
+
+    ``messages(conv_id, turn, role, text)``; others, and conversations without chunks, stay as they are.
+    """
+    more = chunks.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "chunk"))), lambda x: x["chunk"]), "").alias("_more"))
+    last = messages.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    rows = messages.join(last, "conv_id").join(more, "conv_id", "left")
+    own = (F.col("turn") == F.col("_last")) & (F.col("role") == "assistant")
+    return rows.withColumn("text", F.when(own, F.concat("text", F.coalesce("_more", F.lit("")))).otherwise(F.col("text"))).select(*messages.columns)

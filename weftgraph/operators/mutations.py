@@ -27,27 +27,33 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def upsert_nodes(nodes: DataFrame, new: DataFrame, on_match: str = "fill") -> DataFrame:
-    """Merge by lower-cased name, label family and session.
+#: What besides name and label family tells nodes apart: their session, nothing, or their document.
+MERGE_KEYS = {"session": ["session_id"], "name": [], "document": ["doc_id"]}
+
+
+def upsert_nodes(nodes: DataFrame, new: DataFrame, on_match: str = "fill", key: str = "session") -> DataFrame:
+    """Merge by lower-cased name, label family and, by ``key``, session, document or neither.
 
     ``fill``: a match keeps its non-empty description and takes title, year and doi where given; ``overwrite``: it takes every given value. Unmatched
     rows are added with their id, or a stable one. Of several new rows with one key the last (``ord``) counts.
     """
-    key = lambda df: df.withColumn("_k", F.lower(F.trim("name"))).withColumn("_f", family(F.col("label")))
+    scope = MERGE_KEYS[key]
+    keyed = lambda df: df.withColumn("_k", F.lower(F.trim("name"))).withColumn("_f", family(F.col("label")))
     order = F.desc("ord") if "ord" in new.columns else F.desc("name")
-    keyed = key(new).withColumn("_rn", F.row_number().over(Window.partitionBy("_k", "_f", "session_id").orderBy(order))).where("_rn = 1").drop("_rn", "ord")
-    other = keyed.select(*[F.col(c).alias(f"new_{c}") for c in keyed.columns])
-    old = key(nodes)
-    cond = _null_safe(old, other, ["_k", "_f", "session_id"]) & old["_k"].isNotNull()
+    last = keyed(new).withColumn("_rn", F.row_number().over(Window.partitionBy("_k", "_f", *scope).orderBy(order))).where("_rn = 1").drop("_rn", "ord")
+    other = last.select(*[F.col(c).alias(f"new_{c}") for c in last.columns])
+    old = keyed(nodes)
+    cond = _null_safe(old, other, ["_k", "_f", *scope]) & old["_k"].isNotNull()
     joined = old.join(other, cond, "full_outer")
     fresh = F.col("id").isNull()
+    place = [F.coalesce(f"new_{c}", F.lit("")) for c in scope] or [F.lit("")]
     out = []
     for c in nodes.columns:
         if f"new_{c}" not in other.columns:
             out.append(F.col(c))
         elif c == "id":
-            out.append(F.coalesce("id", "new_id", stable_id(F.coalesce("new_session_id", F.lit("")), F.col("new_name"))).alias("id"))
-        elif c in ("session_id", "name", "label"):
+            out.append(F.coalesce("id", "new_id", stable_id(place[0], F.col("new_name"))).alias("id"))
+        elif c in ("session_id", "doc_id", "name", "label"):
             out.append(F.when(fresh, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c))
         elif on_match == "fill" and c not in ("title", "year", "doi"):
             text = dict(nodes.dtypes)[c] == "string"
@@ -65,6 +71,20 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_new", "_rn")
 
 
+def merge_graph(g: PropertyGraph, new: PropertyGraph, key: str = "session") -> PropertyGraph:
+    """``new`` upserted into ``g``: nodes by name, family and ``key``, edges between the nodes that theirs have become."""
+    nodes = upsert_nodes(g.nodes, new.nodes, key=key)
+    keyed = lambda df: df.withColumn("_k", F.lower(F.trim("name"))).withColumn("_f", family(F.col("label")))
+    mine = keyed(new.nodes).select("id", "_k", "_f", *MERGE_KEYS[key])
+    theirs = keyed(nodes).where("_k is not null").groupBy("_k", "_f", *MERGE_KEYS[key]).agg(F.min("id").alias("_to"))
+    theirs = theirs.select("_to", *[F.col(c).alias(f"new_{c}") for c in ("_k", "_f", *MERGE_KEYS[key])])
+    became = mine.join(theirs, _null_safe(mine, theirs, ["_k", "_f", *MERGE_KEYS[key]])).select("id", "_to")
+    edges = new.edges
+    for end in ("src", "dst"):
+        edges = edges.join(became.select(F.col("id").alias(end), "_to"), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return PropertyGraph(nodes, upsert_edges(g.edges, edges.select(*g.edges.columns)))
+
+
 def link_contents(edges: DataFrame, document_id: str, ids: DataFrame) -> DataFrame:
     """A document contains nodes; links that are there already stay single."""
     none = F.lit(None).cast("string")

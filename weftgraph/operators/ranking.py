@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import idf, occurrences, priority_bonus
+from ..functions.text import chunks, idf, occurrences, priority_bonus
 
 RANKED_LABELS = ("Concept", "Keyword", "Method", "Dataset")
 
 
-def term_frequencies(terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """``doc_id, name, tf`` for the terms of each document, counted in its whole text."""
-    return terms.join(documents.select("doc_id", F.lower("text").alias("text")), "doc_id").select("doc_id", "name", occurrences(F.col("text"), F.lower("name")).alias("tf"))
+def term_weights(terms: DataFrame, documents: DataFrame, size: int = 6000, overlap: int = 800) -> DataFrame:
+    """``doc_id, name, tf, df, n``: occurrences of each term in its document, chunks that contain it, and all chunks.
 
+    The terms of a document come to its text as one array, so a text is neither copied for its terms nor for its chunks.
+    """
+    grouped = terms.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    pieces = F.transform(chunks(F.col("text"), size, overlap), lambda c: F.lower(c["chunk"]))
+    rows = documents.join(grouped, "doc_id").select("doc_id", "names", F.lower("text").alias("low"), pieces.alias("pieces"))
+    held = lambda name: F.size(F.filter("pieces", lambda p: F.contains(p, F.lower(name)))).cast("long").alias("df")
+    one = F.transform("names", lambda name: F.struct(name.alias("name"), occurrences(F.col("low"), F.lower(name)).alias("tf"), held(name)))
+    return rows.select("doc_id", F.size("pieces").cast("long").alias("n"), F.explode(one).alias("t")).select("doc_id", "t.name", "t.tf", "t.df", "n")
 
-def chunk_frequencies(terms: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``doc_id, name, df, n``: chunks of the document that contain the term, and all its chunks."""
-    rows = terms.join(chunks.select("doc_id", F.lower("chunk").alias("chunk")), "doc_id")
-    return rows.groupBy("doc_id", "name").agg(F.count_if(F.contains("chunk", F.lower("name"))).alias("df"), F.count("*").alias("n"))
 
-
-def tfidf(terms: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    got = term_frequencies(terms, documents).join(chunk_frequencies(terms, chunks), ["doc_id", "name"])
-    return got.withColumn("tfidf", F.col("tf") * idf(F.col("n"), F.col("df")))
+def tfidf(terms: DataFrame, documents: DataFrame, size: int = 6000, overlap: int = 800) -> DataFrame:
+    return term_weights(terms, documents, size, overlap).withColumn("tfidf", F.col("tf") * idf(F.col("n"), F.col("df")))
 
 
 def top_concepts(scored: DataFrame, keep: int = 80) -> DataFrame:

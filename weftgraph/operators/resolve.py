@@ -1,7 +1,7 @@
 """Entity resolution: leader clusters of similar names, canonical nodes, relations and enriched descriptions.
 
-The reference order is sequential (a name joins the first cluster whose *leader* is similar), so each scope (a document or session) is
-one Arrow group; its size is bounded by the concepts of one document. ``similar_pairs`` is the distributed form over any number of names.
+Clusters are sequential by definition (a name joins the first cluster whose *leader* is similar), so each scope (a document with the known
+concepts of its session) is one Arrow group. ``similar_pairs`` is the distributed form over any number of names.
 """
 
 from __future__ import annotations
@@ -9,30 +9,67 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import relation_type, similar_names, stem
+from ..storage import materialise
 
 LABEL_ORDER = ("Topic", "Paper", "Author", "Concept", "Keyword")
 
 
-def similar_pairs(names: DataFrame) -> DataFrame:
-    """``a, b`` (a < b) of distinct similar names. Blocked by stems and by initials, as similar names share one of them."""
-    low = F.lower(F.trim("name"))
-    words = F.filter(F.transform(F.split(F.replace(low, F.lit("-"), F.lit(" ")), "\\s+"), stem), lambda w: w != "")
-    initials = F.array_join(F.transform(F.filter(F.split(F.regexp_replace(low, "[^a-z\\s]", " "), "\\s+"), lambda w: (w != "") & ~w.isin("of", "and", "in", "from", "for", "with", "the")), lambda w: F.substring(w, 1, 1)), "")
-    letters = F.regexp_replace(low, "[^a-z]", "")
-    keys = F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.filter(F.array(F.concat(F.lit("i:"), initials), F.when(F.length(letters).between(2, 6), F.concat(F.lit("i:"), letters))), lambda k: k.isNotNull()))
-    rows = names.select("name").distinct().select("name", F.explode(F.array_distinct(keys)).alias("key"))
-    pairs = rows.select(F.col("name").alias("a"), "key").join(rows.select(F.col("name").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    return pairs.where(similar_names(F.col("a"), F.col("b")))
-
-
-def _similar(a: str, b: str) -> bool:
-    """``similar_names`` for two strings."""
+def similar_pairs(names: DataFrame, jaccard: float = 0.6) -> DataFrame:
+    """``a, b`` (a < b) of distinct similar names.
 
-    def stemmed(w):
+    Similar names share one of four kinds of keys, and only those meet: the whole stemmed name or one of its rarest stems (as many as overlaps of
+    ``jaccard`` need), an acronym and the initials of a phrase with or without its short words, the first word of the shorter name and any
+    word of the longer.
+    """
+    low = F.lower(F.trim("name"))
+    words = F.filter(F.split(low, "\\s+"), lambda w: w != "")
+    stems = F.filter(F.transform(F.split(F.replace(low, F.lit("-"), F.lit(" ")), "\\s+"), stem), lambda w: w != "")
+    plain = F.filter(F.split(F.regexp_replace(low, "[^a-z\\s]", " "), "\\s+"), lambda w: w != "")
+    main = F.filter(plain, lambda w: ~w.isin("of", "and", "in", "from", "for", "with", "the"))
+    initials = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")
+    src = names.where("name is not null").select("name").distinct()
+    src = materialise(
+        src.select(
+            "name", words.alias("words"), stems.alias("stems"), F.array_distinct(F.array(initials(plain), initials(main))).alias("initials"),
+            F.regexp_replace(low, "[^a-z]", "").alias("letters"), F.size(plain).alias("n_plain"),
+        ),
+        "names",
+    )
+    # stems, rarest first
+    each = src.select("name", F.size(F.array_distinct("stems")).alias("n"), F.explode(F.array_distinct("stems")).alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("c", "key"))
+    rare = each.join(often, "key").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1).select("name", F.concat(F.lit("s:"), "key").alias("key"))
+    whole = src.select("name", F.concat(F.lit("="), F.array_join("stems", " ")).alias("key"))
+    left = rare.unionByName(whole)
+    both = left.unionByName(src.where(F.length("letters").between(2, 6)).select("name", F.concat(F.lit("i:"), "letters").alias("key")))
+    both = both.unionByName(src.where((F.size("words") > 0) & (F.length("name") > 4)).select("name", F.concat(F.lit("f:"), F.get("words", F.lit(0))).alias("key")))
+    other = left.unionByName(src.where("n_plain >= 2").select("name", F.explode("initials").alias("k")).select("name", F.concat(F.lit("i:"), "k").alias("key")))
+    other = other.unionByName(src.where(F.length("name") > 4).select("name", F.explode(F.array_distinct("words")).alias("k")).select("name", F.concat(F.lit("f:"), "k").alias("key")))
+    met = both.select(F.col("name").alias("x"), "key").join(other.select(F.col("name").alias("y"), "key"), "key").where("x != y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.where(similar_names(F.col("a"), F.col("b"), jaccard))
+
+
+class Name:
+    """What the similarity of names looks at."""
+
+    def __init__(self, name: str):
+        self.low = name.lower().strip()
+        self.words = self.low.split()
+        self.stems = [x for x in map(self._stem, self.low.replace("-", " ").split()) if x]
+        self.bag = frozenset(self.stems)
+        self.letters = re.sub(r"[^a-z]", "", self.low)
+        plain = re.sub(r"[^a-z\s]", " ", self.low).split()
+        main = [w for w in plain if w not in ("of", "and", "in", "from", "for", "with", "the")]
+        self.initials = {"".join(w[0] for w in ws) for ws in (plain, main)} if len(plain) >= 2 else set()
+
+    @staticmethod
+    def _stem(w: str) -> str:
         w = w.rstrip(",.;:()[]{}-_")
         if w.endswith("ies"):
             w = w[:-3] + "y"
@@ -42,27 +79,29 @@ def _similar(a: str, b: str) -> bool:
             w = w[:-1]
         return w[:-3] if w.endswith("ing") else w
 
-    def acronym(s, p):
-        letters = re.sub(r"[^a-z]", "", s)
-        words = re.sub(r"[^a-z\s]", " ", p).split()
-        main = [w for w in words if w not in ("of", "and", "in", "from", "for", "with", "the")]
-        return 2 <= len(letters) <= 6 and len(words) >= 2 and letters in ("".join(w[0] for w in words), "".join(w[0] for w in main))
-
-    a, b = a.lower().strip(), b.lower().strip()
-    if a == b or acronym(a, b) or acronym(b, a):
-        return True
-    sa, sb = ([x for x in map(stemmed, n.replace("-", " ").split()) if x] for n in (a, b))
-    if sa == sb:
-        return True
-    both, either = set(sa) & set(sb), set(sa) | set(sb)
-    if either and len(both) >= 0.6 * len(either):
-        return True
-    short, long = (a, b) if len(a) < len(b) else (b, a)
-    return len(short) > 4 and short in long and short.split()[0] in long.split()
+    def short_for(self, other: Name) -> bool:
+        return 2 <= len(self.letters) <= 6 and self.letters in other.initials
+
+    def like(self, other: Name) -> bool:
+        """``similar_names`` of two names."""
+        if self.low == other.low or self.short_for(other) or other.short_for(self) or self.stems == other.stems:
+            return True
+        either = len(self.bag | other.bag)
+        if either and len(self.bag & other.bag) >= 0.6 * either:
+            return True
+        short, long = (self, other) if len(self.low) < len(other.low) else (other, self)
+        return len(short.low) > 4 and short.low in long.low and short.words[0] in long.words
+
+    def keys(self) -> set[str]:
+        """Similar names have one in common."""
+        return {f"={self.low}", *(f"s:{x}" for x in self.stems), *(f"w:{x}" for x in self.words), *(f"i:{x}" for x in self.initials), *([f"i:{self.letters}"] if 2 <= len(self.letters) <= 6 else [])}
 
 
 def leader_clusters(mentions: DataFrame, scope: str = "doc_id") -> DataFrame:
-    """``scope, ord, label, name, description, is_existing, cluster``: clusters numbered in order of their leaders."""
+    """``scope, ord, label, name, description, is_existing, cluster``: clusters numbered in order of their leaders.
+
+    A name is compared with the leaders that share a key with it, found in an index, so the work of a scope grows with its similar names.
+    """
     names = [scope, "ord", "label", "name", "description", "is_existing"]
     src = mentions.select(*names).where("name is not null and name != ''")
     kind = src.schema[scope].dataType.simpleString()
@@ -71,25 +110,39 @@ def leader_clusters(mentions: DataFrame, scope: str = "doc_id") -> DataFrame:
         import pyarrow as pa
 
         table = table.sort_by([("is_existing", "descending"), ("ord", "ascending")])
-        leaders: list[str] = []
+        leaders: list[Name] = []
+        index: dict[str, list[int]] = {}
+        known: dict[str, int] = {}
         out = []
         for name in table["name"].to_pylist():
-            at = next((i for i, x in enumerate(leaders) if _similar(name, x)), None)
+            at = known.get(name)
             if at is None:
-                at = len(leaders)
-                leaders.append(name)
+                own = Name(name)
+                keys = own.keys()
+                at = next((i for i in sorted({i for k in keys for i in index.get(k, ())}) if own.like(leaders[i])), None)
+                if at is None:
+                    at = len(leaders)
+                    leaders.append(own)
+                    for k in keys:
+                        index.setdefault(k, []).append(at)
+                known[name] = at
             out.append(at)
         return table.append_column("cluster", pa.array(out, pa.int32()))
 
     return src.groupBy(scope).applyInArrow(run, f"{scope} {kind}, ord int, label string, name string, description string, is_existing boolean, cluster int")
 
 
+def is_title(name: Column) -> Column:
+    """Each run of letters begins with a capital and goes on without, and there is one at least."""
+    return name.rlike("\\p{L}") & ~name.rlike("\\p{L}\\p{Lu}|(?:^|\\P{L})\\p{Ll}")
+
+
 def canonical_nodes(clustered: DataFrame, scope: str = "doc_id") -> DataFrame:
     """``scope, cluster, label, name, description, members``: the representative by an ordered fold, descriptions joined up to 300 characters."""
     member = F.struct((~F.col("is_existing")).alias("fresh"), "ord", "label", "name", F.coalesce(F.trim("description"), F.lit("")).alias("description"), "is_existing")
     got = clustered.groupBy(scope, "cluster").agg(F.array_sort(F.collect_list(member)).alias("m"))
     priority = lambda x: F.coalesce(F.when(x["label"].isin(*LABEL_ORDER), F.array_position(F.array(*map(F.lit, LABEL_ORDER)), x["label"])), F.lit(99))
-    titled = lambda x: F.initcap(x["name"]) == x["name"]
+    titled = lambda x: is_title(x["name"])
 
     def better(rep, x):
         swap = (
@@ -111,6 +164,13 @@ def name_mapping(clustered: DataFrame, canonical: DataFrame, scope: str = "doc_i
     return rows.groupBy(scope, "key").agg(F.max_by("canonical", "cluster").alias("canonical"))
 
 
+def name_frequency(mentions: DataFrame, mapping: DataFrame, scope: str = "doc_id") -> DataFrame:
+    """``scope, name, freq``: how often each canonical name is mentioned, under whatever name."""
+    key = mentions.select(scope, F.lower(F.trim("name")).alias("key"), "name")
+    named = key.join(mapping, [scope, "key"], "left").select(scope, F.coalesce("canonical", "name").alias("name"))
+    return named.groupBy(scope, "name").agg(F.count("*").alias("freq"))
+
+
 def canonical_relations(rels: DataFrame, mapping: DataFrame, scope: str = "doc_id") -> DataFrame:
     """``scope, from_name, to_name, type``: typed, mapped, without self-loops, each once."""
     src = rels.where("from_name is not null and from_name != '' and to_name is not null and to_name != ''")

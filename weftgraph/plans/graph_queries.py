@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import graph as ops
 from ..operators.graph import PropertyGraph
 from ..schema import EXPAND_TYPES, primary_label
-from ..sources.derived import GRAPH_SQL, derived_graph
+from ..sources.derived import GRAPH_SQL
+from ..sources.derived import stored_graph as derived_graph
 
 SESSION = "7"
 QUERIES: dict = {}
@@ -144,19 +145,42 @@ def namespace_filter(spark, sf):
     return g.own_namespace(one_document(g)).select("id")
 
 
+#: Documents with the state that their orders have; some have no title, some no progress.
+_DOC_STATE = "dst AS (SELECT n.id, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE title END AS title, CASE o_orderstatus WHEN 'O' THEN 'processing' WHEN 'F' THEN 'done' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 100 END AS pct, session_id FROM nodes n JOIN orders ON n.id = 'o' || o_orderkey WHERE label = 'Document')"
+
+
+def _stated(spark, sf) -> PropertyGraph:
+    g = derived_graph(spark, sf)
+    k = F.col("o_orderkey")
+    state = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.concat(F.lit("o"), k).alias("id"), (k % 5 == 0).alias("bare"), F.when(F.col("o_orderstatus") == "O", "processing").when(F.col("o_orderstatus") == "F", "done").alias("status"),
+        F.when(k % 3 == 0, 0).otherwise(k % 100).cast("int").alias("progress_pct"),
+    )
+    nodes = g.nodes.join(state, "id", "left").withColumn("title", F.when(F.col("bare"), "").otherwise(F.col("title"))).drop("bare")
+    return PropertyGraph(nodes, g.edges)
+
+
 @query(
     "session_documents",
-    f""" SELECT id, coalesce(nullif(title, ''), 'Untitled Document') AS title, 'done' AS status, 100 AS progress_pct FROM nodes
-    WHERE label = 'Document' AND session_id = '{SESSION}'""",
+    f", {_DOC_STATE} SELECT id, coalesce(nullif(title, ''), 'Untitled Document') AS title, coalesce(status, 'done') AS status, CAST(coalesce(nullif(pct, 0), 100) AS INTEGER) AS progress_pct FROM dst WHERE session_id = '{SESSION}'",
 )
 def session_documents(spark, sf):
-    docs = derived_graph(spark, sf).nodes.where((F.col("label") == "Document") & (F.col("session_id") == SESSION))
-    return docs.select("id", F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Untitled Document")).alias("title"), F.lit("done").alias("status"), F.lit(100).alias("progress_pct"))
+    return _stated(spark, sf).documents(SESSION)
 
 
 @query("first_topic", " SELECT id, name FROM nodes WHERE label = 'Topic' ORDER BY id LIMIT 1")
 def first_topic(spark, sf):
-    return derived_graph(spark, sf).nodes.where("label = 'Topic'").agg(F.min_by(F.struct("id", "name"), "id").alias("t")).select("t.id", "t.name")
+    return derived_graph(spark, sf).first_topic()
+
+
+@query("first_topic_of_document", f", {_DOC}, m AS (SELECT dst AS id FROM edges JOIN doc ON src = doc.id WHERE type = 'CONTAINS' UNION SELECT n.id FROM nodes n JOIN doc ON n.doc_id = doc.id), t AS (SELECT n.id, n.name FROM nodes n JOIN m USING (id) ORDER BY n.id LIMIT 2) SELECT max(id) AS id, arg_max(name, id) AS name FROM t")
+def first_topic_of_document(spark, sf):
+    """The first member of a document is made a paper and the second a topic: that is its first topic."""
+    g = derived_graph(spark, sf)
+    doc = one_document(g)
+    ids = [r["id"] for r in g.members(doc).orderBy("id").limit(2).collect()]
+    label = F.when(F.col("id") == ids[-1], "Topic").when(F.col("id") == ids[0], "Paper").otherwise(F.col("label")) if ids else F.col("label")
+    return PropertyGraph(g.nodes.withColumn("label", label), g.edges).first_topic(doc)
 
 
 def _expand_sql(depth: int, mode: str, what: str) -> str:
@@ -215,7 +239,7 @@ def _pair(g: PropertyGraph) -> tuple[str, str]:
 
 
 _DIST = f""", {_TGT}, {_PAIR}, st AS (SELECT src AS here, dst AS there FROM te UNION SELECT dst, src FROM te), f AS (
-  SELECT a AS id, 0 AS d FROM ends UNION SELECT st.there, f.d + 1 FROM f JOIN st ON st.here = f.id WHERE f.d < 10 AND f.d < 6
+  SELECT a AS id, 0 AS d FROM ends UNION SELECT st.there, f.d + 1 FROM f JOIN st ON st.here = f.id WHERE f.d < 10
 ), fm AS (SELECT id, min(d) AS d FROM f GROUP BY id)"""
 
 
@@ -275,8 +299,8 @@ def learning_path_any(spark, sf):
     return _learn(spark, sf, prefer_root=False)[1].select(F.array_join("path", ">").alias("path"), "hops")
 
 
-@query("learning_path_uncapped", f"{_paths_sql(8)}, {_BEST_ANY} SELECT array_to_string(path, '>') AS path, hops FROM best", recursive=True)
-def learning_path_uncapped(spark, sf):
+@query("learning_path_8_hops", f"{_paths_sql(8)}, {_BEST_ANY} SELECT array_to_string(path, '>') AS path, hops FROM best", recursive=True)
+def learning_path_8_hops(spark, sf):
     return _learn(spark, sf, max_hops=8, prefer_root=False)[1].select(F.array_join("path", ">").alias("path"), "hops")
 
 
@@ -316,6 +340,15 @@ def context_buckets(spark, sf):
     return g.context(busiest(g))
 
 
+def node_with_context(g: PropertyGraph, target: str) -> DataFrame:
+    """``node, prerequisites, related, papers``: a node as a struct and the names around it."""
+    kinds = ("prerequisites", "related", "papers")
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("rank", "name")))), lambda x: x["name"]).alias(b) for b in kinds]
+    ctx = g.context(target).agg(*listed).withColumn("one", F.lit(1))  # a single row
+    node = g.node(target).select(F.struct("name", "difficulty_level", "description").alias("node"), F.lit(1).alias("one"))
+    return node.join(F.broadcast(ctx), "one").select("node", *kinds)
+
+
 @query(
     "degree",
     """ SELECT n.id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(i, 0) + coalesce(o, 0) AS degree FROM (SELECT DISTINCT id FROM nodes) n
@@ -340,45 +373,24 @@ def top_connected(spark, sf):
     return derived_graph(spark, sf).degrees().select("id", F.col("degree").alias("connections")).orderBy(F.desc("connections"), "id").limit(10)
 
 
-#: A thin, broken-up graph: topics and the authorship links of every 40th part.
-_THIN = f""", tn AS (SELECT * FROM nodes WHERE label IN ('Topic', 'Subtopic') OR session_id = '{SESSION}' AND label <> 'Document'), te AS (
-  SELECT src, dst FROM edges WHERE (type = 'EXTENDS' OR type = 'AUTHORED_BY' AND length(src) % 3 = 0) AND src IN (SELECT id FROM tn) AND dst IN (SELECT id FROM tn)),
-  un AS (SELECT src AS a, dst AS b FROM te UNION SELECT dst, src FROM te), w AS (
-    SELECT id, id AS c FROM tn UNION SELECT un.b, w.c FROM w JOIN un ON un.a = w.id
-  ), comp AS (SELECT id, min(c) AS component FROM w GROUP BY id)"""
+_COMPONENTS = """, ids AS MATERIALIZED (SELECT DISTINCT id FROM nodes), un AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+  cc(id, c) USING KEY (id) AS (SELECT id, id FROM ids UNION (SELECT un.b, min(cc.c) FROM cc JOIN un ON un.a = cc.id JOIN recurring.cc AS r ON r.id = un.b WHERE cc.c < r.c GROUP BY un.b)),
+  comp AS (SELECT id, c AS component FROM cc)"""
 
 
-def _thin(spark, sf) -> PropertyGraph:
-    g = derived_graph(spark, sf)
-    nodes = g.nodes.where(F.col("label").isin("Topic", "Subtopic") | ((F.col("session_id") == SESSION) & (F.col("label") != "Document")))
-    edges = g.edges.where((F.col("type") == "EXTENDS") | ((F.col("type") == "AUTHORED_BY") & (F.length("src") % 3 == 0)))
-    return PropertyGraph(nodes, edges)
-
-
-@query("components", f"{_THIN} SELECT * FROM comp", recursive=True)
+@query("components", f"{_COMPONENTS} SELECT * FROM comp", recursive=True)
 def components(spark, sf):
-    return _thin(spark, sf).components()
+    return derived_graph(spark, sf).components()
 
 
 @query(
     "component_stitch",
-    f"""{_THIN}, dg AS (SELECT id, component, (SELECT count(*) FROM un WHERE un.a = comp.id) AS d FROM comp),
-    pick AS (SELECT component, id FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY d DESC, id) AS rn FROM dg) WHERE rn = 1)
+    f"""{_COMPONENTS}, dg AS (SELECT a AS id, count(*) AS d FROM un GROUP BY a),
+    pick AS (SELECT component, id FROM (SELECT comp.id, component, row_number() OVER (PARTITION BY component ORDER BY coalesce(d, 0) DESC, comp.id) AS rn FROM comp LEFT JOIN dg USING (id)) WHERE rn = 1)
     SELECT 'r0' AS src, pick.id AS dst, 'RELATED_TO' AS type FROM pick WHERE component <> (SELECT component FROM comp WHERE id = 'r0')""",
     recursive=True,
 )
 def component_stitch(spark, sf):
-    return _thin(spark, sf).stitch("r0")
-
-
-@query("components_whole")
-def components_whole(spark, sf):
-    """Components of the whole derived graph: every session, edge type and id. No SQL: recursion over it is too slow."""
-    return derived_graph(spark, sf).components()
-
-
-@query("component_stitch_whole")
-def component_stitch_whole(spark, sf):
     return derived_graph(spark, sf).stitch("r0")
 
 

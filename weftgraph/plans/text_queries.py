@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import cleaning, names, text
-from ..operators import extract, library, mutations, ranking, resolve, sequences
+from ..functions import names, text
+from ..operators import extract, library, mutations, ranking
 from ..operators.graph import PropertyGraph
-from ..sources.derived import derived_graph
+from ..sources.derived import stored_graph as derived_graph
 from ..storage import materialise, table
 from ..streaming import status
-from . import graph_queries, ingest
+from . import cleaning_queries, graph_queries, ingest
+from .resolution_queries import SINGULAR
 
 SESSION = graph_queries.SESSION
 QUERIES: dict = {}
@@ -57,13 +58,13 @@ def progress_of_chunks(spark, sf):
 
 _SENT = """sents AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS sent, sentence FROM (
-    SELECT doc_id, k, trim(s[k], ' ') AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (
+    SELECT doc_id, k, trim(s[k], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (
       SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS s FROM documents)))
   WHERE sentence <> '')"""
 _PHRASE = f"""{_SENT}, phrases AS (
   SELECT doc_id, sent, o - 1 AS ord, p[o] AS phrase FROM (SELECT doc_id, sent, p, unnest(range(1, len(p) + 1)) AS o FROM (
     SELECT doc_id, sent, regexp_extract_all(regexp_replace(sentence, '[A-Za-z0-9_]*[^\\x00-\\x7F](?:[A-Za-z0-9_]|[^\\x00-\\x7F])*', '_', 'g'), '\\b([A-Z][a-zA-Z0-9''-]*(?:\\s+[A-Z][a-zA-Z0-9''-]*)*)\\b', 1) AS p FROM sents))
-  WHERE length(p[o]) >= 3 AND lower(p[o]) NOT IN ({", ".join(f"'{w}'" for w in extract.STOP_WORDS)}))"""
+  WHERE length(p[o]) >= 3 AND lower(p[o]) NOT IN ({", ".join(f"'{w}'" for w in names.STOP_WORDS)}))"""
 
 
 def _whole(spark, sf):
@@ -81,11 +82,7 @@ def capitalized_phrases(spark, sf):
     return extract.capitalised_phrases(extract.sentence_rows(_whole(spark, sf))).select("doc_id", "sent", "ord", "phrase")
 
 
-_SING = """CASE WHEN lower({0}) LIKE '%ies' THEN left({0}, -3) || 'y' WHEN lower({0}) LIKE '%ices' THEN left({0}, -4) || 'ex' WHEN lower({0}) LIKE '%es' THEN left({0}, -2)
-  WHEN lower({0}) LIKE '%s' AND NOT regexp_matches(lower({0}), '(ss|us|is)$') THEN left({0}, -1) ELSE {0} END"""
-
-
-@query("singularize", f"WITH {_PHRASE} SELECT DISTINCT phrase, {_SING.format('phrase')} AS singular FROM phrases")
+@query("singularize", f"WITH {_PHRASE} SELECT DISTINCT phrase, {SINGULAR.format('phrase')} AS singular FROM phrases")
 def singularize(spark, sf):
     rows = extract.capitalised_phrases(extract.sentence_rows(_whole(spark, sf))).select("phrase").distinct()
     return rows.select("phrase", names.singularize(F.col("phrase")).alias("singular"))
@@ -93,7 +90,7 @@ def singularize(spark, sf):
 
 @query(
     "phrase_labels",
-    f"""WITH {_PHRASE}, n AS (SELECT {_SING.format('phrase')} AS name FROM phrases), l AS (SELECT CASE
+    f"""WITH {_PHRASE}, n AS (SELECT {SINGULAR.format('phrase')} AS name FROM phrases), l AS (SELECT CASE
       WHEN regexp_matches(name, 'University|Institute|Research|Lab|Company|Google|Microsoft') THEN 'Institution'
       WHEN regexp_matches(lower(name), 'dataset|benchmark|corpus|data|source|wmt|imagenet|glue') THEN 'Dataset'
       WHEN regexp_matches(lower(name), 'method|algorithm|model|approach|architecture|framework|network|function|optimizer') THEN 'Method'
@@ -117,14 +114,18 @@ _TF = "tf AS (SELECT t.doc_id, name, CAST((length(lower(text)) - length(replace(
 _DF = "df AS (SELECT t.doc_id, name, sum(contains(lower(chunk), name)::INT)::BIGINT AS df, count(*) AS n FROM terms t JOIN chunks c ON c.doc_id = t.doc_id GROUP BY ALL)"
 
 
+def _weights(spark, sf):
+    return ranking.term_weights(_terms(spark, sf), _docs(spark, sf))
+
+
 @query("term_tf", f"WITH {_TERMS}, {_TF} SELECT * FROM tf")
 def term_tf(spark, sf):
-    return ranking.term_frequencies(_terms(spark, sf), _docs(spark, sf))
+    return _weights(spark, sf).select("doc_id", "name", "tf")
 
 
 @query("term_df", f"WITH {_TERMS}, {_CHUNKS}, {_DF} SELECT * FROM df")
 def term_df(spark, sf):
-    return ranking.chunk_frequencies(_terms(spark, sf), ingest.chunk_rows(_docs(spark, sf)))
+    return _weights(spark, sf).select("doc_id", "name", "df", "n")
 
 
 _IDF = "w AS (SELECT doc_id, name, tf, df, n, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS tfidf FROM tf JOIN df USING (doc_id, name))"
@@ -132,7 +133,7 @@ _IDF = "w AS (SELECT doc_id, name, tf, df, n, tf * (ln((1 + n) / (1 + df)::DOUBL
 
 @query("tfidf", f"WITH {_TERMS}, {_CHUNKS}, {_TF}, {_DF}, {_IDF} SELECT doc_id, name, tf, df, n, round(tfidf, 6) AS tfidf FROM w")
 def tfidf(spark, sf):
-    got = ranking.tfidf(_terms(spark, sf), _docs(spark, sf), ingest.chunk_rows(_docs(spark, sf)))
+    got = ranking.tfidf(_terms(spark, sf), _docs(spark, sf))
     return got.select("doc_id", "name", "tf", "df", "n", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -143,245 +144,105 @@ def tfidf(spark, sf):
     SELECT doc_id, name, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS rank FROM s) WHERE rank <= 80""",
 )
 def rank_top80(spark, sf):
-    w = ranking.tfidf(_terms(spark, sf), _docs(spark, sf), ingest.chunk_rows(_docs(spark, sf)))
+    w = ranking.tfidf(_terms(spark, sf), _docs(spark, sf))
     rows = w.select("doc_id", "name", F.lit("Concept").alias("label"), "tfidf", F.lit(0).alias("degree"), F.col("tf").alias("freq"), F.col("name").alias("ord"))
     rounded = rows.withColumn("tfidf", F.round((F.col("tfidf") + F.col("freq") * 10) * text.priority_bonus(F.col("name")), 6) / text.priority_bonus(F.col("name"))).withColumn("freq", F.lit(0))
     return ranking.top_concepts(rounded, 80).select("doc_id", "name", F.round("score", 6).alias("score"), "rank")
 
 
-# ---- cleaning -----------------------------------------------------------------------------------------------------------
-
-_LINES = "lines AS (SELECT doc_id, k - 1 AS line_no, trim(l[k], ' ' || chr(9)) AS line, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
-
-
-def _pages(spark, sf, per_page: int = 10):
-    """Documents as pages of ten lines."""
-    lines = F.split("text", "\n")
-    page = lambda p: F.struct(p.alias("page_no"), F.array_join(F.slice("l", p * per_page + 1, F.lit(per_page)), "\n").alias("text"))
-    rows = _docs(spark, sf).select("doc_id", lines.alias("l")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / per_page).cast("int")), page)).alias("p"))
-    return rows.select("doc_id", "p.*")
-
-
-@query(
-    "lines_noise_filter",
-    f"""WITH {_LINES} SELECT doc_id, count(*) AS n_lines, sum((regexp_full_match(line, '\\d+') OR regexp_matches(line, '(?i)^(page|pg\\.?)\\s*\\d+$') OR regexp_matches(line, '(?i)^\\d+\\s*(of|/)\\s*\\d+$')
-      OR regexp_matches(line, '(?i)^(table|figure|fig|chapter|section)\\s+\\d+\\b'))::INT)::BIGINT AS n_noise FROM lines GROUP BY doc_id""",
-)
-def lines_noise_filter(spark, sf):
-    rows = sequences.text_lines(_docs(spark, sf))
-    noise = F.col("line").rlike("^\\d+$|(?i)^(page|pg\\.?)\\s*\\d+$|(?i)^\\d+\\s*(of|/)\\s*\\d+$|(?i)^(table|figure|fig|chapter|section)\\s+\\d+\\b")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(noise).alias("n_noise"))
-
-
-@query(
-    "header_footer_templates",
-    f"""WITH {_LINES}, p AS (SELECT doc_id, line_no // 10 AS page_no, line_no % 10 AS i, line, least(n - (line_no // 10) * 10, 10) AS m FROM lines),
-    pages AS (SELECT doc_id, max(page_no) + 1 AS pages FROM p GROUP BY doc_id), t AS (
-      SELECT doc_id, 'top' AS place, regexp_replace(lower(line), '\\d+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]', '', 'g') AS template FROM p WHERE i < 3
-      UNION ALL SELECT doc_id, 'bottom', regexp_replace(lower(line), '\\d+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]', '', 'g') FROM p WHERE i >= m - 3)
-    SELECT doc_id, place, template, count(*) AS n, count(*) >= greatest(2, floor(any_value(pages) * 0.15)) AS header_footer FROM t JOIN pages USING (doc_id)
-    WHERE length(template) > 3 GROUP BY doc_id, place, template""",
-)
-def header_footer_templates(spark, sf):
-    return cleaning.templates(cleaning.page_lines(_pages(spark, sf)))
-
-
-@query(
-    "unique_word_ratio",
-    f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM lines)
-    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, round(len(list_distinct(w)) / len(w)::DOUBLE, 6) AS ratio FROM w WHERE len(w) > 0""",
-)
-def unique_word_ratio(spark, sf):
-    rows = sequences.text_lines(_docs(spark, sf))
-    return rows.select("doc_id", "line_no", F.round(cleaning.word_variety(F.col("line")), 6).alias("ratio")).where("ratio is not null")
-
-
-@query("clean_documents")
-def clean_documents(spark, sf):
-    return cleaning.clean_documents(_pages(spark, sf)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
-
-
-@query("fix_spacing")
-def fix_spacing(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(cleaning.spaced(F.col("text"))).alias("text_md5"))
-
-
-# ---- names --------------------------------------------------------------------------------------------------------------
-
-_RAW = "raw AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'the ' || p_name || 's,' WHEN 2 THEN '\"' || upper(p_name) || '\"' ELSE p_name || ' of a ' || p_type END AS raw FROM part)"
-
-
-def _raw(spark, sf):
-    p = table(spark, sf, "part")
-    k = F.col("p_partkey") % 4
-    raw = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("the "), "p_name", F.lit("s,"))).when(k == 2, F.concat(F.lit('"'), F.upper("p_name"), F.lit('"'))).otherwise(F.concat("p_name", F.lit(" of a "), "p_type"))
-    return p.select("p_partkey", raw.alias("raw"))
-
-
-_EDGE = "|".join(sorted(names.EDGE_WORDS, key=lambda w: (-len(w), w)))
-_NORM = f"""{_RAW}, n1 AS (SELECT p_partkey, raw, regexp_replace(regexp_replace(regexp_replace(trim(raw), '^["''`*_]+|["''`*_]+$', '', 'g'), '[,.;:-]+$', ''), '\\s+', ' ', 'g') AS n FROM raw),
-n2 AS (SELECT p_partkey, raw, regexp_replace(regexp_replace(n, '(?i)^(?:(?:{_EDGE})(?: |$))+', ''), '(?i)(?:(?:^| )(?:{_EDGE}))+$', '') AS n FROM n1),
-n3 AS (SELECT p_partkey, raw, {_SING.format('n')} AS n FROM n2),
-norm AS (SELECT p_partkey, raw, array_to_string(list_transform(string_split(n, ' '), lambda w: CASE WHEN upper(w) = w AND lower(w) <> w AND length(w) > 1 THEN w ELSE
-  array_to_string(list_transform(string_split(w, '-'), lambda p: upper(left(p, 1)) || substr(p, 2)), '-') END), ' ') AS name FROM n3)"""
-
-
-@query("normalize_names", f"WITH {_NORM} SELECT p_partkey, raw, name FROM norm")
-def normalize_names(spark, sf):
-    return _raw(spark, sf).select("p_partkey", "raw", names.normalize_name(F.col("raw")).alias("name"))
-
-
-_GENERIC = ", ".join(f"'{w}'" for w in names.generic_words())
-_LIST = lambda ws: ", ".join(f"'{w}'" for w in ws)
-_QUAL = f"""{_NORM}, q AS (SELECT p_partkey, raw, name, lower(name) AS low, string_split(lower(name), ' ') AS ws FROM norm), quality AS (SELECT p_partkey, raw, name, CASE
-  WHEN length(name) < 3 OR len(ws) > 4 OR length(name) > 40 OR (len(ws) = 1 AND length(name) > 17) OR regexp_matches(name, '[.!?;:]\\s') THEN 0.0
-  WHEN list_has_any(ws, [{_LIST(names.SENTENCE_VERBS)}]) OR list_has_any(ws, [{_LIST(names.SPAM_WORDS)}]) OR regexp_matches(low, 'abc xyz|xyz qwe|testtest') THEN 0.0
-  WHEN length(name) < 4 AND NOT (regexp_replace(name, '[^a-zA-Z]', '', 'g') <> '' AND upper(regexp_replace(name, '[^a-zA-Z]', '', 'g')) = regexp_replace(name, '[^a-zA-Z]', '', 'g')) THEN 0.0
-  WHEN low IN ({_GENERIC}) OR (low LIKE '%s' AND NOT regexp_matches(low, '(ss|us|is)$') AND left(low, -1) IN ({_GENERIC})) THEN 0.0
-  WHEN len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1] AND length(ws[i]) >= 2)) > 0 THEN 0.0
-  WHEN len(list_filter(range(1, length(low) + 1), lambda i: len(list_filter(range(3, length(low) // 2 + 1), lambda k: substr(low, i, k) = substr(low, i + k, k) AND regexp_full_match(substr(low, i, k), '\\w+'))) > 0)) > 0 THEN 0.0
-  WHEN regexp_matches(low, '\\b[a-z]+\\d+[a-z]+\\b|\\b\\d+[a-z]+\\d+\\b') OR len(list_filter(ws, lambda w: length(w) >= 4 AND NOT regexp_matches(w, '[aeiouy]'))) > 0 THEN 0.0
-  WHEN length(regexp_replace(name, '[a-zA-Z0-9\\s-]', '', 'g')) > 2 THEN 0.1 WHEN regexp_matches(name, '\\d{{3,}}') THEN 0.2
-  WHEN regexp_matches(name, '^[_\\-\\d\\s\\W]+$') OR regexp_matches(low, '^(chapter|section|figure|table|page|index|appendix|vol|volume|no|part|fig)\\b') THEN 0.0
-  WHEN regexp_matches(low, '^(for example|such as|based on|due to|in order to)') THEN 0.1 ELSE 1.0 END::DOUBLE AS quality FROM q)"""
-
-
-@query("entity_quality", f"WITH {_QUAL} SELECT p_partkey, name, quality FROM quality")
-def entity_quality(spark, sf):
-    return _raw(spark, sf).select("p_partkey", names.normalize_name(F.col("raw")).alias("name"), names.entity_quality(F.col("raw"), F.lit("Concept")).alias("quality"))
-
-
-@query("quality_gate", f"WITH {_QUAL} SELECT p_partkey % 10 AS doc_id, round(avg((quality <= 0.7)::INT), 6) AS low_share, avg((quality <= 0.7)::INT) <= 0.8 AS passed FROM quality GROUP BY 1")
-def quality_gate(spark, sf):
-    rows = _raw(spark, sf).select((F.col("p_partkey") % 10).alias("doc_id"), names.entity_quality(F.col("raw"), F.lit("Concept")).alias("quality"))
-    return resolve.quality_gate(rows).withColumn("low_share", F.round("low_share", 6))
-
-
-_PAIRS = [("Attention", "Attention Mechanism"), ("self-attention", "self attention mechanism"), ("Neural Networks", "Neural Network"), ("Deep Learning", "deep neural network"), ("Calculus", "Vector Calculus"), ("Zero Knowledge Proof", "Zero-Knowledge Proofs"), ("IPFS", "InterPlanetary File System"), ("GCN", "Graph Convolutional Network")]
-
-
-@query("acronym_pairs", "SELECT upper(string_agg(left(w, 1), '' ORDER BY i)) AS short, p_name AS phrase, length(upper(string_agg(left(w, 1), ''))) BETWEEN 2 AND 6 AS acronym FROM (SELECT DISTINCT p_name, i, string_split(p_name, ' ')[i] AS w FROM (SELECT p_name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)) GROUP BY p_name")
-def acronym_pairs(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_name").alias("phrase")).distinct()
-    p = p.withColumn("short", F.upper(F.array_join(F.transform(F.split("phrase", " "), lambda w: F.substring(w, 1, 1)), "")))
-    return p.select("short", "phrase", names.is_acronym(F.col("short"), F.col("phrase")).alias("acronym"))
-
-
-@query("name_similarity")
-def name_similarity(spark, sf):
-    return spark.createDataFrame(_PAIRS, "a string, b string").select("a", "b", names.similar_names(F.col("a"), F.col("b")).alias("similar"))
+# ---- extraction ---------------------------------------------------------------------------------------------------------
 
 
-@query("similar_pairs")
-def similar_pairs(spark, sf):
-    return resolve.similar_pairs(_raw(spark, sf).select(names.normalize_name(F.col("raw")).alias("name")))
+def _ascii(spark, sf):
+    """Documents without what is not ASCII, so that word bounds are the same in every engine, and with cue words between their names."""
+    cues = ["requires", "extends", "uses", "precedes", "contradicts", "is evaluated on", "and", "refers to"]
+    cue = F.get(F.array(*map(F.lit, cues)), (F.col("doc_id") % len(cues)).cast("int"))
+    plain = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
+    said = F.concat(
+        F.lit("The Graph Model "), cue, F.lit(" Linear Data Source in Deep Learning Theory. Matrix Operations "), cue, F.lit(" Kernel Methods. A distributed storage system and the Xx network model "), cue, F.lit(" it.\n"), plain
+    )
+    return _docs(spark, sf).select("doc_id", said.alias("text"))
+
+
+_CUES = "['requires', 'extends', 'uses', 'precedes', 'contradicts', 'is evaluated on', 'and', 'refers to']"
+_ADOCS = f"""adocs AS (SELECT doc_id, 'The Graph Model ' || c || ' Linear Data Source in Deep Learning Theory. Matrix Operations ' || c || ' Kernel Methods. A distributed storage system and the Xx network model ' || c || ' it.' || chr(10) || t AS text
+  FROM (SELECT doc_id, {_CUES}[doc_id % 8 + 1] AS c, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents)),
+achunks AS (SELECT doc_id, i AS chunk_no, substr(text, i * 5200 + 1, 6000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 6000) / 5200.0) AS BIGINT), 0) + 1)) AS i FROM adocs)),
+asents AS (SELECT doc_id, chunk_no, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY k) - 1 AS sent, sentence FROM (
+  SELECT doc_id, chunk_no, k, trim(s[k], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS sentence FROM (SELECT doc_id, chunk_no, s, unnest(range(1, len(s) + 1)) AS k FROM (
+    SELECT doc_id, chunk_no, regexp_split_to_array(regexp_replace(chunk, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS s FROM achunks))) WHERE sentence <> '')"""
+_DATASET, _METHOD = "'dataset|benchmark|corpus|data|source|wmt|imagenet|glue'", "'method|algorithm|model|approach|architecture|framework|network|function|optimizer'"
+_SHORTENED = "CASE WHEN length(sentence) > 150 THEN left(sentence, 147) || '...' ELSE sentence END"
+_VERBS = "(?:is\\s+defined\\s+as|refers\\s+to|represents|denotes|means|is\\s+an?|is|are|were|was)"
+_LISTED = ", ".join(f"'{w}'" for w in names.STOP_WORDS)
+_GENERAL = ", ".join(f"'{w}'" for w in names.generic_words())
+_DOMAIN = ", ".join(f"'{w}'" for w in extract.DOMAIN_NOUNS)
+_CONCEPTS = f"""{_ADOCS}, a1 AS (SELECT doc_id, chunk_no, sent, sentence, regexp_extract_all(sentence, '\\b([A-Z][a-zA-Z0-9''-]*(?:\\s+[A-Z][a-zA-Z0-9''-]*)*)\\b', 1) AS ps FROM asents),
+a2 AS (SELECT doc_id, chunk_no, sent, sentence, o - 1 AS ord, ps[o] AS phrase FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS o FROM a1) WHERE length(ps[o]) >= 3 AND lower(ps[o]) NOT IN ({_LISTED})),
+a3 AS (SELECT *, {SINGULAR.format('phrase')} AS name, regexp_extract(sentence, '(?i)\\b\\Q' || phrase || '\\E\\b\\s+{_VERBS}\\s+([^.!?\\n]{{5,150}})', 1) AS said FROM a2),
+c1 AS (SELECT doc_id, chunk_no, 0 AS pass, sent, ord, name, CASE WHEN regexp_matches(name, 'University|Institute|Research|Lab|Company|Google|Microsoft') THEN 'Institution' WHEN regexp_matches(lower(name), {_DATASET}) THEN 'Dataset'
+  WHEN regexp_matches(lower(name), {_METHOD}) THEN 'Method' WHEN regexp_matches(name, '^(Chapter|Section)') THEN 'Topic' WHEN NOT regexp_matches(trim(name), '\\s') AND length(name) > 3 THEN 'Keyword' ELSE 'Concept' END AS label,
+  CASE WHEN trim(said) <> '' THEN upper(left(trim(said), 1)) || substr(trim(said), 2) ELSE {_SHORTENED} END AS description FROM a3),
+b1 AS (SELECT doc_id, chunk_no, sent, sentence, list_transform(regexp_split_to_array(sentence, '\\s+'), lambda w: regexp_replace(w, '^[,.;:()\\[\\]{{}}!?"'']+|[,.;:()\\[\\]{{}}!?"'']+$', '', 'g')) AS w FROM asents),
+b2 AS (SELECT doc_id, chunk_no, sent, sentence, i - 1 AS ord, w[i] AS noun, CASE WHEN i > 1 THEN w[i - 1] END AS one, CASE WHEN i > 2 THEN w[i - 2] END AS two FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM b1) WHERE lower(w[i]) IN ({_DOMAIN})),
+b3 AS (SELECT *, coalesce(regexp_full_match(one, '[A-Za-z]+') AND upper(one) <> one AND lower(one) NOT IN ({_GENERAL}), false) AS p1, coalesce(regexp_full_match(two, '[A-Za-z]+') AND upper(two) <> two AND lower(two) NOT IN ({_GENERAL}), false) AS p2 FROM b2),
+b4 AS (SELECT *, CASE WHEN p2 THEN two || ' ' || one || ' ' || noun ELSE one || ' ' || noun END AS phrase FROM b3 WHERE p1),
+b5 AS (SELECT *, array_to_string(list_transform(string_split({SINGULAR.format('phrase')}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS name FROM b4),
+c2 AS (SELECT doc_id, chunk_no, 1 AS pass, sent, ord, name, CASE WHEN regexp_matches(lower(name), {_METHOD}) THEN 'Method' WHEN regexp_matches(lower(name), {_DATASET}) THEN 'Dataset' WHEN regexp_matches(lower(name), 'blockchain|oracle|satellite|system|technology') THEN 'Technology' ELSE 'Concept' END AS label,
+  {_SHORTENED} AS description FROM b5 WHERE length(name) > 3),
+every AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2), firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no, lower(name) ORDER BY pass, sent, ord) AS rn FROM every),
+found AS (SELECT * FROM (SELECT doc_id, chunk_no, CAST(row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY pass, sent, ord) - 1 AS INTEGER) AS ord, label, name, description FROM firsts WHERE rn = 1) WHERE ord < 15)"""
+
+
+@query("chunk_concepts", f"WITH {_CONCEPTS} SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, ord, label, name, md5(description) AS description_md5 FROM found")
+def chunk_concepts(spark, sf):
+    found = extract.concepts(ingest.chunk_rows(_ascii(spark, sf)))
+    return found.select("doc_id", "chunk_no", "ord", "label", "name", F.md5("description").alias("description_md5"))
 
 
-def _mentions(spark, sf):
-    rows = _raw(spark, sf).select((F.col("p_partkey") % 20).cast("string").alias("doc_id"), F.col("p_partkey").cast("int").alias("ord"), names.normalize_name(F.col("raw")).alias("name"))
-    label = F.when(F.col("ord") % 5 == 0, "Topic").when(F.col("ord") % 5 == 1, "Keyword").otherwise("Concept")
-    return rows.select("doc_id", "ord", label.alias("label"), "name", F.concat(F.lit("About "), "name").alias("description"), (F.col("ord") < 40).alias("is_existing"))
+def _either(kind: str, forward: str) -> str:
+    return f"CASE WHEN {forward} THEN [c1, c2, '{kind}'] ELSE [c2, c1, '{kind}'] END"
 
 
-@query("leader_clusters")
-def leader_clusters(spark, sf):
-    return resolve.leader_clusters(_mentions(spark, sf)).select("doc_id", "ord", "cluster")
+_RELATIONS = f"""{_CONCEPTS}, seen AS (SELECT s.doc_id, s.chunk_no, s.sent, lower(s.sentence) AS low, f.ord, f.name, f.label FROM asents s JOIN found f USING (doc_id, chunk_no) WHERE regexp_matches(s.sentence, '(?i)\\b\\Q' || f.name || '\\E\\b')),
+pr AS (SELECT a.doc_id, a.chunk_no, a.sent, a.low, a.ord AS i, b.ord AS j, a.name AS c1, b.name AS c2, a.label AS l1, b.label AS l2, strpos(a.low, lower(a.name)) AS p1, strpos(a.low, lower(b.name)) AS p2 FROM seen a JOIN seen b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.sent = b.sent AND a.ord < b.ord),
+gap AS (SELECT *, least(p1, p2) + CASE WHEN p1 < p2 THEN length(c1) ELSE length(c2) END AS st FROM pr), bt AS (SELECT *, substr(low, st, greatest(greatest(p1, p2) - st, 0)) AS mid FROM gap),
+rl AS (SELECT *, CASE WHEN l2 = 'Keyword' THEN [c1, c2, 'HAS_KEYWORD'] WHEN l1 = 'Keyword' THEN [c2, c1, 'HAS_KEYWORD']
+  WHEN regexp_matches(mid, 'depends|requires|built upon') THEN {_either('PREREQUISITE_OF', 'p1 >= p2')}
+  WHEN contains(low, 'prerequisite') OR regexp_matches(mid, 'precedes|comes before') THEN {_either('PREREQUISITE_OF', 'p1 < p2')}
+  WHEN regexp_matches(mid, 'extends|generalizes|is a type of') THEN {_either('EXTENDS', 'p1 < p2')} WHEN regexp_matches(mid, 'contradicts|opposes|in contrast to') THEN [c1, c2, 'CONTRADICTS']
+  WHEN regexp_matches(mid, 'uses|utilizes|employs') THEN CASE WHEN l1 = 'Method' AND l2 = 'Dataset' THEN [c1, c2, 'EVALUATED_ON'] WHEN l2 = 'Method' AND l1 = 'Dataset' THEN [c2, c1, 'EVALUATED_ON'] WHEN l1 = 'Dataset' THEN [c2, c1, 'USES'] WHEN l2 = 'Dataset' THEN [c1, c2, 'USES'] ELSE {_either('USES', 'p1 >= p2')} END
+  WHEN regexp_matches(mid, 'evaluated|tested|benchmark') THEN CASE WHEN l1 = 'Dataset' THEN [c2, c1, 'EVALUATED_ON'] WHEN l2 = 'Dataset' THEN [c1, c2, 'EVALUATED_ON'] ELSE [c1, c2, 'RELATED_TO'] END
+  WHEN l1 = 'Method' AND l2 = 'Dataset' THEN [c1, c2, 'EVALUATED_ON'] WHEN l2 = 'Method' AND l1 = 'Dataset' THEN [c2, c1, 'EVALUATED_ON'] WHEN l1 = 'Method' AND l2 = 'Method' THEN [c1, c2, 'USES'] ELSE [c1, c2, 'RELATED_TO'] END AS r FROM bt),
+rels AS (SELECT doc_id, chunk_no, sent, i, j, r[1] AS from_name, r[2] AS to_name, r[3] AS type FROM rl)"""
 
 
-@query("canonical_nodes")
-def canonical_nodes(spark, sf):
-    return resolve.canonical_nodes(resolve.leader_clusters(_mentions(spark, sf)))
+def _extracted(spark, sf):
+    pieces = ingest.chunk_rows(_ascii(spark, sf))
+    found = materialise(extract.concepts(pieces), "concepts")
+    return found, extract.relations(pieces, found)
 
 
-@query("canonical_rels")
-def canonical_rels(spark, sf):
-    clustered = materialise(resolve.leader_clusters(_mentions(spark, sf)), "clusters")
-    mapping = resolve.name_mapping(clustered, resolve.canonical_nodes(clustered))
-    m = clustered.select("doc_id", "ord", "name")
-    rels = m.join(m.select("doc_id", (F.col("ord") - 20).alias("ord"), F.col("name").alias("to_name")), ["doc_id", "ord"])
-    return resolve.canonical_relations(rels.select("doc_id", F.col("name").alias("from_name"), "to_name", F.lit("utilizes").alias("type")), mapping)
+@query("cooccurrence", f"WITH {_RELATIONS} SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(sent AS INTEGER) AS sent, i, j, from_name, to_name, type FROM rels")
+def cooccurrence(spark, sf):
+    return _extracted(spark, sf)[1]
 
 
 @query(
-    "rel_type_normalize",
-    """WITH k AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'tested-on' WHEN 'click' THEN 'part of' WHEN 'error' THEN 'contradicts' WHEN 'purchase' THEN 'Requires' ELSE 'author_of' END AS kind FROM events)
-    SELECT event_id, kind, CASE kind WHEN 'tested-on' THEN 'EVALUATED_ON' WHEN 'part of' THEN 'CONTAINS' WHEN 'contradicts' THEN 'RELATED_TO' WHEN 'Requires' THEN 'PREREQUISITE_OF' ELSE 'AUTHORED_BY' END AS type FROM k""",
+    "hub_links",
+    f"""WITH {_RELATIONS}, hb AS (SELECT doc_id, chunk_no, name AS hub, label AS hl FROM found WHERE ord = 0),
+    rest AS (SELECT f.*, hub, hl FROM found f JOIN hb USING (doc_id, chunk_no) WHERE ord > 0), lone AS (SELECT * FROM rest WHERE NOT EXISTS (SELECT 1 FROM rels r WHERE r.doc_id = rest.doc_id AND r.chunk_no = rest.chunk_no
+      AND ((lower(from_name) = lower(hub) AND lower(to_name) = lower(name)) OR (lower(from_name) = lower(name) AND lower(to_name) = lower(hub)))))
+    SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CASE WHEN hl = 'Keyword' THEN name ELSE hub END AS from_name, CASE WHEN hl = 'Keyword' THEN hub ELSE name END AS to_name, CASE WHEN 'Keyword' IN (hl, label) THEN 'HAS_KEYWORD' ELSE 'RELATED_TO' END AS type FROM lone""",
 )
-def rel_type_normalize(spark, sf):
-    e = F.col("event_type")
-    kind = F.when(e == "view", "tested-on").when(e == "click", "part of").when(e == "error", "contradicts").when(e == "purchase", "Requires").otherwise("author_of")
-    return table(spark, sf, "events").select("event_id", kind.alias("kind")).withColumn("type", names.relation_type(F.col("kind")))
-
-
-# ---- extraction ---------------------------------------------------------------------------------------------------------
-
-
-@query("chunk_concepts")
-def chunk_concepts(spark, sf):
-    return extract.concepts(ingest.chunk_rows(_docs(spark, sf)))
-
-
-@query("cooccurrence")
-def cooccurrence(spark, sf):
-    pieces = ingest.chunk_rows(_docs(spark, sf))
-    return extract.relations(pieces, materialise(extract.concepts(pieces), "concepts"))
-
-
-@query("hub_links")
 def hub_links(spark, sf):
-    pieces = ingest.chunk_rows(_docs(spark, sf))
-    found = materialise(extract.concepts(pieces), "concepts")
-    return extract.hub_links(found, extract.relations(pieces, found))
+    return extract.hub_links(*_extracted(spark, sf))
 
 
 @query("ingest_graph")
 def ingest_graph(spark, sf):
-    return ingest.ingest(_pages(spark, sf))[0].edges
-
-
-_ORDER_LINES = "SELECT l_orderkey, CAST(row_number() OVER w AS INTEGER) - 1 AS line_no, l_linenumber AS num, p_name FROM (SELECT DISTINCT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name)"
-
-
-def _order_lines(spark, sf):
-    """Line items written as numbered lists, one for each order."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name").distinct()
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "p_name")) - 1
-    return rows.select(F.col("l_orderkey").alias("doc_id"), n.alias("line_no"), F.concat("l_linenumber", F.lit(". "), "p_name").alias("line"))
-
-
-_TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
-
-
-@query(
-    "numbered_runs",
-    f"""WITH o AS ({_ORDER_LINES}), c AS (SELECT *, (num = 1 OR num IS DISTINCT FROM lag(num) OVER w + 1)::INT AS cut FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY line_no)),
-    s AS (SELECT *, sum(cut) OVER (PARTITION BY l_orderkey ORDER BY line_no) AS seq FROM c), f AS (SELECT *, first_value(num) OVER w AS head, count(*) OVER (PARTITION BY l_orderkey, seq) AS n FROM s WINDOW w AS (PARTITION BY l_orderkey, seq ORDER BY line_no))
-    SELECT l_orderkey AS doc_id, CAST(seq AS VARCHAR) AS seq, CAST(row_number() OVER (PARTITION BY l_orderkey, seq ORDER BY line_no) AS INTEGER) AS pos, {_TITLE.format('p_name')} AS name FROM f WHERE head = 1 AND n >= 2""",
-)
-def numbered_runs(spark, sf):
-    return sequences.numbered_runs(_order_lines(spark, sf))
-
-
-_SEQ_TEXT = "# Phase 2.10: Graph Theory Basics\n- Phase 2.2: Matrix Operations\nPhase 1: Linear Algebra\nsome prose in between\n1. Vector Spaces\n2. Inner Products\nprose does not break a run\n3. Orthogonal Bases\n- bullet\n2. Lost Item\nLinear Maps -> Eigenvalue Methods -> Spectral Clustering → Kernel Tricks\n"
-
-
-@query("phase_sequence")
-def phase_sequence(spark, sf):
-    docs = spark.createDataFrame([(1, _SEQ_TEXT)], "doc_id long, text string")
-    return sequences.phases(sequences.text_lines(docs))
-
-
-@query("arrow_chain")
-def arrow_chain(spark, sf):
-    docs = spark.createDataFrame([(1, _SEQ_TEXT)], "doc_id long, text string")
-    return sequences.arrow_chains(sequences.text_lines(docs))
-
-
-@query("learning_sequences")
-def learning_sequences(spark, sf):
-    return sequences.parse_sequences(_docs(spark, sf).unionByName(spark.createDataFrame([(-1, _SEQ_TEXT)], "doc_id long, text string"), allowMissingColumns=True))[1]
+    """Every document through the whole of ingest; the tests hold it against a plain program on a fixture."""
+    return ingest.ingest(cleaning_queries.pages(spark, sf))[0].edges
 
 
 # ---- library ------------------------------------------------------------------------------------------------------------
@@ -395,9 +256,10 @@ def _notes(spark, sf):
     return got.select(F.col("l_orderkey").alias("text_id"), F.concat(F.lit("Compare "), F.array_join(F.transform("p", lambda x: x["p_name"]), " with "), F.lit(" of order "), "l_orderkey").alias("text"))
 
 
-@query("note_concept_links", f"WITH {_NOTES}, k AS (SELECT DISTINCT p_name AS name FROM part) SELECT text_id, name FROM notes, k WHERE contains(lower(text), lower(name))")
+@query("note_concept_links", f"WITH {_NOTES}, k AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT 'de' UNION SELECT '7') SELECT text_id, name FROM notes, k WHERE contains(lower(text), lower(name))")
 def note_concept_links(spark, sf):
-    return library.concept_mentions(_notes(spark, sf), table(spark, sf, "part").select(F.col("p_name").alias("name")))
+    known = table(spark, sf, "part").select(F.col("p_name").alias("name")).unionByName(spark.createDataFrame([("de",), ("7",)], "name string"))
+    return library.concept_mentions(_notes(spark, sf), known)
 
 
 @query("notes_with_concepts", f"WITH {_NOTES}, k AS (SELECT DISTINCT p_name AS name FROM part), l AS (SELECT text_id, name FROM notes, k WHERE contains(lower(text), lower(name))) SELECT n.text_id, coalesce(string_agg(name, '|' ORDER BY name), '') AS concepts FROM notes n LEFT JOIN l USING (text_id) GROUP BY n.text_id")
@@ -412,11 +274,70 @@ def note_search(spark, sf):
     return library.search(_notes(spark, sf), "text", "Red Widget").select("text_id")
 
 
-@query("provisional_concepts", f"WITH {_NOTES} SELECT text_id, 'Ring' AS name FROM notes WHERE contains(lower(text), 'ring')")
-def provisional_concepts(spark, sf):
+@query("note_search_case", f"WITH {_NOTES} SELECT text_id, contains(text, 'Compare red') AS exact, contains(text, 'compare Red') AS other FROM notes WHERE contains(text, 'Compare red') OR contains(text, 'compare Red')")
+def note_search_case(spark, sf):
     notes = _notes(spark, sf)
-    none = notes.where("false").select("text_id", F.lit("").alias("name"))
-    return library.provisional_concepts(notes, none, ("ring",))
+    other = library.search(notes, "text", "compare Red", case_sensitive=True).select("text_id", F.lit(True).alias("other"))
+    got = library.search(notes, "text", "Compare red", case_sensitive=True).select("text_id", F.lit(True).alias("exact")).join(other, "text_id", "full_outer")
+    return got.select("text_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("other", F.lit(False)).alias("other"))
+
+
+@query(
+    "provisional_concepts",
+    f"""WITH {_NOTES}, n AS (SELECT text_id, lower(text) AS low, CAST(text_id % 50 AS VARCHAR) AS s FROM notes), c AS (SELECT lower(p_name) AS name, CAST(p_partkey % 50 AS VARCHAR) AS s FROM part WHERE p_size < 6),
+    t(i, word, named) AS (VALUES (0, 'ring', 'Ring Shape'), (1, 'widget', 'Widget Kind'), (2, 'gear', 'Gear Work')),
+    f AS (SELECT text_id, s, arg_min(named, i) AS name FROM n JOIN t ON contains(low, word) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.s = n.s AND contains(c.name, word)) GROUP BY text_id, s) SELECT text_id, s AS session_id, name FROM f""",
+)
+def provisional_concepts(spark, sf):
+    notes = _notes(spark, sf).withColumn("session_id", (F.col("text_id") % 50).cast("string"))
+    known = table(spark, sf, "part").where("p_size < 6").select(F.col("p_name").alias("name"), (F.col("p_partkey") % 50).cast("string").alias("session_id"))
+    return library.provisional_concepts(notes, known, (("ring", "Ring Shape"), ("widget", "Widget Kind"), ("gear", "Gear Work")))
+
+
+#: Texts of users: the priority of an order and words that call for concepts, in the session of its customer.
+_TEXTS = """tx AS (SELECT o_orderkey, CAST(c_nationkey AS VARCHAR) AS session_id, 'On ' || p_name || CASE o_orderkey % 4 WHEN 0 THEN ' and neural attention' WHEN 1 THEN ' by a transformer gradient' ELSE '' END AS text, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, p_name) AS rn
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+ut AS (SELECT o_orderkey, session_id, text FROM tx WHERE rn = 1 AND o_orderkey % 8 < 6), kn AS (SELECT DISTINCT id, name, session_id FROM nodes WHERE label IN ('Concept', 'Keyword', 'Method', 'Dataset', 'Subtopic', 'Topic')),
+said AS (SELECT o_orderkey, kn.id, kn.name FROM ut JOIN kn ON kn.session_id = ut.session_id AND contains(lower(text), lower(kn.name)))"""
+
+
+def _user_texts(spark, sf, prefix: str):
+    from pyspark.sql import Window
+
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    k = F.col("o_orderkey")
+    rn = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "p_name"))
+    text = F.concat(F.lit("On "), "p_name", F.when(k % 4 == 0, " and neural attention").when(k % 4 == 1, " by a transformer gradient").otherwise(""))
+    rows = o.select("o_orderkey", F.col("c_nationkey").cast("string").alias("session_id"), text.alias("text"), rn.alias("rn")).where("rn = 1 and o_orderkey % 8 < 6")
+    return rows.select(F.concat(F.lit(prefix), "o_orderkey").alias("id"), "o_orderkey", "session_id", "text", F.lit("2026-01-01T00:00:00").alias("created_at"))
+
+
+def _linked(g, kind: str):
+    names = g.nodes.select(F.col("id").alias("dst"), "name", F.col("description").startswith("Provisional concept").alias("fresh"))
+    return g.edges.where(F.col("type") == kind).join(names, "dst").select("src", "name", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+
+
+@query("create_notes", f"WITH {graph_queries.GRAPH_SQL}, {_TEXTS} SELECT DISTINCT 'n' || o_orderkey AS src, name, false AS fresh FROM said UNION ALL SELECT 'n' || o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Neural Networks' ELSE 'Transformers' END, true FROM ut WHERE o_orderkey % 4 < 2")
+def create_notes(spark, sf):
+    """Notes written into the graph: their links with the concepts of their session, known and provisional."""
+    notes = _user_texts(spark, sf, "n").withColumnRenamed("text", "content").drop("o_orderkey")
+    return _linked(library.create_notes(derived_graph(spark, sf), notes), "REFERENCES").distinct()
+
+
+def _highlights(spark, sf):
+    """One highlight for each order, taken from it; every tenth claims a document of another session."""
+    rows = _user_texts(spark, sf, "h")
+    other = F.when(F.col("o_orderkey") % 10 == 0, F.lit("x")).otherwise(F.col("session_id"))
+    return rows.select("id", "text", F.lit(3).alias("page"), F.concat(F.lit("o"), "o_orderkey").alias("source_document_id"), other.alias("session_id"), "created_at")
+
+
+@query("create_highlights", f"WITH {graph_queries.GRAPH_SQL}, {_TEXTS} SELECT 'h' || o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'FORBIDDEN' ELSE 'OK' END AS status, CASE WHEN o_orderkey % 10 <> 0 THEN 'o' || o_orderkey END AS taken_from, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE (SELECT string_agg(DISTINCT name, '|' ORDER BY name) FROM (SELECT name FROM said WHERE said.o_orderkey = ut.o_orderkey UNION SELECT CASE ut.o_orderkey % 4 WHEN 0 THEN 'Self-attention' ELSE 'Gradient Descent' END WHERE ut.o_orderkey % 4 < 2)) END AS concepts FROM ut")
+def create_highlights(spark, sf):
+    g, status = library.create_highlights(derived_graph(spark, sf), _highlights(spark, sf))
+    about = _linked(g, "RELATES_TO").groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("concepts"))
+    taken = g.edges.where("type = 'EXTRACTED_FROM'").select(F.col("src").alias("id"), F.col("dst").alias("taken_from"))
+    return status.join(taken, "id", "left").join(about, "id", "left").select("id", "status", "taken_from", F.coalesce("concepts", F.lit("")).alias("concepts"))
 
 
 _LIGHTS = "lights AS (SELECT 'h' || o_orderkey AS id, o_orderpriority AS text FROM orders)"
@@ -469,29 +390,106 @@ def citations_by_style(spark, sf):
     return library.citations_by_style(_citations(spark, sf), "mla")
 
 
+def _papers(spark, sf) -> PropertyGraph:
+    """The graph with its datasets as papers."""
+    g = derived_graph(spark, sf)
+    return PropertyGraph(g.nodes.withColumn("label", F.when(F.col("label") == "Dataset", "Paper").otherwise(F.col("label"))), g.edges)
+
+
+def _asked(spark, sf):
+    """A citation of each part's copy in the session: of a paper, of another session's paper, or of none."""
+    part = table(spark, sf, "part")
+    kind = F.when(F.col("p_partkey") % 2 == 0, "apa").otherwise("IEEE")
+    ids = part.select(F.concat(F.lit("p"), "p_partkey", F.lit("@"), F.lit(graph_queries.SESSION)).alias("paper_id"), F.concat(F.lit("c"), "p_partkey").alias("id"), kind.alias("style"), F.when(F.col("p_partkey") % 9 == 0, "x").otherwise(graph_queries.SESSION).alias("session_id"))
+    return ids
+
+
+_CITED = f"""{graph_queries.GRAPH_SQL}, pp AS (SELECT id, name, session_id FROM nodes WHERE label = 'Dataset'), au AS (SELECT e.src, list_sort(list_distinct(list(n.name))) AS authors FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'AUTHORED_BY' GROUP BY e.src),
+ak AS (SELECT 'p' || p_partkey || '@{graph_queries.SESSION}' AS paper_id, 'c' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'apa' ELSE 'IEEE' END AS style, CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE '{graph_queries.SESSION}' END AS session_id FROM part),
+cs AS (SELECT ak.id, style, paper_id, pp.name, CASE WHEN pp.id IS NULL THEN 'NOT_FOUND' WHEN ak.session_id = pp.session_id THEN 'OK' ELSE 'FORBIDDEN' END AS status, CASE len(authors) WHEN 1 THEN authors[1] WHEN 2 THEN authors[1] || ' & ' || authors[2] ELSE authors[1] || ', et al.' END AS who FROM ak LEFT JOIN pp ON pp.id = ak.paper_id LEFT JOIN au ON au.src = ak.paper_id),
+cd AS (SELECT id, status, style, paper_id, name, CASE WHEN status = 'OK' THEN CASE style WHEN 'apa' THEN who || '. (n.d.). ' || name || '. https://doi.org/' ELSE who || ', "' || name || '," n.d.. Available: https://doi.org/' END END AS formatted_text FROM cs)"""
+
+
+@query("create_citations", f"WITH {_CITED} SELECT id, status, style, formatted_text, CASE WHEN status = 'OK' THEN name END AS paper_title FROM cd")
+def create_citations(spark, sf):
+    return library.create_citations(_papers(spark, sf), _asked(spark, sf))[1]
+
+
+@query("citations_of_session", f"WITH {_CITED} SELECT id, style, formatted_text, name AS paper_title FROM cd WHERE status = 'OK' AND style = 'apa'")
+def citations_of_session(spark, sf):
+    g = library.create_citations(_papers(spark, sf), _asked(spark, sf))[0]
+    return library.citations_of(g, graph_queries.SESSION, "APA")
+
+
+@query(
+    "session_view",
+    f"""WITH {_CITED}, {_TEXTS}, v AS (SELECT 'documents' AS part, id FROM nodes WHERE label = 'Document' AND session_id = '{graph_queries.SESSION}' UNION ALL SELECT 'nodes', id FROM nodes WHERE label <> 'Document' AND session_id = '{graph_queries.SESSION}'
+      UNION ALL SELECT 'edges', src || '>' || dst || '>' || type FROM edges WHERE session_id = '{graph_queries.SESSION}' UNION ALL SELECT 'notes', 'n' || o_orderkey FROM ut WHERE session_id = '{graph_queries.SESSION}'
+      UNION ALL SELECT 'highlights', 'h' || o_orderkey FROM ut WHERE session_id = '{graph_queries.SESSION}' AND o_orderkey % 10 <> 0 UNION ALL SELECT 'citations', id FROM cd WHERE status = 'OK'
+      UNION ALL SELECT 'nodes', 'Provisional concept' FROM (SELECT DISTINCT name FROM (SELECT unnest(['Neural Networks', 'Transformers', 'Self-attention', 'Gradient Descent']) AS name))) SELECT part, count(*) AS n FROM v GROUP BY part""",
+)
+def session_view(spark, sf):
+    """Everything of a session at once, in a graph with notes, highlights and citations."""
+    g = library.create_citations(_papers(spark, sf), _asked(spark, sf))[0]
+    g = library.create_notes(g, _user_texts(spark, sf, "n").withColumnRenamed("text", "content").drop("o_orderkey"))
+    g = library.create_highlights(g, _highlights(spark, sf))[0]
+    view = library.session_view(g, graph_queries.SESSION)
+    out = None
+    for part, df in view.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("last10_messages", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS rn FROM conversations) WHERE rn <= 10")
 def last10_messages(spark, sf):
     return library.last_messages(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), 10)
 
 
+@query("append_chunks", "WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) SELECT c.conv_id, turn, role, CASE WHEN turn = last AND role = 'assistant' AND c.conv_id % 2 = 0 THEN text || 'one two three' ELSE text END AS text FROM conversations c JOIN l ON l.conv_id = c.conv_id")
+def append_chunks(spark, sf):
+    """Three chunks streamed to every second conversation."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    parts = F.posexplode(F.array(F.lit("one "), F.lit("two "), F.lit("three"))).alias("n", "chunk")
+    return library.append_chunks(rows, rows.where("conv_id % 2 = 0").select("conv_id").distinct().select("conv_id", parts))
+
+
 @query("token_stream", "SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, t[i] AS token FROM (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '\\S+|\\s+') AS t FROM conversations))")
 def token_stream(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
 
 
-@query(
-    "answer_text",
-    f"""WITH {graph_queries.GRAPH_SQL}{graph_queries._CTX}, b10 AS (SELECT * FROM r WHERE rank <= 10),
-    l AS (SELECT coalesce(string_agg(name, ', ' ORDER BY rank) FILTER (WHERE bucket = 'prerequisites'), '') AS pre, coalesce(string_agg(name, ', ' ORDER BY rank) FILTER (WHERE bucket = 'related' AND rank <= 3), '') AS rel FROM b10)
-    SELECT 'Node: ' || coalesce(name, 'Unknown') || ' (' || coalesce(difficulty_level, 'Beginner') || '). ' || coalesce(description, '') || chr(10) || CASE WHEN pre = '' THEN 'Prerequisites: none' ELSE 'Prerequisites: ' || pre END
-      || CASE WHEN rel = '' THEN '' ELSE chr(10) || 'Related: ' || rel END AS answer FROM nodes JOIN tgt USING (id), l""",
-)
-def answer_text(spark, sf):
+_ANSWER = f"""{graph_queries.GRAPH_SQL}{graph_queries._CTX}, l AS (SELECT string_agg(name, ', ' ORDER BY rank) FILTER (WHERE bucket = 'prerequisites') AS pre, string_agg(name, ', ' ORDER BY rank) FILTER (WHERE bucket = 'related' AND rank <= 3) AS rel, string_agg(name, ', ' ORDER BY rank) FILTER (WHERE bucket = 'papers' AND rank <= 2) AS pap FROM r WHERE rank <= 10),
+an AS (SELECT 'Hi! I am your AI tutor/assistant. You asked about **Why?** while focusing on the concept **' || name || '**.' || chr(10) || chr(10) || 'Here is how this node links to other elements in the database:' || chr(10) || '- **Focus Node**: ' || name || ' (' || difficulty_level || ' level). Description: ' || coalesce(description, '') || chr(10)
+  || coalesce('- **Prerequisite Chain**: It depends on covering **' || pre || '** first.', '- **Prerequisite Chain**: No immediate prerequisite dependencies mapped. It is a great place to start!') || chr(10) || coalesce('- **Adjacent Paths**: Related expansions include **' || rel || '**.' || chr(10), '')
+  || coalesce('- **Grounding Literature**: Key papers using or extending this method include: *' || pap || '*.' || chr(10), '') || chr(10) || 'In relation to your query, we can observe that ' || name || ' acts as a key conceptual step. Would you like me to map out a step-by-step learning path from its prerequisites to advanced implementations?' AS said FROM nodes JOIN tgt USING (id), l),
+no AS (SELECT 'Hi! I am your AI tutor/assistant. You asked about **Why?** while focusing on the concept **no active selection**.' || chr(10) || chr(10) || 'I see that you haven' || chr(39) || 't selected a node on the canvas. Based on general knowledge, this concept represents a key building block. To see how it connects in your uploaded documents, try clicking an element on the graph!' AS said)"""
+
+
+def _answers(spark, sf):
     g = derived_graph(spark, sf)
-    target = graph_queries.busiest(g)
-    ctx = g.context(target).groupBy(F.lit(1).alias("one")).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("rank", "name")))), lambda x: x["name"]).alias(b) for b in ("prerequisites", "related", "papers")])
-    node = g.node(target).withColumn("one", F.lit(1)).join(ctx, "one", "left")
-    return node.select(library.answer(F.col("name"), F.col("difficulty_level"), F.col("description"), F.col("prerequisites"), F.col("related"), F.col("papers")).alias("answer"))
+    node = graph_queries.node_with_context(g, graph_queries.busiest(g))
+    names_ = [F.col(c) for c in ("prerequisites", "related", "papers")]
+    said = library.answer(F.lit("Why?"), F.col("node"), *names_)
+    none = library.answer(F.lit("Why?"), F.when(F.col("node.name").isNull(), F.col("node")), *names_)
+    return node.select(said.alias("said"), none.alias("unsaid"))
+
+
+@query("answer_text", f"WITH {_ANSWER} SELECT 1 AS k, said AS answer FROM an UNION ALL SELECT 2, said FROM no")
+def answer_text(spark, sf):
+    """The offline answer about a node, and with nothing selected."""
+    got = _answers(spark, sf)
+    return got.select(F.lit(1).alias("k"), F.col("said").alias("answer")).unionByName(got.select(F.lit(2).alias("k"), F.col("unsaid").alias("answer")))
+
+
+@query("answer_fallback", f"WITH {_ANSWER} SELECT 1 AS k, 'It is' AS answer UNION ALL SELECT 2, 'It' || chr(10) || '*(Notice: Live API call failed due to: timeout. Falling back to mock assistant explanation)*' || chr(10) || chr(10) || said FROM an")
+def answer_fallback(spark, sf):
+    """A model's answer, and one that breaks off: the offline answer takes over."""
+    got = _answers(spark, sf)
+    live = F.when(F.col("k") == 1, "It is").otherwise("It")
+    error = F.when(F.col("k") == 2, "timeout")
+    rows = got.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "said")
+    return rows.select("k", library.answer_or_fallback(live, error, F.col("said")).alias("answer"))
 
 
 # ---- jobs ---------------------------------------------------------------------------------------------------------------
@@ -543,7 +541,7 @@ def _new_nodes(spark, sf):
 @query(
     "upsert_nodes",
     f"""WITH {graph_queries.GRAPH_SQL}, {_NEW}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY ord DESC) AS rn FROM new) WHERE rn = 1),
-    o AS (SELECT *, lower(trim(name)) AS key, CASE WHEN label IN ({_LIST(mutations.CONCEPT_FAMILY)}) THEN 'Concept' ELSE label END AS fam FROM nodes)
+    o AS (SELECT *, lower(trim(name)) AS key, CASE WHEN label IN ({", ".join(repr(x) for x in mutations.CONCEPT_FAMILY)}) THEN 'Concept' ELSE label END AS fam FROM nodes)
     SELECT coalesce(o.name, k.name) AS name, coalesce(o.label, k.label) AS label, CASE WHEN o.id IS NULL THEN k.description ELSE coalesce(nullif(o.description, ''), k.description, o.description) END AS description, coalesce(o.session_id, CASE WHEN o.id IS NULL THEN '{SESSION}' END) AS session_id, o.id IS NULL AS created
     FROM o FULL JOIN k ON o.key = lower(trim(k.name)) AND o.fam = 'Concept' AND o.session_id = '{SESSION}'""",
 )
@@ -553,6 +551,34 @@ def upsert_nodes(spark, sf):
     return out.select("name", "label", "description", "session_id", (F.length("id") == 64).alias("created"))
 
 
+@query(
+    "upsert_overwrite",
+    f"""WITH {graph_queries.GRAPH_SQL}, {_NEW}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY ord DESC) AS rn FROM new) WHERE rn = 1),
+    o AS (SELECT *, lower(trim(name)) AS key, CASE WHEN label IN ({", ".join(repr(x) for x in mutations.CONCEPT_FAMILY)}) THEN 'Concept' ELSE label END AS fam FROM nodes)
+    SELECT coalesce(o.name, k.name) AS name, coalesce(k.description, o.description) AS description, o.id IS NULL AS created FROM o FULL JOIN k ON o.key = lower(trim(k.name)) AND o.fam = 'Concept'""",
+)
+def upsert_overwrite(spark, sf):
+    """Merged by name alone, whatever the session; given values win."""
+    g = derived_graph(spark, sf)
+    out = mutations.upsert_nodes(g.nodes, _new_nodes(spark, sf), on_match="overwrite", key="name")
+    return out.select("name", "description", (F.length("id") == 64).alias("created"))
+
+
+@query(
+    "upsert_by_document",
+    f"""WITH {graph_queries.GRAPH_SQL}, o AS (SELECT *, CASE WHEN label IN ({", ".join(repr(x) for x in mutations.CONCEPT_FAMILY)}) THEN 'Concept' ELSE label END AS fam FROM nodes),
+    k AS (SELECT DISTINCT lower(name) AS name, CASE WHEN p_partkey % 2 = 0 THEN doc_id ELSE 'elsewhere' END AS doc_id FROM nodes n JOIN part ON n.id = 'p' || p_partkey || '@{graph_queries.SESSION}')
+    SELECT coalesce(o.name, k.name) AS name, coalesce(o.doc_id, k.doc_id) AS doc_id, o.id IS NULL AS created FROM o FULL JOIN k ON lower(trim(o.name)) = k.name AND o.fam = 'Concept' AND o.doc_id = k.doc_id""",
+)
+def upsert_by_document(spark, sf):
+    """Merged by name and document: what another document has is new."""
+    g = derived_graph(spark, sf)
+    keys = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit("@"), F.lit(graph_queries.SESSION)).alias("id"), (F.col("p_partkey") % 2 == 0).alias("own"))
+    new = g.nodes.join(keys, "id").select(F.lower("name").alias("name"), F.when(F.col("own"), F.col("doc_id")).otherwise("elsewhere").alias("doc_id")).distinct()
+    new = new.select(F.lit(None).cast("string").alias("id"), F.lit("Concept").alias("label"), "name", "doc_id", F.lit(None).cast("string").alias("session_id"))
+    return mutations.upsert_nodes(g.nodes, new, key="document").select("name", "doc_id", (F.length("id") == 64).alias("created"))
+
+
 @query("upsert_edges", f"WITH {graph_queries.GRAPH_SQL} SELECT src, dst, type, CASE WHEN type = 'EXTENDS' THEN 'd1' ELSE max(doc_id) END AS doc_id FROM edges GROUP BY src, dst, type")
 def upsert_edges(spark, sf):
     g = derived_graph(spark, sf)
@@ -560,13 +586,68 @@ def upsert_edges(spark, sf):
     return mutations.upsert_edges(g.edges, new).select("src", "dst", "type", "doc_id")
 
 
-@query(
-    "delete_document_cascade",
-    f"WITH {graph_queries.GRAPH_SQL}, {graph_queries._DOC}, gone AS (SELECT n.id FROM nodes n JOIN doc ON n.doc_id = doc.id UNION SELECT id FROM doc) SELECT src, dst, type, doc_id, session_id FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)",
-)
+#: The graph of the cascade: highlights on orders, and citations of the papers, which are the datasets of the graph.
+_CASCADE = f"""{graph_queries.GRAPH_SQL}, {graph_queries._DOC}, hl AS (SELECT 'h' || o_orderkey AS src, 'o' || o_orderkey AS dst, 'EXTRACTED_FROM' AS type FROM orders WHERE o_orderkey % 2 = (SELECT CAST(substr(id, 2) AS BIGINT) % 2 FROM doc)),
+pid AS (SELECT id, doc_id FROM nodes WHERE label = 'Dataset' UNION SELECT min(n.id), any_value(n.doc_id) FROM nodes n JOIN doc ON n.doc_id = doc.id WHERE label <> 'Document'), ci AS (SELECT 'c' || id AS src, id AS dst, 'FOR_PAPER' AS type FROM pid),
+al AS (SELECT src, dst, type FROM edges UNION ALL SELECT * FROM hl UNION ALL SELECT * FROM ci),
+gone AS (SELECT n.id FROM nodes n JOIN doc ON n.doc_id = doc.id UNION SELECT id FROM doc UNION SELECT src FROM hl JOIN doc ON dst = doc.id UNION SELECT 'c' || pid.id FROM pid JOIN doc ON pid.doc_id = doc.id)"""
+
+
+def _cascade(spark, sf):
+    g = derived_graph(spark, sf)
+    doc = graph_queries.one_document(g)
+    first = g.nodes.where((F.col("doc_id") == doc) & (F.col("label") != "Document")).agg(F.min("id").alias("id")).first()["id"]
+    paper = (F.col("label") == "Dataset") | (F.col("id") == first)
+    nodes = g.nodes.withColumn("label", F.when(paper, "Paper").otherwise(F.col("label")))
+    none = F.lit(None).cast("string")
+    edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), none.alias("doc_id"), none.alias("session_id"))
+    lit = table(spark, sf, "orders").where(F.col("o_orderkey") % 2 == int(doc[1:]) % 2)
+    lights = edge(lit, F.concat(F.lit("h"), "o_orderkey"), F.concat(F.lit("o"), "o_orderkey"), "EXTRACTED_FROM")
+    cites = edge(nodes.where("label = 'Paper'"), F.concat(F.lit("c"), "id"), F.col("id"), "FOR_PAPER")
+    extra = lights.select(F.col("src").alias("id"), F.lit("Highlight").alias("label")).unionByName(cites.select(F.col("src").alias("id"), F.lit("Citation").alias("label")))
+    return PropertyGraph(nodes.unionByName(extra, allowMissingColumns=True), g.edges.unionByName(lights).unionByName(cites)), doc
+
+
+@query("delete_document_cascade", f"WITH {_CASCADE} SELECT src, dst, type FROM al WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)")
 def delete_document_cascade(spark, sf):
+    return mutations.delete_document(*_cascade(spark, sf)).edges.select("src", "dst", "type")
+
+
+@query("document_cascade", f"WITH {_CASCADE} SELECT id FROM gone")
+def document_cascade(spark, sf):
+    """All that goes with a document: itself, its nodes, a highlight, a citation."""
+    return mutations.document_cascade(*_cascade(spark, sf))
+
+
+@query("delete_failed_run", f"WITH {graph_queries.GRAPH_SQL}, {graph_queries._DOC}, gone AS (SELECT n.id FROM nodes n JOIN doc ON n.doc_id = doc.id WHERE label <> 'Document') SELECT src, dst, type FROM edges WHERE coalesce(doc_id, '') <> (SELECT id FROM doc) AND src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)")
+def delete_failed_run(spark, sf):
+    g = derived_graph(spark, sf)
+    return mutations.delete_failed_run(g, graph_queries.one_document(g)).edges.select("src", "dst", "type")
+
+
+@query("keep_single_document", f"WITH {graph_queries.GRAPH_SQL}, {graph_queries._DOC} SELECT n.id, label, 0 AS n_edges FROM nodes n JOIN doc USING (id)")
+def keep_single_document(spark, sf):
+    g = derived_graph(spark, sf)
+    left = mutations.keep_single_document(g, graph_queries.one_document(g))
+    return left.nodes.select("id", "label", F.lit(left.edges.count()).cast("int").alias("n_edges"))
+
+
+@query("link_contents", f"WITH {graph_queries.GRAPH_SQL}, {graph_queries._DOC} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges WHERE type = 'CONTAINS' UNION ALL SELECT doc.id, n.id FROM doc, nodes n WHERE label = 'Subtopic' UNION ALL SELECT src, dst FROM edges JOIN doc ON src = doc.id WHERE type = 'CONTAINS')")
+def link_contents(spark, sf):
+    """A document linked with new nodes and, once more, with its own; links stay single."""
+    g = derived_graph(spark, sf)
+    doc = graph_queries.one_document(g)
+    ids = g.nodes.where("label = 'Subtopic'").select("id").unionByName(g.members(doc))
+    own = g.edges.where((F.col("src") == doc) & (F.col("type") == "CONTAINS")).select(F.col("dst").alias("id"))
+    new = g.nodes.where("label = 'Subtopic'").select("id").unionByName(own)
+    return mutations.link_contents(g.edges, doc, new.join(ids, "id", "left_semi")).where("type = 'CONTAINS'").select("src", "dst")
+
+
+@query("set_properties", f"WITH {graph_queries.GRAPH_SQL}, {graph_queries._DOC} SELECT n.id, CASE WHEN n.id = doc.id THEN 'renamed' ELSE title END AS title, CASE WHEN n.id = doc.id THEN 'd' ELSE description END AS description FROM nodes n, doc WHERE label = 'Document'")
+def set_properties(spark, sf):
     g = derived_graph(spark, sf)
-    return mutations.delete_document(g, graph_queries.one_document(g)).edges
+    out = mutations.set_properties(g.nodes, graph_queries.one_document(g), title="renamed", description="d")
+    return out.where("label = 'Document'").select("id", "title", "description")
 
 
 @query("delete_session", f"WITH {graph_queries.GRAPH_SQL}, gone AS (SELECT id FROM nodes WHERE session_id = '{SESSION}') SELECT src, dst, type FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)")

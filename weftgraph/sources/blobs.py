@@ -58,7 +58,7 @@ def text_pages(blobs: DataFrame) -> DataFrame:
 
 
 def pdf_pages(blobs: DataFrame) -> DataFrame:
-    """The same of PDF blobs, where the optional ``pypdf`` is installed; a blob that cannot be read has no pages."""
+    """``doc_id, page_no, text, error`` of PDF blobs, where the optional ``pypdf`` is installed; a blob that cannot be read is one row with its error."""
 
     def run(batches):
         import io
@@ -70,13 +70,21 @@ def pdf_pages(blobs: DataFrame) -> DataFrame:
             rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(name, i, p.extract_text() or "") for i, p in enumerate(PdfReader(io.BytesIO(content)).pages)]
-                except Exception:  # noqa: BLE001  unreadable input is data
-                    continue
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.string()], strict=True)], names=["doc_id", "page_no", "text"])
+                    rows += [(name, i, p.extract_text() or "", None) for i, p in enumerate(PdfReader(io.BytesIO(content)).pages)]
+                except Exception as e:  # noqa: BLE001  unreadable input is data
+                    rows.append((name, None, None, f"{type(e).__name__}: {e}"))
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "page_no", "text", "error"])
 
-    return blobs.select("name", "content").mapInArrow(run, "doc_id string, page_no int, text string")
+    return blobs.select("name", "content").mapInArrow(run, "doc_id string, page_no int, text string, error string")
+
+
+def page_dump(pages: DataFrame) -> DataFrame:
+    """``doc_id, text``: the raw pages of each document in order, a marker line before each."""
+    one = F.concat(F.lit("--- PAGE "), (F.col("page_no") + 1).cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
+    got = pages.where("page_no is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", one.alias("t")))).alias("p"))
+    return got.select("doc_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"))
 
 
 def run_script(spark: SparkSession, script: str) -> int:

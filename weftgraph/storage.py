@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,34 +17,89 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(spark.sparkContext, "_weft_shared", None)
+    """The folder named in ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Where the session names none, a temporary folder takes its place if driver and executors are one process (tests); on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and (sc.master == "local" or sc.master.startswith("local[")):
+        named = getattr(sc, "_weft_shared", None)
         if not named:
             own = tempfile.mkdtemp(prefix="weft-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
-            named = spark.sparkContext._weft_shared = f"file://{own}"
+            named = sc._weft_shared = f"file://{own}"
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives the loss of any executor."""
+#: Folders written by ``materialise`` that are still there, with their session.
+_OWNED: dict[str, SparkSession] = {}
+_KEPT: dict[str, SparkSession] = {}
+
+
+def materialise(df: DataFrame, label: str, light: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives the loss of any executor.
+
+    ``light``: a few bytes for each row of larger tables, written by an eighth of the tasks, so that there are not more files than need be.
+    The folder lasts until ``discard`` or ``release``, at the latest until the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    if light:
+        df = df.coalesce(max(1, n_partitions(spark) // 8))
     df.write.parquet(path)
+    _OWNED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
 
 
+def snapshot(df: DataFrame, label: str, by: str) -> DataFrame:
+    """A table that lasts as long as the session, in folders by ``by``, so that readers of one value open its folder only.
+
+    The rows of a value are dealt to eight tasks, so a common one is not written by a single task.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(8))
+    df.repartition(n_partitions(spark), F.col(by), salt).write.partitionBy(by).parquet(path)
+    _KEPT[path] = spark
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    _OWNED.pop(path, None)
+    _KEPT.pop(path, None)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a materialised table that nothing lazy refers to any more."""
     path = getattr(df, "_weft_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(path, df.sparkSession)
+
+
+def release(spark: SparkSession | None = None) -> int:
+    """Delete every intermediate table of a session (or of all) once its results have been written; returns how many there were."""
+    mine = [(path, own) for path, own in _OWNED.items() if spark is None or own is spark]
+    for path, own in mine:
+        _delete(path, own)
+    return len(mine)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for path, own in [*_OWNED.items(), *_KEPT.items()]:
+        try:
+            if own.sparkContext._jsc is not None and own.sparkContext._jsc.sc().isStopped() is False:
+                _delete(path, own)
+        except Exception:  # noqa: BLE001  the JVM may be gone before the driver's Python
+            return
 
 
 def n_partitions(spark: SparkSession) -> int:
