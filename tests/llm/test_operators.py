@@ -461,6 +461,73 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert n[1][1] >= 0.995 * n[1][0] and n[0][1] <= 0.2 * n[0][0]
 
 
+def mcd(x, support=0.75):
+    """The documented estimate of one group on arrays, from many random starts besides."""
+    floor = np.diag([quality.FLOOR[d] ** 2 for d in quality.DIMS])
+    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def steps(inside):
+        for _ in range(60):
+            m, c = x[inside].mean(0), np.cov(x[inside].T, bias=True) + floor
+            bins = np.floor(np.log2(dist(m, c) + 1e-9) * quality.LOG_GRID)
+            now = bins <= np.sort(bins)[int(np.ceil(len(x) * support)) - 1]
+            if (now == inside).all():
+                break
+            inside = now
+        return np.linalg.slogdet(np.cov(x[inside].T, bias=True) + floor)[1], inside
+
+    rng = np.random.default_rng(0)
+    best = min((steps(np.isin(np.arange(len(x)), rng.choice(len(x), 8, replace=False))) for _ in range(60)), key=lambda r: r[0])
+    m, c = x[best[1]].mean(0), np.cov(x[best[1]].T, bias=True) * quality.consistency(support) + floor
+    good = dist(m, c) <= quality.chi2_quantile(0.025, 4)
+    return best[0], dist(x[good].mean(0), np.cov(x[good].T, bias=True) * quality.consistency(0.975) + floor)
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Per language and source, a null source and a pool of small groups among them: distances and verdicts of an independent estimate."""
+    rng = np.random.default_rng(1)
+    rows, n = [], 0
+    for lang, source, size in (("a", "s", 400), ("a", None, 300), ("b", "s", 250), ("b", "t", 30), ("b", "u", 25), (None, "z", 12)):
+        shift = rng.normal(0, 0.2, 4)
+        for i in range(size):
+            v = np.array([1.6, 1.0, 0.02, 0.05]) + shift * [0.5, 1, 0, 0] + rng.normal(0, [0.08, 0.5, 0.02, 0.02])
+            if i % 9 == 0:
+                v += [0, rng.uniform(2, 5), 0, 0] if i % 2 else [0, 0, rng.uniform(0.5, 0.9), rng.uniform(0.1, 0.4)]
+            rows.append((lang, source, *(float(max(0, t)) for t in v)))
+            n += 1
+    unit = lambda lang, source: "p" if (lang, source) in (("b", "t"), ("b", "u")) else f"{lang}/{source}"
+    points = spark.createDataFrame([(unit(a, b), i, *v) for i, (a, b, *v) in enumerate(rows)], "unit string, i int, v_len double, v_sym double, v_dup double, v_rep double")
+    params = quality.estimate(points.drop("i"))
+    got = {r["i"]: r["d_mcd"] for r in quality._distances(points.join(params, "unit"), ["mcd"]).collect()}
+    cut = quality.chi2_quantile(1e-12, 4)
+    for u in {unit(a, b) for a, b, *_ in rows}:
+        own = [i for i, (a, b, *_) in enumerate(rows) if unit(a, b) == u]
+        if len(own) < 40:
+            continue
+        det, want = mcd(np.array([rows[i][2:] for i in own]))
+        mine = np.array([got[i] for i in own])
+        assert ((mine > cut) == (want > cut)).all() and np.corrcoef(mine, want)[0, 1] > 0.999
+    # any partitioning gives the same
+    again = quality.estimate(points.drop("i").repartition(7))
+    one, two = ({r["unit"]: r["det_mcd"] for r in p.collect()} for p in (params, again))
+    assert one.keys() == two.keys() and all(one[u] == pytest.approx(two[u], abs=1e-6) for u in one)
+
+
+def test_null_source_is_a_group_of_its_own(spark):
+    """It used to share its name with the pool of its language's small groups."""
+    rnd = random.Random(2)
+    vocab = ["".join(rnd.choice("aeioustrnl") for _ in range(rnd.randint(3, 7))) for _ in range(900)]
+    text = lambda long: " ".join(rnd.choice(vocab) * (3 if long else 1) for _ in range(80))
+    rows = [(i, text(False), "a", None) for i in range(60)] + [(100 + i, text(True), "a", f"s{i % 3}") for i in range(60)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r["kept"] and r["distance2"] < 40 for r in got.values())
+
+
+def test_chi_square():
+    assert quality.chi2_quantile(0.05, 4) == pytest.approx(9.4877, abs=1e-3) and quality.chi2_quantile(0.001, 6) == pytest.approx(22.4577, abs=1e-3)
+    assert quality.chi2_cdf(3.3567, 4) == pytest.approx(0.5, abs=1e-4) and 1.4 < quality.consistency(0.75) < 1.6
+
+
 def test_each_quality_statistic_rejects_by_itself(spark):
     rnd = random.Random(12)
     vocab = ["".join(rnd.choice("aeioustrnl") for _ in range(rnd.randint(3, 7))) for _ in range(2000)]
