@@ -151,17 +151,79 @@ def test_weights_do_not_depend_on_blocks(spark):
     assert whole and rows(decontaminate.matches(docs, bench, block_items=1)) == rows(decontaminate.matches(docs, bench, block_items=5)) == whole
 
 
-def test_multi_index_is_complete():
+@pytest.mark.parametrize("radius,probing", [(18, False), (18, True), (6, True), (2, False)])
+def test_multi_index_is_complete(radius, probing, monkeypatch):
+    """All items within the radius are found, by probing keys or by holding items against them, and others seldom become candidates."""
     rnd = random.Random(5)
-    rows = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(20))) for i in range(50)]
-    items = decontaminate.Items(rows, 5, 6)
-    for _ in range(300):
-        i = rnd.randrange(50)
-        f = items.prints[i]
-        for b in rnd.sample(range(64), rnd.randint(0, 8)):
+    rows = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(20))) for i in range(300)]
+    items = decontaminate.Items(rows, 5, radius)
+    if probing:
+        # more rows than keys, so keys are probed; the added ones repeat an item and fail the exact distance
+        monkeypatch.setattr(decontaminate, "PROBES", 1 << 14)
+        far = np.full(3000, 0xFFFF, np.uint16)
+        for key, (values, own) in items.tables.items():
+            values, own = np.concatenate([values, far]), np.concatenate([own, np.full(3000, own[0])])
+            order = np.argsort(values, kind="stable")
+            items.tables[key] = (values[order], own[order])
+    prints = []
+    for _ in range(200):
+        f = int(items.prints[rnd.randrange(300)])
+        for b in rnd.sample(range(64), rnd.randint(0, radius + 3)):
             f ^= 1 << b
-        want = {r for r in range(50) if (items.prints[r] ^ f).bit_count() <= 6}
-        assert items.near(f, 20) == want
+        prints.append(f)
+    w, i = items.near(np.array(prints, np.uint64), 20)
+    want = {(x, r) for x, f in enumerate(prints) for r in range(300) if (int(items.prints[r]) ^ f).bit_count() <= radius}
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == want
+    assert sum(decontaminate.shares(radius)) + 4 == radius + 1
+
+
+def brute_matches(docs, bench, k=5, least=0.8):
+    """The best window of every document and item, over all windows of the item's size, without fingerprints."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    items = {i: grams(words(t)) for i, t in bench if t is not None}
+    holders = collections.Counter(g for gs in items.values() for g in set(gs))
+    weight = lambda g: round((1 + np.log(len(items) / holders.get(g, 1))) * decontaminate.UNIT)
+    out = {}
+    for doc, text in docs:
+        own = grams(words(text))
+        for item, gs in items.items():
+            n = min(len(gs), len(own))
+            if not gs or not n:
+                continue
+            b = collections.Counter(gs)
+            for s in range(len(own) - n + 1):
+                a = collections.Counter(own[s : s + n])
+                if not a.keys() & b.keys():
+                    continue
+                low = sum(weight(g) * min(c, b[g]) for g, c in a.items())
+                high = sum(weight(g) * max(a[g], b[g]) for g in a.keys() | b.keys())
+                if low / high >= least and (low / high, -s) > out.get((doc, item), (0, 0)):
+                    out[doc, item] = (low / high, -s)
+    return {key: (-s, pytest.approx(v, abs=1e-9)) for key, (v, s) in out.items()}
+
+
+@pytest.mark.parametrize("blocks", [20_000, 7])
+def test_recall_over_all_windows(spark, blocks):
+    """Items of every size, damaged in every way, at every place, against all windows: no match is lost and none is made up."""
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    stem = [word() for _ in range(12)]
+    bench = [(i, " ".join((stem if i % 5 == 0 else []) + [word() for _ in range(rnd.randint(8, 45))])) for i in range(60)]
+    docs = []
+    for d in range(400):
+        w = rnd.choice(bench)[1].split()
+        for _ in range(rnd.randint(0, max(1, len(w) // 12))):
+            at = rnd.randrange(len(w))
+            kind = rnd.randrange(4)
+            w = w[:at] + w[at + 1 :] if kind == 0 else w[:at] + [word()] + w[at:] if kind == 1 else w[:at] + [word()] + w[at + 1 :] if kind == 2 else w[rnd.randint(0, 2) :]
+        docs.append((d, " ".join([word() for _ in range(rnd.randint(0, 60))] + w + [word() for _ in range(rnd.randint(0, 60))])))
+    want = brute_matches(docs, bench)
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_items=blocks)
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in got.collect()}
+    assert len(want) > 150 and not got.keys() - want.keys()
+    assert len(got) >= 0.99 * len(want)
+    assert sum(got[key] == want[key] for key in got) >= 0.99 * len(got)
 
 
 # ---- 3 chat ---------------------------------------------------------------------------------------------------------------

@@ -90,7 +90,7 @@ SELECT conv_id,
 FROM conversations
 """
 
-#: Weighted Jaccard similarity of every window aligned at a shared shingle; the best window of each document and item.
+#: Weighted Jaccard similarity of every window of an item's size that shares a shingle with it; the best window of each document and item.
 _OP2_WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _OP2 = f"""
 WITH dw AS (SELECT doc_id, {_OP2_WORDS} AS w FROM documents WHERE text IS NOT NULL
@@ -98,11 +98,12 @@ WITH dw AS (SELECT doc_id, {_OP2_WORDS} AS w FROM documents WHERE text IS NOT NU
 ), ds AS (SELECT doc_id, n, j, array_to_string(w[j + 1:j + 5], ' ') AS g FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS j FROM dw)
 ), bs AS (SELECT item_id, m, o, array_to_string(w[o + 1:o + 5], ' ') AS g FROM (SELECT item_id, w, len(w) AS m, unnest(range(0, len(w) - 4)) AS o FROM iw)
 ), total AS (SELECT count(*)::DOUBLE AS n_items FROM iw
-), wt AS (SELECT g, 1 + ln(any_value(n_items) / count(DISTINCT item_id)) AS w FROM bs, total GROUP BY g
+), wt AS (SELECT g, CAST(round((1 + ln(any_value(n_items) / count(DISTINCT item_id))) * 1048576) AS BIGINT) AS w FROM bs, total GROUP BY g
+), meet AS (SELECT DISTINCT doc_id, item_id, j, least(m, n) AS k, n FROM ds JOIN bs USING (g)
 ), win AS (
-  SELECT DISTINCT doc_id, item_id, least(greatest(j - o, 0), n - least(m, n)) AS s, least(m, n) AS k FROM ds JOIN bs USING (g)
+  SELECT DISTINCT doc_id, item_id, k, unnest(range(greatest(j - k + 5, 0), least(j, n - k) + 1)) AS s FROM meet
 ), a AS (
-  SELECT win.doc_id, win.item_id, s, k, ds.g, count(*) AS c, coalesce(any_value(wt.w), any_value(1 + ln(n_items))) AS w
+  SELECT win.doc_id, win.item_id, s, k, ds.g, count(*) AS c, coalesce(any_value(wt.w), any_value(CAST(round((1 + ln(n_items)) * 1048576) AS BIGINT))) AS w
   FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.j BETWEEN s AND s + k - 5 LEFT JOIN wt ON wt.g = ds.g, total GROUP BY ALL
 ), b AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL
 ), size AS (SELECT item_id, sum(c * wt.w) AS whole FROM b JOIN wt USING (g) GROUP BY item_id
