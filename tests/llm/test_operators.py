@@ -256,13 +256,62 @@ def test_viterbi_is_the_best_path():
     assert got == [chat.STATES[s] for s in best]
 
 
-def test_chat_table(spark):
+def test_pieces_are_decoded_like_the_whole(spark, monkeypatch):
+    """A conversation of 300 turns, unmarked in long stretches, in pieces of 4 turns combined 3 at a time."""
+    rnd = random.Random(7)
+    rows = []
+    for conv in range(4):
+        role = "user"
+        for turn in range((300, 3, 41, 1)[conv]):
+            lines = [" ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.randint(0, 9))) + rnd.choice(["", "?", " "]) for _ in range(rnd.randint(1, 4))]
+            rows.append((conv, turn, role if rnd.random() < 0.3 else None, "\n".join(lines)))
+            role = "assistant" if role == "user" else "user"
+    conv = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    keys = [("start", r) for r in chat.ROLES] + [("next", a, b) for a in chat.ROLES for b in chat.ROLES] + [("more", r) for r in chat.ROLES]
+    keys += [(k, r, first, v) for k, n in (("gap", 2), ("question", 2), ("length", 4)) for r in chat.ROLES for first in (True, False) for v in range(n)]
+    model = chat.Model({k: rnd.random() for k in keys})  # so that no two paths weigh the same
+    said = {}
+    for r in chat.marked(conv).orderBy("conv_id", "turn").collect():
+        said.setdefault(r["conv_id"], []).append(r["line"])
+    want = {c: chat.turns("\n".join(lines), model) for c, lines in said.items()}
+    for piece, fan in ((4, 3), (1, 2), (128, 256)):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        monkeypatch.setattr(chat, "FAN", fan)
+        got = {}
+        for r in chat.format_chats(conv, model).orderBy("conv_id", "turn_no").collect():
+            got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+        assert got == want, (piece, fan)
+
+
+def test_hidden_roles_are_recovered(spark):
+    """Fitted on three quarters of the conversations; in the others every marker but the first is a bare name."""
+    conv = table(spark, "/root/testdata/sf0.1", "conversations")
+    model = chat.fit(chat.marked(conv).where(chat.learned_from()))
+    out = chat.marked(conv).where(~chat.learned_from()).orderBy("conv_id", "turn").collect()
+    talks = {}
+    for r in out:
+        talks.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    right = total = 0
+    for talk in talks.values():
+        lines = [(f"{role.title()}: " if i == 0 else rnd_name) + text for i, (role, text) in enumerate(talk) for rnd_name in ("Robin: ",)]
+        got = chat.turns("\n".join(lines), model)
+        total += len(talk)
+        right += sum(a == b for a, b in zip(got, talk, strict=False)) if len(got) == len(talk) else 0
+    assert total > 500 and right >= 0.97 * total
+
+
+def test_chat_table(spark, monkeypatch):
     rows = [(1, 0, "user", "Hi?"), (1, 1, "ASSISTANT", "a\nb"), (2, 0, "system", None), (2, 1, None, "no role"), (2, 2, "assistant", ""), (None, 0, "user", "x"), (3, 200, "user", "late"), (3, 0, "user", "early"), (1, 0, "user", "Hi?")]
-    conv = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("piece", F.lit("clash"))
-    got = {(r["conv_id"], r["turn_no"]): (r["role"], r["text"]) for r in chat.format_chats(conv).collect()}
-    assert got[1, 0] == got[1, 1] == ("user", "Hi?") and got[1, 2] == ("assistant", "a\nb")
-    assert got[2, 0][0] == "system" and got[None, 0] == ("user", "x")
-    assert got[3, 0] == ("user", "early") and got[3, 1] == ("user", "late")
+    rows += [(4, None, "user", "q"), (4, 1, "assistant", "long " * 40_000), (5, 3, "user", "same"), (5, 3, "user", "same"), (5, 3, "assistant", "same")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({"piece": F.lit("clash"), "ord": F.lit(1), "_c": F.lit(2)})
+    for piece in (128, 1):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        got = {(r["conv_id"], r["turn_no"]): (r["role"], r["text"]) for r in chat.format_chats(conv, chat.Model()).collect()}
+        assert got[1, 0] == got[1, 1] == ("user", "Hi?") and got[1, 2] == ("assistant", "a\nb")
+        assert got[2, 0][0] == "system" and got[None, 0] == ("user", "x")
+        assert got[3, 0] == ("user", "early") and got[3, 1] == ("user", "late")
+        assert got[4, 0] == ("user", "q") and got[4, 1] == ("assistant", "long " * 40_000)
+        assert [got[5, i] for i in range(3)] == [("assistant", "same"), ("user", "same"), ("user", "same")]
     assert chat.format_chats(conv.where("false")).count() == 0
 
 
