@@ -426,6 +426,7 @@ def similarity_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their class; columns unchanged. Rows with a null id stay."""
-    classes = similarity_classes(docs, k, num, den).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(classes, "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = similarity_classes(docs, k, num, den).where("doc_id != component_id").select("doc_id").distinct()
+    gone = materialise(gone, "gone", light=True)
+    kept = docs.alias("d").join(gone.alias("g"), F.expr("cast(d.doc_id as long) = g.doc_id"), "left_anti")
+    return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -32,23 +32,6 @@ def codes(raw, off):
     return out
 
 
-def commonest(counts: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """The rows of ``counts`` with the largest ``n``, at most ``max_rows`` of them, without sorting them.
-
-    A histogram over steps of 1/32 of a power of two (some thousand numbers at most) says where to cut; of the step that is cut a share by
-    hash of ``key`` stays.
-    """
-    step = F.floor(F.log2("n") * 32).cast("int")
-    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    room, cut, share = max_rows, -1, 0
-    for r in sizes:
-        if r["count"] > room:
-            cut, share = r["step"], int(3600 * room / r["count"])  # of 4096: the hash may fall unevenly
-            break
-        room -= r["count"]
-    return counts.where((step > cut) | ((step == cut) & (F.pmod(F.xxhash64(key), F.lit(4096)) < share)))
-
-
 def gram_counts(docs: DataFrame, label: str | None) -> DataFrame:
     """``label, gram, n`` over every row with a text and, if asked for, a label."""
     src = docs.select((F.col(label) if label else F.lit("")).cast("string").alias("label"), "text").where("label is not null and text is not null")

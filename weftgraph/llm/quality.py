@@ -287,5 +287,6 @@ def quality_rules(docs: DataFrame, support: float = 0.75, tail: float = 1e-12, m
 
 def keep_good(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged. Rows are matched by ``doc_id`` (null ids by equality of nulls)."""
-    verdict = quality_rules(docs, **params).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(materialise(verdict, "kept", light=True), F.expr("doc_id <=> _kept_id"), "left_semi")
+    verdict = quality_rules(docs, **params).where("kept").select("doc_id").distinct()
+    kept = docs.alias("d").join(materialise(verdict, "kept", light=True).alias("v"), F.expr("d.doc_id <=> v.doc_id"), "left_semi")
+    return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -572,8 +572,8 @@ def removals(docs: DataFrame, length: int = 200) -> DataFrame:
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with every repeated string cut out of ``text`` (bytes of a character that was cut apart go too) and ``n_chars`` renewed."""
     rows, changed = _changed(docs, length)
-    found = rows.join(changed.select(F.col("doc_id").alias("rep"), F.col("kept").alias("_kept")), "rep")
-    found = found.select(F.col("doc_id").alias("_id"), "_kept").dropDuplicates(["_id"])
-    out = docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left")
-    text = F.coalesce("_kept", "text")
-    return out.select(*[text.alias(c) if c == "text" else F.length(text).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    found = rows.join(changed.select(F.col("doc_id").alias("rep"), "kept"), "rep").select("doc_id", "kept").dropDuplicates(["doc_id"])
+    out = docs.alias("d").join(found.alias("f"), F.expr("cast(d.doc_id as long) = f.doc_id"), "left")
+    text = F.coalesce("f.kept", "d.text")
+    own = lambda c, t: text if c == "text" else F.length(text).cast(t) if c == "n_chars" else F.col(f"d.`{c}`")
+    return out.select(*[own(c, t).alias(c) for c, t in docs.dtypes])

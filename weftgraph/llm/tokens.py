@@ -13,7 +13,7 @@ import sys
 from array import array
 
 #: Chunks held in one worker, about 200 bytes each; two generations of half as many.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 LONGEST_CACHED = 48
 #: Up to here letters and their lower case are the same in every version of Unicode, and no letter composes with another.
 _STABLE = "\u024f"

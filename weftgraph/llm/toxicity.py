@@ -9,7 +9,7 @@ of set-apart letters, which does not tell where its words part. Words of restore
 
 The language model is counted over all rows that are not held out, and keeps every gram: it is broadcast as sorted arrays of 8 bytes for each
 different 4-gram, so it grows with the variety of the text. Labels come from a bounded sample: of each class the ``max_rows``
-labelled, not held out ids with the smallest hash. The lexicon has at most ``max_features`` entries.
+labelled, not held out ids with the smallest hash. Every stem of theirs that is evidence enough is in the lexicon.
 
 Defined results: null and empty texts have no evidence and get the fitted floor; without labelled documents of both classes every score is
 the share of toxic ones (0 without labels); null ids are not held out and not learned from; of several labels of an id the highest
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .langid import Trees, _rows, held_out
-from .ngrams import commonest, gram_counts
+from .ngrams import gram_counts
 from .runtime import discard, materialise
 from .textcore import frugal
 
@@ -229,7 +229,7 @@ def logistic(x, y, ridge: float = 1e-3, steps: int = 50):
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 20_000, least_docs: int = 4, least_odds: float = 4.5, least_z: float = 2.6) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs: int = 4, least_odds: float = 4.5, least_z: float = 2.6) -> Model:
     import numpy as np
 
     spark = docs.sparkSession
@@ -282,12 +282,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     def frequencies(toxic, wanted):
         return rows.where(F.col("toxic") == toxic).select("text").mapInArrow(counted(wanted), "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
-    bad = {r["k"]: r["n"] for r in commonest(frequencies(1, None).where(F.col("n") >= least_docs), "k", 10 * max_features).collect()}
+    bad = {r["k"]: r["n"] for r in frequencies(1, None).where(F.col("n") >= least_docs).collect()}  # of at most max_rows texts
     good = {r["k"]: r["n"] for r in frequencies(0, set(bad)).collect()}
     odds = {k: np.log((n + 0.5) / (size[1] + 1)) - np.log((good.get(k, 0) + 0.5) / (size[0] + 1)) for k, n in bad.items() if k}
     # log-odds must stand out from chance: their standard error is that of two counts
     error = {k: np.sqrt(1 / (bad[k] + 0.5) + 1 / (good.get(k, 0) + 0.5)) for k in odds}
-    best = sorted((k for k in odds if odds[k] >= max(least_odds, least_z * error[k])), key=lambda k: (-odds[k], k))[:max_features]
+    best = sorted((k for k in odds if odds[k] >= max(least_odds, least_z * error[k])), key=lambda k: (-odds[k], k))
     weights = {k: float(odds[k]) for k in best}
     lexicon = spark.sparkContext.broadcast(Model(trees, weights, None, 0.0))
 
