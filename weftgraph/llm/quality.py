@@ -5,7 +5,7 @@ language and source, of the rows that pass the base rules:
 
 1. Four starts (medians with diagonal scales, hyperbolic-tangent correlations, spatial signs, the central half) each take two concentration
    steps: the ``support`` share of rows with the smallest Mahalanobis distances gives the next mean and covariance.
-2. The start of least determinant in each group goes on until no determinant changes any more.
+2. The start of least determinant in each group goes on until its determinant falls no more.
 3. The estimate is scaled to the whole by the consistency factor of ``support`` under chi-square, and made again from all rows within the
    0.975 quantile. A row whose distance is beyond the chi-square quantile of 1 - ``tail`` is rejected.
 
@@ -160,29 +160,33 @@ def _cuts(rows: DataFrame, bins: dict[str, Column], share: float) -> DataFrame:
 
 def _factors(params: DataFrame, starts, scale: float = 1.0) -> DataFrame:
     """``m_*`` and the Cholesky factors ``l_*`` of the scaled and regularised ``c_*``, with the logarithm ``det_*`` of their determinant."""
-    keep = ["unit", "n"]
-    for k in starts:
-        for i, x in enumerate(DIMS):
-            for j, y in enumerate(DIMS[: i + 1]):
+    for i, x in enumerate(DIMS):
+        for j, y in enumerate(DIMS[: i + 1]):
+            new = {}
+            for k in starts:
                 rest = F.lit(scale) * F.col(f"c_{k}_{x}_{y}") + F.lit(FLOOR[x] ** 2 if x == y else 0.0)
                 for z in DIMS[:j]:
                     rest = rest - F.col(f"l_{k}_{x}_{z}") * F.col(f"l_{k}_{y}_{z}")
-                params = params.withColumn(f"l_{k}_{x}_{y}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{k}_{y}_{y}"))
-        params = params.withColumn(f"det_{k}", sum((2 * F.log(f"l_{k}_{x}_{x}") for x in DIMS), F.lit(0.0)))
-        keep += [*[f"m_{k}_{x}" for x in DIMS], *[f"l_{k}_{x}_{y}" for x, y in _pairs()], f"det_{k}"]
+                new[f"l_{k}_{x}_{y}"] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{k}_{y}_{y}")
+            params = params.withColumns(new)
+    keep = ["unit", "n"]
+    for k in starts:
+        det = sum((2 * F.log(f"l_{k}_{x}_{x}") for x in DIMS), F.lit(0.0)).alias(f"det_{k}")
+        keep += [*[f"m_{k}_{x}" for x in DIMS], *[f"l_{k}_{x}_{y}" for x, y in _pairs()], det]
     return params.select(*keep)
 
 
 def _distances(rows: DataFrame, starts) -> DataFrame:
     """Adds ``d_*``: squared Mahalanobis distances by forward substitution."""
-    for k in starts:
-        for i, x in enumerate(DIMS):
+    for i, x in enumerate(DIMS):
+        new = {}
+        for k in starts:
             rest = F.col(x) - F.col(f"m_{k}_{x}")
             for z in DIMS[:i]:
                 rest = rest - F.col(f"l_{k}_{x}_{z}") * F.col(f"z_{k}_{z}")
-            rows = rows.withColumn(f"z_{k}_{x}", rest / F.col(f"l_{k}_{x}_{x}"))
-        rows = rows.withColumn(f"d_{k}", sum((F.col(f"z_{k}_{x}") * F.col(f"z_{k}_{x}") for x in DIMS), F.lit(0.0)))
-    return rows
+            new[f"z_{k}_{x}"] = rest / F.col(f"l_{k}_{x}_{x}")
+        rows = rows.withColumns(new)
+    return rows.withColumns({f"d_{k}": sum((F.col(f"z_{k}_{x}") * F.col(f"z_{k}_{x}") for x in DIMS), F.lit(0.0)) for k in starts})
 
 
 def _moments(rows: DataFrame, within: dict[str, Column]) -> DataFrame:
@@ -203,8 +207,7 @@ def _starts(points: DataFrame, small: bool) -> DataFrame:
     scale = [F.sqrt(F.pow(1.4826 * (F.col(x) + 0.5) / GRID, 2) + F.lit(FLOOR[x] ** 2)).alias(f"s_{x}") for x in DIMS]
     scales = materialise(off.select("unit", *scale).join(mid, "unit"), "quality-scale", light=True)
     z = _attach(points, scales, small)
-    for x in DIMS:
-        z = z.withColumn(f"z_{x}", (F.col(x) - F.col(f"med_{x}")) / F.col(f"s_{x}"))
+    z = z.withColumns({f"z_{x}": (F.col(x) - F.col(f"med_{x}")) / F.col(f"s_{x}") for x in DIMS})
     z = z.withColumn("norm", sum((F.col(f"z_{x}") * F.col(f"z_{x}") for x in DIMS), F.lit(0.0)))
     half = _cuts(z, {"half": _log_bin("norm")}, 0.5)
     z = _attach(z, half, small)
@@ -251,11 +254,14 @@ def estimate(points: DataFrame, support: float = 0.75, broadcast_units: int = 50
     moments = materialise(best.select("unit", "n", *[pick(a).alias(b) for a, b in names]), "quality-best", light=True)
     for _ in range(max_steps):
         before = _factors(moments, ["mcd"])
-        moments = step(before, ["mcd"])
-        after = _factors(moments, ["mcd"]).select("unit", F.col("det_mcd").alias("now"))
-        moved = before.join(after, "unit").agg(F.max(F.abs(F.col("now") - F.col("det_mcd")))).first()[0]
-        if moved is None or moved < 1e-9:
+        now = step(before, ["mcd"])
+        falls = before.select("unit", F.col("det_mcd").alias("was")).join(_factors(now, ["mcd"]).select("unit", F.col("det_mcd").alias("is")), "unit")
+        falls = materialise(falls.where("`is` < was - 1e-9").select("unit"), "quality-falls", light=True)
+        if falls.isEmpty():
             break
+        # a group that has settled keeps its estimate
+        moments = now.join(F.broadcast(falls) if small else falls, "unit", "left_semi").unionByName(moments.join(F.broadcast(falls) if small else falls, "unit", "left_anti"))
+        moments = materialise(moments, "quality-best", light=True)
     raw = materialise(_factors(moments, ["mcd"], consistency(support)), "quality-raw", light=True)
     near = _distances(_attach(points, raw, small), ["mcd"])
     final = _moments(near, {"mcd": F.col("d_mcd") <= chi2_quantile(0.025, len(DIMS))})
