@@ -157,18 +157,16 @@ class Items:
 
         out = np.zeros(len(at), np.uint64)
         order = np.argsort(at, kind="stable")
-        i = 0
-        while i < len(order):  # windows within one span of positions share their prefix sums
-            low = at[order[i]]
-            j = max(i + 1, int(np.searchsorted(at[order], low + SPAN)))
-            own = order[i:j]
-            high = int((at[own] + length[own]).max())
-            votes = ((h[low:high, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
-            sums = np.zeros((high - low + 1, 64), np.int64)
-            np.cumsum(votes * weight[low:high, None], axis=0, out=sums[1:])
-            ahead = sums[at[own] + length[own] - low] > sums[at[own] - low]
+        low, high = at[order], np.maximum.accumulate(at[order] + length[order])
+        # windows that overlap share their prefix sums, up to a span of positions
+        part = np.cumsum(np.concatenate([[False], (low[1:] >= high[:-1]) | (low[1:] // SPAN != low[:-1] // SPAN)])) if len(at) else np.empty(0, np.int64)
+        for own in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(at) else ():
+            a, z = int(at[own].min()), int((at[own] + length[own]).max())
+            votes = ((h[a:z, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
+            sums = np.zeros((z - a + 1, 64), np.int64)
+            np.cumsum(votes * weight[a:z, None], axis=0, out=sums[1:])
+            ahead = sums[at[own] + length[own] - a] > sums[at[own] - a]
             out[own] = np.packbits(ahead, axis=1, bitorder="little").view(np.uint64)[:, 0]
-            i = j
         return out
 
     def near(self, prints, size: int):
@@ -263,6 +261,7 @@ def _pass(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         from . import textcore as tc
@@ -273,10 +272,12 @@ def _pass(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
             for part in tc.slices(batch, "text"):
                 h, row, begin, _ = _shingles(part.column(1), it.k)
                 best: dict[tuple[int, int], tuple] = {}
-                weight = None
-                for at, length, m in it.windows(h, row, begin, similarity):
-                    weight = it.weights.of(h) if weight is None else weight
-                    prints = it.fingerprints(h, weight, at, length)
+                found = it.windows(h, row, begin, similarity)
+                if not found:
+                    continue
+                starts, lengths = (np.concatenate([x[c] for x in found]) for c in (0, 1))
+                every = it.fingerprints(h, it.weights.of(h), starts, lengths)
+                for (at, length, m), prints in zip(found, np.split(every, np.cumsum([len(x[0]) for x in found])[:-1]), strict=True):
                     for w, i in zip(*(x.tolist() for x in it.near(prints, m)), strict=True):
                         a, n = int(at[w]), int(length[w])
                         sim = it.similarity(h[a : a + n], i)
