@@ -256,10 +256,15 @@ def _notes(spark, sf):
     return got.select(F.col("l_orderkey").alias("text_id"), F.concat(F.lit("Compare "), F.array_join(F.transform("p", lambda x: x["p_name"]), " with "), F.lit(" of order "), "l_orderkey").alias("text"))
 
 
-@query("note_concept_links", f"WITH {_NOTES}, k AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT 'de' UNION SELECT '7') SELECT text_id, name FROM notes, k WHERE contains(lower(text), lower(name))")
+@query("note_concept_links", f"WITH {_NOTES}, k AS (SELECT DISTINCT p_name AS name FROM part) SELECT text_id, name FROM notes, k WHERE contains(lower(text), lower(name))")
 def note_concept_links(spark, sf):
-    known = table(spark, sf, "part").select(F.col("p_name").alias("name")).unionByName(spark.createDataFrame([("de",), ("7",)], "name string"))
-    return library.concept_mentions(_notes(spark, sf), known)
+    return library.concept_mentions(_notes(spark, sf), table(spark, sf, "part").select(F.col("p_name").alias("name")))
+
+
+@query("short_concept_links", f"WITH {_NOTES}, k(name) AS (VALUES ('de'), ('7'), ('Old')) SELECT text_id, name FROM notes, k WHERE contains(lower(text), lower(name))")
+def short_concept_links(spark, sf):
+    """Names of one, two and three letters."""
+    return library.concept_mentions(_notes(spark, sf), spark.createDataFrame([("de",), ("7",), ("Old",)], "name string"))
 
 
 @query("notes_with_concepts", f"WITH {_NOTES}, k AS (SELECT DISTINCT p_name AS name FROM part), l AS (SELECT text_id, name FROM notes, k WHERE contains(lower(text), lower(name))) SELECT n.text_id, coalesce(string_agg(name, '|' ORDER BY name), '') AS concepts FROM notes n LEFT JOIN l USING (text_id) GROUP BY n.text_id")
