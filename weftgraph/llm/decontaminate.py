@@ -372,6 +372,6 @@ def matches(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that match no item; columns unchanged. Rows with a null id stay."""
-    found = materialise(matches(docs, benchmark, **params).select("doc_id"), "leaks", light=True).distinct()
+    found = materialise(matches(docs, benchmark, **params).select("doc_id"), "leaks").distinct()
     kept = docs.alias("d").join(found.alias("g"), F.expr("d.doc_id = g.doc_id"), "left_anti")
     return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])

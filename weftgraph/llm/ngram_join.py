@@ -44,6 +44,8 @@ BLOCK = 96
 BLOCK_GRAMS = 100_000
 #: Small work items in one group.
 ITEMS = 32
+#: Up to so many ids (8 bytes each) of near duplicates are broadcast.
+BROADCAST_IDS = 1_000_000
 #: A class with over one in so many rows is joined by broadcast; there are fewer of them than this number.
 HOT_SHARE = 1000
 _SCATTER = "bucket long, unit long, kind int, at binary, lo binary, hi binary"
@@ -428,5 +430,6 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """The rows of ``docs`` that are the smallest id of their class; columns unchanged. Rows with a null id stay."""
     gone = similarity_classes(docs, k, num, den).where("doc_id != component_id").select("doc_id").distinct()
     gone = materialise(gone, "gone", light=True)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = docs.alias("d").join(gone.alias("g"), F.expr("cast(d.doc_id as long) = g.doc_id"), "left_anti")
     return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -39,6 +39,8 @@ FLOOR = {"v_len": 0.05, "v_sym": 0.35, "v_dup": 0.06, "v_rep": 0.05}
 STARTS = ("mad", "tanh", "sign", "half")
 #: Steps of the grids of values, and of the logarithm of distances.
 GRID, LOG_GRID = 1024, 64
+#: Up to so many ids (8 bytes each) of rejected rows are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -293,6 +295,9 @@ def quality_rules(docs: DataFrame, support: float = 0.75, tail: float = 1e-12, m
 
 def keep_good(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged. Rows are matched by ``doc_id`` (null ids by equality of nulls)."""
-    verdict = quality_rules(docs, **params).where("kept").select("doc_id").distinct()
-    kept = docs.alias("d").join(materialise(verdict, "kept", light=True).alias("v"), F.expr("d.doc_id <=> v.doc_id"), "left_semi")
+    gone = quality_rules(docs, **params).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    gone = materialise(gone, "rejected", light=True)
+    # the ids that go are fewer than those that stay: up to a counted number no text is shuffled
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id"), "left_anti")
     return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])
