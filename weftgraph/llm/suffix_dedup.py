@@ -37,7 +37,7 @@ UNIT_BYTES = 8 << 20
 #: Runs in one row of those that are passed on.
 PASSED = 1024
 #: Different runs of one anchor from which it is hot.
-HOT_RUNS = 16_000
+HOT_RUNS = 50_000
 #: Up to so many ids (8 bytes each) of texts that lose something are broadcast.
 BROADCAST_IDS = 1_000_000
 #: A longer text is scanned in pieces of this many windows.
