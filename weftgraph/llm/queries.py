@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpecount, chat, dac, decontaminate, langid, ngram_join, packing, quality, resample, suffix_dedup, toxicity
+from . import bpecount, chat, dac, decontaminate, divergence, langid, ngram_join, packing, quality, resample, suffix_dedup, toxicity
 from .runtime import shared_dir, table
 
 
@@ -72,6 +72,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.drop("n_words")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of each source from the others of its language, and the terms that set it off."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top_terms=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_resampling": op11_resampling,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -200,6 +206,36 @@ SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n //
 """
 
 
+#: Each pair of sources against every kept term of the language, whole numbers of 128 bits.
+_OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), e AS (SELECT r, lang, source, unnest(w) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS n FROM e GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), c AS (SELECT lang, source, term, count(*) AS n FROM e SEMI JOIN k USING (lang, term) GROUP BY ALL
+), v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS lang_total FROM k GROUP BY lang
+), g AS (
+  SELECT x.lang, x.source, coalesce(total, 0)::HUGEINT AS total, v, lang_total FROM (SELECT DISTINCT lang, source FROM d) x
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) y ON x.lang = y.lang AND x.source = y.source LEFT JOIN v ON v.lang = x.lang
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS own, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (total + v) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 1) // (lang_total + v) AS q
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE own > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only where SQL gives the whole result; the others are tested against brute force in ``tests/llm``."""
-    return {"op2_decontamination": _OP2, "op3_chat_format": _OP3, "op5_ngram_join": _OP5, "op9_suffix_dedup": _OP9, "op11_resampling": _OP11}
+    return {"op2_decontamination": _OP2, "op3_chat_format": _OP3, "op5_ngram_join": _OP5, "op9_suffix_dedup": _OP9, "op11_resampling": _OP11, "op13_divergence": _OP13}
