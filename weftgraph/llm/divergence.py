@@ -4,8 +4,8 @@ Terms of a text are its runs of ASCII letters and non-ASCII characters, A-Z lowe
 Every source of it (and the language as a whole) gives each kept term a smoothed share ``p = 1 + floor(UNIT * (count + 1) / (N + V))``; the divergence
 of p from q is ``floor((p - q)^2 / q)``, summed over all kept terms. Whole numbers throughout.
 
-1. One pass over the texts: a document's terms are sorted in its row, so that the first of equal ones can count the document; counts per
-   language, source and term are summed before the shuffle.
+1. One pass over the texts: slices of a batch tally their terms, by document and then by language and source, and the tallies are summed, in each task before
+   the shuffle.
 2. Each kept term becomes its *profile*, the sorted (source, count) list. Terms with one profile are one row with a multiplicity, which takes in most of the
    vocabulary: rare terms are alike.
 3. Profiles yield, for each pair of sources that share them, a joint histogram of (count, count); cells with a zero on one side or both are implied by the
@@ -15,30 +15,69 @@ of p from q is ``floor((p - q)^2 / q)``, summed over all kept terms. Whole numbe
 A pair of sources gives one row of the result, so the work of steps 3 and 4 is bounded by pairs times different counts, whatever the number of documents.
 
 Defined results: null text, language or source are empty strings; a group without kept terms has a value of 0 for each other source and no terms; a
-language with one source has no pairs; rows count as often as they are there; other columns are ignored; an empty table gives an empty result. A row takes some
-twenty times its text in memory, and a profile is as long as a language has sources.
+language with one source has no pairs; rows count as often as they are there; other columns are ignored; an empty table gives an empty result. A text takes some
+thirty times its size in memory, and a profile is as long as a language has sources.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialise
+from .textcore import frugal
 
 UNIT = 1_000_000_000
-_GAP = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text whose terms are tallied together.
+SLICE = 2 << 20
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences and documents; a row with a null term stands for each group that has documents without terms."""
     empty = F.lit("")
-    terms = F.filter(F.split(F.translate(F.coalesce("text", empty), _CAPITALS, _SMALL), _GAP), lambda w: w != "")
-    rows = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.sort_array(terms).alias("terms"))
-    first = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (F.get("terms", i - 1) != t), 1).otherwise(0).alias("first")))
-    each = rows.select("lang", "source", F.explode_outer(first).alias("t")).select("lang", "source", "t.term", "t.first")
-    return each.groupBy("lang", "source", "term").agg(F.count("term").alias("n"), F.coalesce(F.sum("first"), F.lit(0)).alias("docs"))
+    src = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.coalesce("text", empty).alias("text"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from . import textcore as tc
+
+        fold = np.arange(256, dtype=np.uint8)
+        fold[ord("A") : ord("Z") + 1] += 32
+        gap = np.ones(256, bool)
+        gap[0x80:] = gap[ord("A") : ord("Z") + 1] = gap[ord("a") : ord("z") + 1] = False
+        for part in (part for batch in batches for part in tc.slices(batch, "text", SLICE)):
+            lang, source = part.column(0).dictionary_encode(), part.column(1).dictionary_encode()
+            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            raw, off, _ = tc.buffers(part.column(2))
+            start, end, first = tc.words(raw, off, gap)
+            has = np.diff(first)
+            ends = np.concatenate([[0], np.cumsum(end - start)])
+            data = fold[raw[~gap[raw]]] if len(raw) else np.empty(0, np.uint8)
+            terms = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+            size = max(len(terms.dictionary), 1)
+            # first by document, then by group
+            own, times = np.unique(np.repeat(np.arange(len(has)), has) * size + terms.indices.to_numpy(), return_counts=True)
+            key, at = np.unique(group[own // size] * size + own % size, return_inverse=True)
+            bare = np.unique(group[has == 0])
+            where = np.concatenate([key // size, bare])
+            none = pa.nulls(len(bare), pa.string())
+            zeros = np.zeros(len(bare), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    lang.dictionary.take(pa.array(where // len(source.dictionary))), source.dictionary.take(pa.array(where % len(source.dictionary))),
+                    pa.concat_arrays([terms.dictionary.take(pa.array(key % size)).cast(pa.string()), none]),
+                    pa.array(np.concatenate([np.bincount(at, weights=times, minlength=len(key)).astype(np.int64), zeros])),
+                    pa.array(np.concatenate([np.bincount(at, minlength=len(key)).astype(np.int64), zeros])),
+                ],
+                names=["lang", "source", "term", "n", "docs"],
+            )
+
+    counted = src.mapInArrow(frugal(run), "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
