@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpecount, chat, dac, decontaminate, divergence, langid, ngram_join, packing, quality, resample, suffix_dedup, toxicity
+from . import bpecount, chat, dac, decontaminate, divergence, langid, ngram_join, packing, quality, resample, substring_dedup, suffix_dedup, toxicity
 from .runtime import shared_dir, table
 
 
@@ -72,6 +72,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.drop("n_words")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes when every window of 50 words that an earlier document has is removed."""
+    return substring_dedup.removals(table(spark, sf_dir, "documents"), length=50).drop("spans").withColumn("longest", F.coalesce("longest", F.lit(0)))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of each source from the others of its language, and the terms that set it off."""
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top_terms=200)
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_resampling": op11_resampling,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_divergence": op13_divergence,
     }
 
@@ -206,6 +212,27 @@ SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n //
 """
 
 
+#: Every 50-word window by its digest; what an earlier document has is removed. Windows of each doubled length have the digest of their halves' digests.
+_OP12 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), r AS (SELECT doc_id, i FROM p JOIN (SELECT s, min(doc_id) AS lo FROM p GROUP BY s) m USING (s) WHERE lo < doc_id
+), u AS (
+  SELECT 50::BIGINT AS size, doc_id, i, s FROM p
+  UNION ALL SELECT 2 * a.size, a.doc_id, a.i, md5(a.s || b.s) FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.i = a.i + a.size
+), longest AS (
+  SELECT doc_id, max(size) AS longest FROM u JOIN (SELECT size, s, min(doc_id) AS lo FROM u GROUP BY size, s) USING (size, s) WHERE lo < doc_id GROUP BY doc_id
+), c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM r
+), k AS (
+  SELECT doc_id, count(c.j) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY e.j) FILTER (c.j IS NULL), '') AS kept
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS j FROM d) e LEFT JOIN c USING (doc_id, j) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
+
 #: Each pair of sources against every kept term of the language, whole numbers of 128 bits.
 _OP13 = """
 WITH d AS (
@@ -238,4 +265,4 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL gives the whole result; the others are tested against brute force in ``tests/llm``."""
-    return {"op2_decontamination": _OP2, "op3_chat_format": _OP3, "op5_ngram_join": _OP5, "op9_suffix_dedup": _OP9, "op11_resampling": _OP11, "op13_divergence": _OP13}
+    return {"op2_decontamination": _OP2, "op3_chat_format": _OP3, "op5_ngram_join": _OP5, "op9_suffix_dedup": _OP9, "op11_resampling": _OP11, "op12_substring_dedup": _OP12, "op13_divergence": _OP13}
