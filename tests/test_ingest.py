@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from plain_names import Name
 from pyspark.sql import functions as F
 
 from weftgraph.functions.cleaning import clean_documents
@@ -28,7 +29,7 @@ def brute(spark, text, found, rels, topic):
     nodes = [n for n in nodes if score(n[0], n[1]) > 0.7] + [(topic[0], "Topic", topic[1])]
     clusters = []
     for n in nodes:
-        own = next((c for c in clusters if resolve.Name(n[0]).like(resolve.Name(c[0][0]))), None)
+        own = next((c for c in clusters if Name(n[0]).like(Name(c[0][0]))), None)
         clusters.append([n]) if own is None else own.append(n)
     order = ["Topic", "Paper", "Author", "Concept", "Keyword"]
     rank = lambda x: order.index(x[1]) if x[1] in order else 99

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import EXPAND_TYPES, UTILITY_LABELS, blank_to_null, display_name
 from ..storage import discard, materialise
 from .components import connected_components
+from .paths import longest_chains, ordered_links, upstream
 
 
 @dataclass(frozen=True)
@@ -177,6 +178,26 @@ class PropertyGraph:
         order = [F.desc((real & F.col("root")).cast("int"))] if prefer_root else []
         return self.prerequisite_paths(target, max_hops).orderBy(*order, F.desc("hops"), F.array_join("path", ">")).limit(1)
 
+    def longest_learning_path(self, target: str, prefer_root: bool = True) -> DataFrame:
+        """``path, hops, root``: the longest prerequisite chain that ends at a node, without a bound; chains from a root first when asked for, ties by ids in order.
+
+        Links inside a strongly connected component tell no order and do not count (``operators.paths``); where there is no cycle it is the longest simple chain. Only what leads to
+        the node is looked at. A node without prerequisites is its own path, an unknown one has none.
+        """
+        ids = self.nodes.select("id").distinct()
+        links = self.edges.where("type = 'PREREQUISITE_OF'").select("src", "dst").distinct()
+        known = materialise(links.join(ids, F.col("src") == F.col("id"), "left_semi"), "known")
+        aim = ids.where(F.col("id") == target)
+        ahead = materialise(ordered_links(upstream(known, aim)), "ordered")
+        # a cycle's links may have been all that led on: chains go through what still reaches the node
+        ahead = upstream(ahead, aim)
+        discard(known)
+        preceded = self.edges.where("type = 'PREREQUISITE_OF'").select(F.col("dst").alias("id")).distinct()
+        starts = ahead.select(F.col("src").alias("id")).distinct().join(preceded, "id", "left_anti")
+        best = longest_chains(ahead, starts, prefer_root).where(F.col("id") == target).select("path", "hops", "root")
+        alone = aim.join(preceded.withColumn("preceded", F.lit(True)), "id", "left").select(F.array("id").alias("path"), F.lit(0).alias("hops"), F.col("preceded").isNull().alias("root"))
+        return best.unionByName(alone).orderBy(F.desc("hops")).limit(1)
+
     def context(self, target: str, per_bucket: int = 10) -> DataFrame:
         """``bucket, rank, id, name`` of a node's neighbours: papers, prerequisites (incoming) and related, each at most ``per_bucket``."""
         near = self.neighbours(target).join(self.nodes.select("id", "label", display_name(F.col("name"), F.col("title")).alias("name")), "id")

@@ -1,7 +1,7 @@
 """Entity resolution: leader clusters of similar names, canonical nodes, relations and enriched descriptions.
 
-Clusters are sequential by definition (a name joins the first cluster whose *leader* is similar), so each scope (a document with the known
-concepts of its session) is one Arrow group. ``similar_pairs`` is the distributed form over any number of names.
+Clusters are sequential by definition (a name joins the first cluster whose *leader* is similar), which is a property of the graph of similar names: the leaders
+are its first maximal independent set, found in rounds of joins.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import relation_type, similar_names, stem
-from ..storage import materialise
+from ..storage import discard, materialise
 
 LABEL_ORDER = ("Topic", "Paper", "Author", "Concept", "Keyword")
 
@@ -55,81 +55,62 @@ def similar_pairs(names: DataFrame, jaccard: float = 0.6) -> DataFrame:
     return pairs.where(similar_names(F.col("a"), F.col("b"), jaccard))
 
 
-class Name:
-    """What the similarity of names looks at."""
-
-    def __init__(self, name: str):
-        self.low = name.lower().strip()
-        self.words = self.low.split()
-        self.stems = [x for x in map(self._stem, self.low.replace("-", " ").split()) if x]
-        self.bag = frozenset(self.stems)
-        self.letters = re.sub(r"[^a-z]", "", self.low)
-        plain = re.sub(r"[^a-z\s]", " ", self.low).split()
-        main = [w for w in plain if w not in ("of", "and", "in", "from", "for", "with", "the")]
-        self.initials = {"".join(w[0] for w in ws) for ws in (plain, main)} if len(plain) >= 2 else set()
-
-    @staticmethod
-    def _stem(w: str) -> str:
-        w = w.rstrip(",.;:()[]{}-_")
-        if w.endswith("ies"):
-            w = w[:-3] + "y"
-        elif w.endswith("es") and not w.endswith("see"):
-            w = w[:-2]
-        elif w.endswith("s") and not w.endswith(("ss", "us", "is")):
-            w = w[:-1]
-        return w[:-3] if w.endswith("ing") else w
-
-    def short_for(self, other: Name) -> bool:
-        return 2 <= len(self.letters) <= 6 and self.letters in other.initials
-
-    def like(self, other: Name) -> bool:
-        """``similar_names`` of two names."""
-        if self.low == other.low or self.short_for(other) or other.short_for(self) or self.stems == other.stems:
-            return True
-        either = len(self.bag | other.bag)
-        if either and len(self.bag & other.bag) >= 0.6 * either:
-            return True
-        short, long = (self, other) if len(self.low) < len(other.low) else (other, self)
-        return len(short.low) > 4 and short.low in long.low and short.words[0] in long.words
-
-    def keys(self) -> set[str]:
-        """Similar names have one in common."""
-        return {f"={self.low}", *(f"s:{x}" for x in self.stems), *(f"w:{x}" for x in self.words), *(f"i:{x}" for x in self.initials), *([f"i:{self.letters}"] if 2 <= len(self.letters) <= 6 else [])}
+def earliest_leaders(places: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, leader``: the place of the leader that each place joins, its own if it leads.
+
+    ``places``: ``keys, place``; ``edges``: ``keys, before, place`` for each pair of similar places, the earlier one first. A place leads if no earlier leader is
+    similar to it, so the leaders are the first maximal independent set in the order of places. It is found in rounds: what waits for nothing earlier leads, what is similar to
+    a new leader falls, and the links of both go. A round reads the links that are left, never a whole scope at once; there are as many rounds as the longest chain of
+    places each of which has to wait for the one before.
+    """
+    edges = materialise(edges, "similar")
+    link, fallen, live, used = [*keys, "place"], None, edges, []
+    while not live.isEmpty():
+        waits = live.select(*link).distinct()
+        leads = live.select(*keys, F.col("before").alias("place")).distinct().join(waits, link, "left_anti")
+        down = materialise(live.join(leads.select(*keys, F.col("place").alias("before")), [*keys, "before"], "left_semi").select(*link).distinct(), "fallen")
+        rest = live.join(down, link, "left_anti").join(down.select(*keys, F.col("place").alias("before")), [*keys, "before"], "left_anti")
+        rest = materialise(rest, "waiting")
+        fallen = down if fallen is None else fallen.unionByName(down)
+        used += [rest]
+        live = rest
+    for df in used:
+        discard(df)
+    if fallen is None:
+        return places.select(*link, F.col("place").alias("leader"))
+    led = edges.join(fallen.select(*keys, F.col("place").alias("before")), [*keys, "before"], "left_anti").groupBy(*link).agg(F.min("before").alias("leader"))
+    return places.join(led, link, "left").select(*link, F.coalesce("leader", "place").alias("leader"))
+
+
+#: Places of one scope that are numbered together.
+_BLOCK = 1 << 16
 
 
 def leader_clusters(mentions: DataFrame, scope: str = "doc_id") -> DataFrame:
-    """``scope, ord, label, name, description, is_existing, cluster``: clusters numbered in order of their leaders.
+    """``scope, ord, label, name, description, is_existing, cluster``: a name joins the first cluster whose leader is similar, clusters are numbered in order of their leaders.
 
-    A name is compared with the leaders that share a key with it, found in an index, so the work of a scope grows with its similar names.
+    Names come in order of ``is_existing`` (those first), ``ord`` and, where both are equal, ``name``. Similar names are found once over all scopes (``similar_pairs``) and
+    meet within their scope; ``earliest_leaders`` does the rest, so that a scope may be of any size. Null and empty names take no part; a null scope is a scope.
     """
     names = [scope, "ord", "label", "name", "description", "is_existing"]
     src = mentions.select(*names).where("name is not null and name != ''")
-    kind = src.schema[scope].dataType.simpleString()
-
-    def run(table):
-        import pyarrow as pa
-
-        table = table.sort_by([("is_existing", "descending"), ("ord", "ascending")])
-        leaders: list[Name] = []
-        index: dict[str, list[int]] = {}
-        known: dict[str, int] = {}
-        out = []
-        for name in table["name"].to_pylist():
-            at = known.get(name)
-            if at is None:
-                own = Name(name)
-                keys = own.keys()
-                at = next((i for i in sorted({i for k in keys for i in index.get(k, ())}) if own.like(leaders[i])), None)
-                if at is None:
-                    at = len(leaders)
-                    leaders.append(own)
-                    for k in keys:
-                        index.setdefault(k, []).append(at)
-                known[name] = at
-            out.append(at)
-        return table.append_column("cluster", pa.array(out, pa.int32()))
-
-    return src.groupBy(scope).applyInArrow(run, f"{scope} {kind}, ord int, label string, name string, description string, is_existing boolean, cluster int")
+    place = F.struct((~F.col("is_existing")).alias("fresh"), "ord", "name")
+    key = F.struct(F.col(scope).alias("scope")).alias("key")  # a struct with a null field equals itself in joins
+    places = materialise(src.select(key, "name", place.alias("place")).groupBy("key", "name").agg(F.min("place").alias("place")), "places")
+    pairs = similar_pairs(places.select("name"))
+    one = places.join(pairs.select(F.col("a").alias("name"), F.col("b").alias("other")), "name").select("key", F.col("other").alias("name"), F.col("place").alias("x"))
+    edges = one.join(places, ["key", "name"]).select("key", F.least("x", "place").alias("before"), F.greatest("x", "place").alias("place"))
+    led = materialise(earliest_leaders(places.select("key", "place"), edges, ["key"]), "led")
+
+    # numbers without a sort of a whole scope: blocks of places are numbered by themselves, after the leaders of the blocks before
+    block = F.struct("leader.fresh", F.floor(F.col("leader.ord") / _BLOCK).alias("part"))
+    leaders = led.where("leader = place").select("key", "leader", block.alias("block"))
+    counts = leaders.groupBy("key", "block").agg(F.count("*").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = leaders.join(counts.select("key", "block", before.alias("base")), ["key", "block"])
+    numbered = numbered.withColumn("cluster", (F.col("base") + F.row_number().over(Window.partitionBy("key", "block").orderBy("leader")) - 1).cast("int"))
+    of = led.join(numbered.select("key", "leader", "cluster"), ["key", "leader"]).select("key", F.col("place.name").alias("name"), "cluster")
+    return src.withColumn("key", key).join(of, ["key", "name"]).select(*names, "cluster")
 
 
 def is_title(name: Column) -> Column:

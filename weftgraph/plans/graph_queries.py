@@ -304,6 +304,27 @@ def learning_path_8_hops(spark, sf):
     return _learn(spark, sf, max_hops=8, prefer_root=False)[1].select(F.array_join("path", ">").alias("path"), "hops")
 
 
+@query(
+    "longest_learning_path",
+    f""", {_TGT}, l AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'PREREQUISITE_OF' AND src IN (SELECT id FROM tn)
+    ), up AS (SELECT id FROM tgt UNION SELECT l.src FROM up JOIN l ON l.dst = up.id
+    ), ul AS (SELECT src, dst FROM l WHERE dst IN (SELECT id FROM up)
+    ), reach AS (SELECT src AS a, dst AS b FROM ul UNION SELECT reach.a, ul.dst FROM reach JOIN ul ON ul.src = reach.b
+    ), ol AS (SELECT src, dst FROM ul WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM reach WHERE a = ul.dst AND b = ul.src)
+    ), f AS (SELECT id, 0 AS h FROM tgt UNION SELECT ol.src, f.h + 1 FROM f JOIN ol ON ol.dst = f.id
+    ), p AS (
+      SELECT id, h, [id] AS path FROM f WHERE h = (SELECT max(h) FROM f)
+      UNION SELECT f.id, f.h, list_append(p.path, f.id) FROM p JOIN ol ON ol.src = p.id JOIN f ON f.id = ol.dst AND f.h = p.h - 1
+    ) SELECT array_to_string(min(path), '>') AS path, len(min(path)) - 1 AS hops FROM p WHERE h = 0""",
+    recursive=True,
+)
+def longest_learning_path(spark, sf):
+    """The longest chain to the busiest node, without a bound on hops, over everything that leads there."""
+    g = derived_graph(spark, sf)
+    scoped = PropertyGraph(g.nodes.where(F.col("session_id") == SESSION), g.edges)
+    return scoped.longest_learning_path(busiest(g), prefer_root=False).select(F.array_join("path", ">").alias("path"), "hops")
+
+
 @query(
     "learning_path_edges",
     f"{_paths_sql(5)}, {_BEST_ROOT} SELECT i AS pos, path[i] AS src, path[i + 1] AS dst, 'PREREQUISITE_OF' AS type FROM (SELECT path, unnest(range(1, len(path))) AS i FROM best)",
