@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.sources.blobs import BlobStore, run_script, text_pages
+from weftgraph.sources.blobs import BlobStore, run_script, statements, text_pages
 from weftgraph.streaming import status
 
 
@@ -46,3 +46,16 @@ def test_status_stream(spark, tmp_path):
     asked = spark.createDataFrame([("x",), ("z",), ("q",)], "doc_id string")
     got = {r["doc_id"]: (r["status"], r["progress_pct"]) for r in status.status_of(status.latest_status(batch), stored, asked).collect()}
     assert got == {"x": ("done", 100), "z": ("processing", 10), "q": ("NOT_FOUND", None)}
+
+
+def test_statements():
+    assert statements("select 1; select 'it\"s'") == ["select 1", "select 'it\"s'"]
+    assert statements("select 1; -- it's\nselect 2") == ["select 1", "select 2"]
+    assert statements("a ';' \"x;'y\" `b;`; c 'it''s; d'") == ["a ';' \"x;'y\" `b;`", "c 'it''s; d'"]
+    assert statements(r"a '\';' ; b '\\'; c") == [r"a '\';'", r"b '\\'", "c"]
+    assert statements("// head; er\na 'http://x' /* ; ' */ b\n  // it's\n;;\n--") == ["a 'http://x'   b"]
+    assert statements("a '-- no; /* no */ // no'; b") == ["a '-- no; /* no */ // no'", "b"]
+    assert statements("") == [] and statements(" ;\n; -- x") == []
+    for bad in ("select 'a", 'x "', "`a", "a /* b"):
+        with pytest.raises(ValueError, match="not closed"):
+            statements(bad)

@@ -125,3 +125,16 @@ def test_ingest_connects_and_gates(spark):
     assert mine.where("name = 'Gradient Descent'").count() == 1
     comp = type(graph)(mine, graph.edges).components()
     assert comp.select("component").distinct().count() == 1
+
+
+def test_general_terms_are_no_concepts(spark):
+    terms = names.general_terms()
+    assert len(terms) == 491 and terms[0] == "something" and terms[-1] == "figure 3"
+    given = ["Homework", "Discussion", "Academic", "Neural Network", "Backpropagation"]
+    rows = spark.createDataFrame([(x,) for x in (*given, *terms)], "name string")
+    scored = rows.select("name", F.lower(names.normalize_name(F.col("name"))).alias("low"), names.entity_quality(F.col("name"), F.lit("Concept")).alias("q")).collect()
+    # plurals are cut crudely before they are looked up, so some ("lectur") are not found
+    assert sum(r["low"] in terms for r in scored) > 350 and all(r["q"] == 0 for r in scored if r["low"] in terms)
+    assert [r["name"] for r in scored if r["name"] in given and r["q"] > 0.7] == given[-2:]
+    own = rows.select(names.entity_quality(F.lit("Homework"), F.lit("Concept"), []).alias("q")).first()["q"]
+    assert own == 1.0

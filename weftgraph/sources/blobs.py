@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,10 +86,46 @@ def page_dump(pages: DataFrame) -> DataFrame:
     return got.select("doc_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"))
 
 
+def statements(script: str) -> list[str]:
+    """The statements of a script, parted by semicolons; comments are left out.
+
+    A semicolon, a comment's mark or another kind of quote inside quotes (single, double or backticks) is text; a backslash takes the next character's meaning inside the first
+    two, and a doubled quote closes and opens again. Comments: from ``--`` to the end of a line, from ``//`` where nothing but white space stands before it in the line, and
+    between ``/*`` and ``*/``. A quote or block comment that is left open is an error.
+    """
+    out, own, quote, at = [], [], "", 0
+    while at < len(script):
+        c, two = script[at], script[at : at + 2]
+        if quote:
+            step = 2 if c == "\\" and quote != "`" else 1
+            own.append(script[at : at + step])
+            quote = "" if c == quote else quote
+            at += step
+        elif two == "/*":
+            end = script.find("*/", at + 2)
+            if end < 0:
+                raise ValueError("a comment is not closed")
+            own.append(" ")
+            at = end + 2
+        elif two == "--" or two == "//" and not script[script.rfind("\n", 0, at) + 1 : at].strip():
+            end = script.find("\n", at)
+            at = len(script) if end < 0 else end
+        elif c == ";":
+            out.append("".join(own).strip())
+            own, at = [], at + 1
+        else:
+            quote = c if c in "'\"`" else ""
+            own.append(c)
+            at += 1
+    if quote:
+        raise ValueError(f"a quote is not closed: {quote}")
+    out.append("".join(own).strip())
+    return [x for x in out if x]
+
+
 def run_script(spark: SparkSession, script: str) -> int:
-    """Run the statements of a script, separated by semicolons outside quotes; comments are skipped."""
-    body = re.sub(r"^\s*(--|//).*$", "", script, flags=re.MULTILINE)
-    parts = [p.strip() for p in re.split(r";(?=(?:[^'\"]*['\"][^'\"]*['\"])*[^'\"]*$)", body) if p.strip()]
+    """Run the ``statements`` of a script one after another; returns how many there were."""
+    parts = statements(script)
     for p in parts:
         spark.sql(p)
     return len(parts)
