@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citation
 from ..schema import blank_to_null
+from . import automaton
 from .graph import PropertyGraph
 from .mutations import CONCEPT_FAMILY, stable_id
 
@@ -16,28 +17,50 @@ HIGHLIGHT_TRIGGERS = (("attention", "Self-attention"), ("gradient", "Gradient De
 PROVISIONAL = "Provisional concept created from {}."
 
 
+#: Up to so many bytes of distinct names, a state each at most, one automaton is broadcast (a row of some forty 4-byte entries a state).
+AUTOMATON_BYTES = 200_000
+
+
 def concept_mentions(texts: DataFrame, names: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """``text_id, name`` where a text contains a name, regardless of case and word bounds.
 
-    ``texts(text_id, text)``, ``names(name)``, both with the columns ``scope`` if names count within a scope only. Names are joined on their first
-    three letters against the distinct three-letter strings of a text (shorter names, where there are any, against strings of their length). Only
-    ids and strings meet there; a text is fetched once for all of its candidates, which are then verified.
+    ``texts(text_id, text)``, ``names(name)``, both with the columns ``scope`` if names count within a scope only. The names' bytes are counted first: up to
+    ``AUTOMATON_BYTES`` one automaton finds them all in a single pass over the texts, which are not shuffled; beyond it names and texts meet in joins (``_by_rarest_gram``).
     """
     scope = scope or []
-    low = F.lower("text")
     name = F.lower(F.trim("name"))
-    keyed = names.where(F.length(name) > 0).select(*scope, "name", name.alias("low_name"), F.substring(name, 1, 3).alias("gram")).distinct()
-    lengths = sorted(r[0] for r in keyed.select(F.length("gram").alias("k")).distinct().collect())  # at most three numbers
-    if not lengths:
-        return texts.where("false").select("text_id", F.lit("").alias("name"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-
-    def grams(k: int) -> Column:
-        return F.transform(starts, lambda i: F.substring(low, i, F.lit(k)))
-
-    rows = texts.select(*scope, "text_id", F.explode(F.array_distinct(F.concat(*map(grams, lengths)))).alias("gram"))
-    likely = rows.join(keyed, [*scope, "gram"]).select("text_id", *scope, "name", "low_name").distinct()
-    bodies = texts.select("text_id", *scope, low.alias("low"))
+    keyed = names.where(F.length(name) > 0).select(*scope, "name", name.alias("low_name")).distinct()
+    bodies = texts.select("text_id", *scope, F.lower("text").alias("low")).where("low is not null")
+    distinct = keyed.select("low_name").distinct()
+    size = distinct.agg(F.coalesce(F.sum(F.octet_length("low_name")), F.lit(0)).alias("n")).first()["n"]
+    if size > AUTOMATON_BYTES:
+        return _by_rarest_gram(bodies, keyed, scope)
+    strings = [r["low_name"] for r in distinct.collect()]  # counted above
+    found = automaton.occurrences(bodies, sorted(strings))
+    return found.join(keyed, [*scope, "low_name"]).select("text_id", "name").distinct()
+
+
+def _by_rarest_gram(bodies: DataFrame, keyed: DataFrame, scope: list[str]) -> DataFrame:
+    """The same for any number of names: each name is looked for in the texts that have its rarest string of three letters (or the whole name if it is shorter).
+
+    Strings are counted over all texts, so a name that begins like many others does not meet every text; only ids and strings meet, and a text is fetched once for
+    all of its candidates, which are then verified.
+    """
+
+    def grams(text: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+
+    whole = F.length("low_name")
+    own = F.when(whole < 3, F.array("low_name")).otherwise(F.array_distinct(grams(F.col("low_name"), 3)))
+    offered = keyed.select(*scope, "name", "low_name", F.explode(own).alias("gram"))
+    used = offered.select("gram").distinct()
+    every = F.array_distinct(F.concat(*[grams(F.col("low"), k) for k in (1, 2, 3)]))
+    # outer: a plain explode would make the optimiser compute the arrays once more to filter empty ones, of which there are none
+    rows = bodies.select("text_id", *scope, F.explode_outer(every).alias("gram")).join(used, "gram", "left_semi")
+    often = rows.groupBy(*scope, "gram").agg(F.count("*").alias("texts"))
+    # a name with a string that no text has cannot occur
+    rated = offered.join(often, [*scope, "gram"], "left").groupBy(*scope, "name", "low_name").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    likely = rows.join(rated, [*scope, "gram"]).select("text_id", *scope, "name", "low_name").distinct()
     return bodies.join(likely, ["text_id", *scope]).where(F.contains("low", F.col("low_name"))).select("text_id", "name").distinct()
 
 
