@@ -786,6 +786,19 @@ def test_long_and_crowded_disguises_are_decoded_whole(spark, toxic):
     assert m.evidence(far)[0] == 0
 
 
+def test_signs_at_the_end_and_without_letters_are_decoded(spark):
+    clean = "a pie has some sass but the ant and the pit are at home with a glass of tea".split()
+    foul = "what an ass they piss and hiss like an ass in a mess".split()
+    rows = [(i, " ".join((foul if i % 3 == 0 else clean)[(i * k) % 9 :] + ["tea"])) for i in range(300) for k in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    r = toxicity.learn(docs, labels).ready().reader
+    want = {"a$$": "ass", "pi$$": "piss", "4$$": "ass", "@$$": "ass", "p!$$": "piss", "(a$$)": "ass", "a$$!": "ass", "tea!!": "tea", "ant*": "ant", "home&": "home&", "455": "455", "12.50": "12.50"}
+    got = {t: r.word(t) for t in want}
+    got["(a$$)"] = got["(a$$)"].lstrip("(c")
+    assert got == want
+
+
 def test_restoring_is_exact(toxic):
     """The cheapest of all readings, also where more than 64 contexts are open."""
     import itertools

@@ -1,8 +1,8 @@
 """Toxicity of deobfuscated text.
 
-Suspicious tokens (letters mixed with look-alike signs, stretched letters, letters set apart by spaces or signs) become character
-lattices: each sign may stand for itself or for the letters it resembles, a stretched letter for one or two, a separator
-for nothing. A noisy channel prices these readings and a byte 4-gram language model of the corpus prices the text that results; Viterbi finds the
+Suspicious tokens (look-alike signs with or without letters, stretched letters, letters set apart by spaces or signs) become character
+lattices: each sign may stand for itself or for the letters it resembles, a stretched letter for one or two, a separator and a sign at the
+token's end for nothing. In a token without letters digits are most likely digits; digits alone are a number and not decoded. A noisy channel prices these readings and a byte 4-gram language model of the corpus prices the text that results; Viterbi finds the
 cheapest restored text. Tokens and runs of any length are decoded whole, and the lexicon is looked up at every position of a restored run
 of set-apart letters, which does not tell where its words part. Words of restored text are then weighed by the log-odds of their toxic and clean document frequencies
 (the whole word or its first letters), and a logistic fit turns the sum over distinct words into a score.
@@ -43,6 +43,8 @@ _STRETCH = re.compile(r"(\w)\1\1")
 _SIGN = re.compile(r"[0-9@$!|+(<€£*#%._\-~'`^/\\]")
 _LETTER = re.compile(r"[^\W\d_]")
 _PARTED = re.compile(r"[\s.\-_*~]+")
+#: Bits that reading a sign at a token's end as nothing costs: marks that close a sentence are common there, others are not.
+_CLOSING = {"!": 1.0, "*": 1.0, "&": 1.0, "#": 4.0, "%": 4.0, "$": 9.0}
 CACHE_TOKENS = 400_000
 CACHE_GRAMS = 400_000
 
@@ -71,6 +73,8 @@ class Restorer:
         """For each slot the readings and their channel costs in bits."""
         slots: list[list[tuple[str, float]]] = []
         i, n = 0, len(token)
+        end = len(token.rstrip("".join(_CLOSING)))
+        lettered = bool(_LETTER.search(token))
         while i < n:
             c, j = token[i], i
             while j < n and token[j] == c:
@@ -87,9 +91,14 @@ class Restorer:
                 letters = LOOKALIKES.get(c, "")
                 for _ in range(1 if run >= 3 else run):
                     options = [(x, 2.0) for x in letters]
+                    itself = 9.0 if options or c in _SEPARATORS or c == " " else 0.0
                     if c in _SEPARATORS or c == " ":
                         options.append(("", 1.0))
-                    options.append((c, 9.0) if options else (c, 0.0))
+                    elif i >= end:
+                        options.append(("", _CLOSING[c]))
+                    if not lettered and options:
+                        itself = 0.0 if c.isdigit() else 4.0
+                    options.append((c, itself))
                     slots.append(options)
             i = j
         return slots
@@ -116,7 +125,10 @@ class Restorer:
 
 
 def suspicious(token: str) -> bool:
-    return bool(_LETTER.search(token) and (_SIGN.search(token) or _STRETCH.search(token)))
+    """Signs among letters, stretched letters, or no letter but signs that resemble some. Digits alone are a number."""
+    if _LETTER.search(token):
+        return bool(_SIGN.search(token) or _STRETCH.search(token))
+    return len(token) > 1 and any(c in LOOKALIKES and not c.isdigit() for c in token)
 
 
 class Reader:
@@ -132,10 +144,7 @@ class Reader:
             low = token.lower().strip(_EDGE)
             got = low
             if not low.isalpha() and suspicious(low) or _STRETCH.search(low):
-                if suspicious(bare := low.rstrip("!*#%$&")):
-                    got = self.restorer.restore(bare)
-                elif bare:
-                    got = bare
+                got = self.restorer.restore(low)
             if len(token) <= 48:
                 if len(self.cache) >= CACHE_TOKENS:
                     self.cache.clear()
@@ -145,7 +154,7 @@ class Reader:
     def spaced(self, text: str) -> list[str]:
         """Restored runs of letters that are set apart, whole and without what still parts them."""
         runs = (m[0] for m in _SPACED.finditer(text.lower()))
-        return [_PARTED.sub("", self.restorer.restore(run)) for run in runs if _LETTER.search(run)]
+        return [_PARTED.sub("", self.restorer.restore(run)) for run in runs if _LETTER.search(run) or suspicious(run)]
 
 
 def keys_of(word: str) -> tuple[str, ...]:
