@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -28,6 +30,59 @@ def monotone_progress(events: DataFrame) -> DataFrame:
     return events.withColumn("progress_pct", F.max("progress_pct").over(w))
 
 
+def progress_stream(events: DataFrame, late: str = "10 minutes", keep_ms: int = 86_400_000) -> DataFrame:
+    """``doc_id, event_id, ts, status, progress_pct, error``: ``monotone_progress`` of a stream of events that come out of order.
+
+    An event waits in its document's state until the watermark, ``late`` behind the newest event of all, has passed it; then it goes out once, in the order of ``ts`` and ``event_id``,
+    with the greatest progress so far. So the rows are those of the batch, up to the watermark, as long as no event is later than that; later ones are dropped, and an
+    event that comes again within the wait is one. A document whose last event says ``done`` or ``error`` is forgotten when the watermark is ``keep_ms`` past it. Rows with a null document, event or
+    time are ignored; a null progress leaves the greatest as it was. State is as large as what happens within ``late``, and one number for each document not forgotten.
+    """
+    cols = ["event_id", "us", "status", "progress_pct", "error"]
+
+    def run(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        top, ended, held = state.get if state.exists else (None, None, "[]")
+        held = [tuple(h) for h in json.loads(held)]
+        for batch in batches:
+            batch = batch[cols].astype(object)
+            held += list(batch.where(batch.notna(), None).itertuples(index=False, name=None))
+        mark = state.getCurrentWatermarkMs() * 1000
+        due, kept, seen = [], [], set()
+        for row in sorted(held, key=lambda h: (h[1], h[0])):
+            if (row[1], row[0]) not in seen:
+                seen.add((row[1], row[0]))
+                (due if row[1] <= mark else kept).append(row)
+        out = []
+        for event, us, status, pct, error in due:
+            top = pct if top is None else top if pct is None else max(top, pct)
+            ended = us if status in ("done", "error") else None
+            out.append((key[0], event, us, status, top, error))
+        if not kept and ended is not None and ended + keep_ms * 1000 <= mark:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((None if top is None else int(top), ended, json.dumps([[int(e), int(us), s, None if p is None else int(p), x] for e, us, s, p, x in kept])))
+            if kept:
+                state.setTimeoutTimestamp(kept[0][1] // 1000 + 1)
+            elif ended is not None:
+                state.setTimeoutTimestamp(ended // 1000 + keep_ms + 1)
+        if out:
+            rows = pd.DataFrame(out, columns=["doc_id", *cols])
+            yield rows.astype({"progress_pct": "Int64"})
+
+    kind = events.schema["doc_id"].dataType.simpleString()
+    src = events.where("doc_id is not null and event_id is not null and ts is not null").select(
+        "doc_id", "ts", F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.col("status").cast("string").alias("status"), F.col("progress_pct").cast("long").alias("progress_pct"), F.col("error").cast("string").alias("error"),
+    )
+    got = src.withWatermark("ts", late).groupBy("doc_id").applyInPandasWithState(
+        run, f"doc_id {kind}, event_id long, us long, status string, progress_pct long, error string", "top long, ended long, held string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return got.select("doc_id", "event_id", F.timestamp_micros("us").alias("ts"), "status", F.col("progress_pct").cast("int").alias("progress_pct"), "error")
+
+
 def read_landing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stream of the Parquet files that land in a folder."""
     return spark.readStream.schema(schema).parquet(path)
