@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks, idf, occurrences, priority_bonus
+from ..functions.text import chunk_count, chunks, idf, priority_bonus
+from .positions import counted
 
 RANKED_LABELS = ("Concept", "Keyword", "Method", "Dataset")
 
@@ -13,14 +14,17 @@ RANKED_LABELS = ("Concept", "Keyword", "Method", "Dataset")
 def term_weights(terms: DataFrame, documents: DataFrame, size: int = 6000, overlap: int = 800) -> DataFrame:
     """``doc_id, name, tf, df, n``: occurrences of each term in its document, chunks that contain it, and all chunks.
 
-    The terms of a document come to its text as one array, so a text is neither copied for its terms nor for its chunks.
+    The terms of a document come to its text as one array and are looked up in an index of the text, which is copied neither for its terms nor, if it is ASCII, for its chunks. A null text is one
+    chunk that contains nothing, and its ``tf`` is null.
     """
     grouped = terms.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    pieces = F.transform(chunks(F.col("text"), size, overlap), lambda c: F.lower(c["chunk"]))
-    rows = documents.join(grouped, "doc_id").select("doc_id", "names", F.lower("text").alias("low"), pieces.alias("pieces"))
-    held = lambda name: F.size(F.filter("pieces", lambda p: F.contains(p, F.lower(name)))).cast("long").alias("df")
-    one = F.transform("names", lambda name: F.struct(name.alias("name"), occurrences(F.col("low"), F.lower(name)).alias("tf"), held(name)))
-    return rows.select("doc_id", F.size("pieces").cast("long").alias("n"), F.explode(one).alias("t")).select("doc_id", "t.name", "t.tf", "t.df", "n")
+    plain = F.coalesce(F.length("text") == F.octet_length("text"), F.lit(True))
+    pieces = F.when(~plain, F.transform(chunks(F.col("text"), size, overlap), lambda c: F.lower(c["chunk"])))
+    lowered = F.transform("names", lambda name: F.struct(name.alias("name"), F.lower(name).alias("low")))
+    n = chunk_count(F.length("text"), size, overlap).cast("long")
+    # texts meet their terms by a shuffle also where these would fit a broadcast: a small file is read by one task, which would then do all the counting
+    rows = documents.join(grouped.hint("merge"), "doc_id").select("doc_id", n.alias("n"), F.lower("text").alias("low"), pieces.alias("pieces"), lowered.alias("names"))
+    return counted(rows, size, overlap)
 
 
 def tfidf(terms: DataFrame, documents: DataFrame, size: int = 6000, overlap: int = 800) -> DataFrame:
