@@ -1,6 +1,7 @@
 """Scalar truth tables, cleaning, clustering and sequences."""
 
 import pytest
+from plain_names import Name
 from pyspark.sql import functions as F
 
 from weftgraph.functions import cleaning, names, text
@@ -18,7 +19,7 @@ def one(spark, column):
 @pytest.mark.parametrize("pair,want", list(zip(_PAIRS, [True, True, True, False, True, True, False, True], strict=True)))
 def test_similar(spark, pair, want):
     assert one(spark, names.similar_names(F.lit(pair[0]), F.lit(pair[1]))) is want
-    assert resolve.Name(pair[0]).like(resolve.Name(pair[1])) is want
+    assert Name(pair[0]).like(Name(pair[1])) is want
 
 
 @pytest.mark.parametrize("word,want", [("Proofs", "Proof"), ("Theories", "Theory"), ("Matrices", "Matrex"), ("Services", "Servex"), ("Databases", "Databas"), ("Class", "Class"), ("Calculus", "Calculus")])
