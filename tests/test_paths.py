@@ -1,5 +1,6 @@
 """Longest chains and strong components against plain programs."""
 
+import itertools
 import random
 
 import pytest
@@ -89,3 +90,46 @@ def test_seed_has_a_chain_of_twelve_hops(spark):
     start = g.longest_learning_path("c-calculus").collect()
     assert [(r["path"], r["hops"], r["root"]) for r in start] == [(["c-calculus"], 0, True)]
     assert g.longest_learning_path("nobody").count() == 0
+
+
+@pytest.mark.parametrize("left", [0, 1, 2, 3])
+def test_representatives_stand_for_all(left):
+    rnd = random.Random(left)
+    for _ in range(30):
+        k = rnd.randrange(1, 4)
+        all_ = sorted({("s", *rnd.sample("abcdefg", k), "t") for _ in range(40)}, key=">".join)
+        kept = paths.representatives([list(p) for p in all_], left)
+        assert len(kept) <= sum(k**i for i in range(left + 1))
+        for n in range(left + 1):
+            for without in itertools.combinations("abcdefg", n):
+                first = next((list(p) for p in all_ if not set(p) & set(without)), None)
+                assert first is None or first == next(p for p in kept if not set(p) & set(without))
+
+
+@pytest.mark.parametrize(("n", "m", "hops", "prefer_root", "seed"), [(7, 22, 4, True, 1), (7, 25, 6, False, 2), (9, 30, 5, True, 3), (9, 18, 5, True, 4)])
+def test_learning_path_is_the_first_of_all_chains(spark, n, m, hops, prefer_root, seed):
+    rnd = random.Random(seed)
+    links = {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)} | {("root", "n5")}
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(n)] + [("root",)], "id string")
+    edges = spark.createDataFrame([(a, b, "PREREQUISITE_OF") for a, b in links], "src string, dst string, type string")
+    preceded, todo, every = {b for _, b in links}, [("n0",)], []
+    while todo:
+        path = todo.pop()
+        every.append(path)
+        todo += [(a, *path) for a, b in links if b == path[0] and a not in path and len(path) <= hops]
+    key = lambda p: (not (prefer_root and len(p) > 1 and p[0] not in preceded), -len(p), ">".join(p))
+    best = min(every, key=key)
+    row = PropertyGraph(nodes, edges).learning_path("n0", hops, prefer_root).first()
+    assert (tuple(row["path"]), row["hops"], row["root"]) == (best, len(best) - 1, best[0] not in preceded)
+
+
+def test_chains_of_a_complete_graph_are_not_listed(spark):
+    n, hops = 60, 5  # some 700 million chains
+    ids = [f"n{i:02d}" for i in range(n)]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    edges = spark.createDataFrame([(a, b, "PREREQUISITE_OF") for a in ids for b in ids if a != b], "src string, dst string, type string")
+    row = PropertyGraph(nodes, edges).learning_path(ids[-1], hops).first()
+    assert row["path"] == [*ids[:hops], ids[-1]] and not row["root"]
+    held = paths.simple_chains(edges, nodes.where(f"id = '{ids[-1]}'"), hops)
+    assert held.count() <= n * (1 + 1 + 4 + 7 + 4 + 1)
+    assert PropertyGraph(nodes, edges).learning_path("nobody").count() == 0

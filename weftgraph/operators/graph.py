@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import EXPAND_TYPES, UTILITY_LABELS, blank_to_null, display_name
 from ..storage import discard, materialise
 from .components import connected_components
-from .paths import longest_chains, ordered_links, upstream
+from .paths import longest_chains, ordered_links, simple_chains, upstream
 
 
 @dataclass(frozen=True)
@@ -173,10 +173,20 @@ class PropertyGraph:
         return paths.join(preceded, "start", "left").select("path", "hops", F.col("preceded").isNull().alias("root"))
 
     def learning_path(self, target: str, max_hops: int = 5, prefer_root: bool = True) -> DataFrame:
-        """The longest chain; chains from a root first when asked for; ties by ids. A node without prerequisites is its own path."""
-        real = F.col("hops") > 0
-        order = [F.desc((real & F.col("root")).cast("int"))] if prefer_root else []
-        return self.prerequisite_paths(target, max_hops).orderBy(*order, F.desc("hops"), F.array_join("path", ">")).limit(1)
+        """``path, hops, root``: the longest simple chain of at most ``max_hops``; chains from a root first when asked for; ties by ids. A node without prerequisites is its own path.
+
+        The first of ``prerequisite_paths``, without listing them: ``operators.paths.simple_chains`` carries a bounded number of chains for each node.
+        """
+        ids = self.nodes.select("id").distinct()
+        all_links = self.edges.where("type = 'PREREQUISITE_OF'").select("src", "dst").distinct()
+        links = all_links.join(ids, F.col("src") == F.col("id"), "left_semi")
+        chains = simple_chains(links, ids.where(F.col("id") == target), max_hops)
+        hops = F.size("path") - 1
+        first = chains.groupBy("start", hops.alias("hops")).agg(F.min_by("path", F.array_join("path", ">")).alias("path"))
+        preceded = all_links.select(F.col("dst").alias("start")).distinct().withColumn("preceded", F.lit(True))
+        paths = first.join(preceded, "start", "left").select("path", "hops", F.col("preceded").isNull().alias("root"))
+        order = [F.desc(((F.col("hops") > 0) & F.col("root")).cast("int"))] if prefer_root else []
+        return paths.orderBy(*order, F.desc("hops"), F.array_join("path", ">")).limit(1)
 
     def longest_learning_path(self, target: str, prefer_root: bool = True) -> DataFrame:
         """``path, hops, root``: the longest prerequisite chain that ends at a node, without a bound; chains from a root first when asked for, ties by ids in order.

@@ -3,11 +3,15 @@
 A longest simple path is only a matter of counting where links form no cycle. Links inside a strongly connected component put its nodes before one another both ways,
 so they tell no order and are left out (``ordered_links``); what is left has no cycle, and the best chain of each node follows from those of its predecessors
 (``longest_chains``) in topological rounds.
+
+With a bound on hops, simple chains can be told among cycles as well: ``simple_chains`` keeps of each node's chains a few that stand for all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialise
@@ -135,3 +139,79 @@ def longest_chains(links: DataFrame, roots: DataFrame, prefer_root: bool = True)
     for more in settled[1:]:
         out = out.unionByName(more)
     return out
+
+
+def representatives(paths: list[list[str]], left: int) -> list[list[str]]:
+    """Of simple chains with one start, one end and one length, those that stand for all where at most ``left`` nodes are still to come.
+
+    Whatever ``left`` nodes or fewer are put before the start, if a chain has none of them then a kept one, not after it in order, has none of them. A tree finds them: the first
+    chain of all, then for each of its inner nodes the first chain without that node, and so on ``left`` levels deep; chains of ``k`` inner nodes leave at most
+    ``1 + k + ... + k ** left``, however many there are.
+    """
+    ranked = sorted(paths, key=">".join)
+    inner = [frozenset(p[1:-1]) for p in ranked]
+    kept, seen, todo = set(), {frozenset()}, [(frozenset(), left)]
+    while todo:
+        without, depth = todo.pop()
+        first = next((i for i, nodes in enumerate(inner) if not nodes & without), None)
+        if first is None:
+            continue
+        kept.add(first)
+        for node in inner[first] if depth else ():
+            more = without | {node}
+            if more not in seen:
+                seen.add(more)
+                todo.append((more, depth - 1))
+    return [ranked[i] for i in sorted(kept)]
+
+
+def _standing(level: DataFrame, left: int) -> DataFrame:
+    """``representatives`` of each ``start``: in each batch before the shuffle, so that a start with very many chains sends few, and again where they meet."""
+
+    def thin(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            of: dict[str, list] = {}
+            for path in batch.column("path").to_pylist():
+                of.setdefault(path[0], []).append(path)
+            kept = [p for group in of.values() for p in representatives(group, left)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in kept], pa.string()), pa.array(kept, pa.list_(pa.string()))], names=["start", "path"])
+
+    def meet(table):
+        import pyarrow as pa
+
+        return pa.Table.from_batches(list(thin(table.combine_chunks().to_batches())), table.schema)
+
+    kind = "start string, path array<string>"
+    return level.select("start", "path").mapInArrow(thin, kind).groupBy("start").applyInArrow(meet, kind)
+
+
+def simple_chains(links: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
+    """``start, path`` of simple chains of ``links(src, dst)`` of at most ``max_hops`` links that end at one node, ``targets(id)``.
+
+    For each start and length the first chain in order of ``path`` is among them, and all others that a longer chain's first could go on through; not every chain is. A round for each hop;
+    it carries a number of chains for each node that depends on ``max_hops`` alone, where listing all takes ``prerequisites ** max_hops``.
+    """
+    links = links.where("src != dst").select("src", "dst").distinct()
+    level = materialise(targets.select(F.col("id").alias("start"), F.array("id").alias("path")), "level", light=True)
+    levels = [level]
+    for hops in range(1, max_hops + 1):
+        grown = level.join(links, F.col("dst") == F.col("start")).where(~F.array_contains("path", F.col("src")))
+        grown = grown.select(F.col("src").alias("start"), F.concat(F.array("src"), "path").alias("path"))
+        left, text = max_hops - hops, F.array_join("path", ">")
+        if hops > 1 and not left:
+            grown = grown.groupBy("start").agg(F.min_by("path", text).alias("path"))
+        elif hops == 2:  # one inner node each: the first chains that differ in it are simply the first
+            grown = grown.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy(text))).where(F.col("n") <= left + 1).drop("n")
+        elif hops > 2:
+            grown = _standing(grown, left)
+        level = materialise(grown, "level", light=True)
+        if level.isEmpty():
+            discard(level)
+            break
+        levels.append(level)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
