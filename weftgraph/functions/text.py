@@ -94,8 +94,13 @@ def node_radius(degree: Column) -> Column:
     return 3 + F.sqrt(degree) * 1.5
 
 
+def iso(at: Column) -> Column:
+    """A time as text, to the microsecond."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def iso_now() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return iso(F.current_timestamp())
 
 
 # Fixed values: (pattern in the text, pattern in the file name, topic, what it is), tried in order. Pass a longer table where one is at hand.

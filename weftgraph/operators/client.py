@@ -92,6 +92,23 @@ def retry_schedule(attempts: int = 3, delay_ms: int = 1000, every_ms: int = 15_0
     return [delay_ms * k for k in range(1, attempts)] + [every_ms]
 
 
+def check_waits(checks: DataFrame, attempts: int = 3, delay_ms: int = 1000, every_ms: int = 15_000) -> DataFrame:
+    """``check_id, service, state, wait_ms`` of health checks ``check_id, service, at, ok``: what is shown after each, and how long until the next.
+
+    The first ``attempts`` of a service, while none has gone well, follow ``retry_schedule`` and show no error (``retrying``) but after the last; a check that goes well, and every one
+    after the first load, is followed by the regular interval. Checks of one time come in order of ``check_id``; a check without an answer (null) has failed. Only the first few of
+    a service are put in order.
+    """
+    rows = checks.select("check_id", "service", "at", F.coalesce("ok", F.lit(False)).alias("ok"))
+    place = Window.partitionBy("service").orderBy("at", "check_id")
+    first = rows.withColumn("n", F.row_number().over(place)).where(F.col("n") <= attempts)
+    before = F.coalesce(F.max("ok").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    waits = F.array(*map(F.lit, retry_schedule(attempts, delay_ms, every_ms)))
+    retried = first.withColumn("before", before).where(~F.col("ok") & ~F.col("before") & (F.col("n") < attempts)).select("check_id", F.element_at(waits, F.col("n")).alias("retry"))
+    state = F.when(F.col("ok"), "ok").when(F.col("retry").isNotNull(), "retrying").otherwise("error")
+    return rows.join(retried, "check_id", "left").select("check_id", "service", state.alias("state"), F.coalesce("retry", F.lit(every_ms)).cast("long").alias("wait_ms"))
+
+
 def prepend(rows: DataFrame, new: DataFrame, pos: str = "pos") -> DataFrame:
     """New rows before the old ones; positions count on."""
     n = new.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))  # a single row

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.names import title_case
-from ..functions.text import ellipsis, iso_now, main_topic, node_radius, repair_json, topic_description, url_name
+from ..functions.text import ellipsis, iso, iso_now, main_topic, node_radius, repair_json, topic_description, url_name
 from ..operators import client
 from ..operators.mutations import merge_settings
 from ..sources.derived import GRAPH_SQL
@@ -117,9 +117,16 @@ def list_operations(spark, sf):
     return client.remove(client.prepend(rows, new), docs.agg(F.min("id").alias("id")))
 
 
-@query("retry_schedule", "SELECT CAST(k AS INTEGER) AS attempt, CASE WHEN k < 3 THEN k * 1000 ELSE 15000 END::BIGINT AS wait_ms FROM range(1, 4) t(k)")
+@query(
+    "retry_schedule",
+    """WITH c AS (SELECT event_id, user_id, event_type <> 'error' AS ok, row_number() OVER w AS n, coalesce(bool_or(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT event_id, CASE WHEN ok THEN 'ok' WHEN NOT before AND n < 3 THEN 'retrying' ELSE 'error' END AS state, CASE WHEN NOT ok AND NOT before AND n < 3 THEN n * 1000 ELSE 15000 END::BIGINT AS wait_ms FROM c""",
+)
 def retry_schedule(spark, sf):
-    return spark.createDataFrame(list(enumerate(client.retry_schedule(), 1)), "attempt int, wait_ms long")
+    """Each event is a check of the service of its user's number; errors have failed."""
+    checks = table(spark, sf, "events").select(F.col("event_id").alias("check_id"), F.col("user_id").alias("service"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return client.check_waits(checks).select(F.col("check_id").alias("event_id"), "state", "wait_ms")
 
 
 @query("services_ok", "SELECT CASE WHEN bool_or(event_type = 'error') THEN 'degraded' ELSE 'ok' END AS status, sum((event_type = 'error')::INT)::BIGINT AS failing FROM events")
@@ -159,13 +166,11 @@ def main_topics(spark, sf):
     return d.select("doc_id", main_topic(F.col("text"), F.col("file")).alias("topic"), F.substring(about, 1, 8).alias("about"), told.alias("file"))
 
 
-@query("clock", "SELECT true AS iso")
+@query("clock", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at, true AS now_is_later FROM events")
 def clock(spark, sf):
-    """The clock as text: of the shape that the service writes, and of this hour."""
-    now = iso_now()
-    shape = now.rlike("^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d\\.\\d{6}$")
-    near = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.to_timestamp(now))) < 3600
-    return spark.range(1).select((shape & near).alias("iso"))
+    """Times of events as the service writes them; as text they compare with the clock's as times do."""
+    at = iso(F.col("ts"))
+    return table(spark, sf, "events").select("event_id", at.alias("at"), (iso_now() > at).alias("now_is_later"))
 
 
 @query("json_of_models", "SELECT conv_id, turn, role = 'assistant' AS readable, CASE WHEN role = 'assistant' THEN text END AS name, CASE WHEN role = 'assistant' THEN 1 END AS n_rels FROM conversations")

@@ -8,7 +8,8 @@ from ..functions import names, text
 from ..operators import extract, library, mutations, ranking
 from ..operators.graph import PropertyGraph
 from ..sources.derived import stored_graph as derived_graph
-from ..storage import materialise, table
+from ..sources.versions import GraphStore
+from ..storage import materialise, new_folder, table
 from ..streaming import status
 from . import cleaning_queries, graph_queries, ingest
 from .resolution_queries import SINGULAR
@@ -556,6 +557,16 @@ def upsert_nodes(spark, sf):
     return out.select("name", "label", "description", "session_id", (F.length("id") == 64).alias("created"))
 
 
+@query("upsert_stored", SQL["upsert_nodes"])
+def upsert_stored(spark, sf):
+    """``upsert_nodes`` of a session into the graph as a store of versions: the session's bucket is read and written, the whole graph of the new version is read back."""
+    store = GraphStore(spark, new_folder(spark, "store"))
+    store.create(derived_graph(spark, sf), buckets=64)
+    new = _new_nodes(spark, sf)
+    store.update(store.buckets_of([SESSION]), lambda part: PropertyGraph(mutations.upsert_nodes(part.nodes, new), part.edges))
+    return store.read().nodes.select("name", "label", "description", "session_id", (F.length("id") == 64).alias("created"))
+
+
 @query(
     "upsert_overwrite",
     f"""WITH {graph_queries.GRAPH_SQL}, {_NEW}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY ord DESC) AS rn FROM new) WHERE rn = 1),

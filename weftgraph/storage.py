@@ -56,6 +56,13 @@ def materialise(df: DataFrame, label: str, light: bool = False) -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The path of a folder in the shared one, to be written to; it lasts as ``materialise``'s do."""
+    path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    _OWNED[path] = spark
+    return path
+
+
 def snapshot(df: DataFrame, label: str, by: str) -> DataFrame:
     """A table that lasts as long as the session, in folders by ``by``, so that readers of one value open its folder only.
 
