@@ -20,9 +20,18 @@ DOMAIN_NOUNS = (
     "identity", "ledger", "credit", "market", "infrastructure", "verification", "technology", "proof", "signature", "decryption",
     "blockchain", "contract", "security",
 )
-# Fixed patterns: parts of names that tell their label, signs at the edges of words.
+# Patterns of names that tell their label, of the verbs that define, of the words between two names that tell their relation, signs at the edges of words.
+_INSTITUTION = "University|Institute|Research|Lab|Company|Google|Microsoft"
 _DATASET = "dataset|benchmark|corpus|data|source|wmt|imagenet|glue"
 _METHOD = "method|algorithm|model|approach|architecture|framework|network|function|optimizer"
+_SECTION = "^(Chapter|Section)"
+_DEFINES = "is\\s+defined\\s+as|refers\\s+to|represents|denotes|means|is\\s+an?|is|are|were|was"
+_REQUIRES = "depends|requires|built upon"
+_PRECEDES = "precedes|comes before"
+_EXTENDS = "extends|generalizes|is a type of"
+_CONTRADICTS = "contradicts|opposes|in contrast to"
+_USES = "uses|utilizes|employs"
+_EVALUATED = "evaluated|tested|benchmark"
 _EDGE = "^[,.;:()\\[\\]{}!?\"']+|[,.;:()\\[\\]{}!?\"']+$"
 
 
@@ -33,10 +42,10 @@ def sentence_rows(chunks: DataFrame) -> DataFrame:
 def phrase_label(name: Column) -> Column:
     low = F.lower(name)
     return (
-        F.when(name.rlike("University|Institute|Research|Lab|Company|Google|Microsoft"), "Institution")
+        F.when(name.rlike(_INSTITUTION), "Institution")
         .when(low.rlike(_DATASET), "Dataset")
         .when(low.rlike(_METHOD), "Method")
-        .when(name.rlike("^(Chapter|Section)"), "Topic")
+        .when(name.rlike(_SECTION), "Topic")
         .when((F.size(F.split(F.trim(name), "\\s+")) == 1) & (F.length(name) > 3), "Keyword")
         .otherwise("Concept")
     )
@@ -44,8 +53,7 @@ def phrase_label(name: Column) -> Column:
 
 def definition(phrase: Column, sentence: Column) -> Column:
     """What a sentence says a phrase is, else the sentence cut to 150 characters."""
-    verbs = "(?:is\\s+defined\\s+as|refers\\s+to|represents|denotes|means|is\\s+an?|is|are|were|was)"
-    pattern = F.concat(F.lit("(?i)\\b\\Q"), phrase, F.lit(f"\\E\\b\\s+{verbs}\\s+([^.!?\\n]{{5,150}})"))
+    pattern = F.concat(F.lit("(?i)\\b\\Q"), phrase, F.lit(f"\\E\\b\\s+(?:{_DEFINES})\\s+([^.!?\\n]{{5,150}})"))
     said = F.trim(F.call_function("regexp_extract", sentence, pattern, F.lit(1)))
     return F.when(said != "", F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, F.lit(2), F.length(said)))).otherwise(ellipsis(sentence, 150))
 
@@ -112,12 +120,12 @@ def relations(chunks: DataFrame, found: DataFrame) -> DataFrame:
     got = (
         F.when(is2("Keyword"), rel("c1", "c2", "HAS_KEYWORD"))
         .when(is1("Keyword"), rel("c2", "c1", "HAS_KEYWORD"))
-        .when(said("depends|requires|built upon"), either("PREREQUISITE_OF", ~fwd))
-        .when(F.contains("low", F.lit("prerequisite")) | said("precedes|comes before"), either("PREREQUISITE_OF", fwd))
-        .when(said("extends|generalizes|is a type of"), either("EXTENDS", fwd))
-        .when(said("contradicts|opposes|in contrast to"), rel("c1", "c2", "CONTRADICTS"))
-        .when(said("uses|utilizes|employs"), F.coalesce(methods, F.when(is1("Dataset"), rel("c2", "c1", "USES")).when(is2("Dataset"), rel("c1", "c2", "USES")), either("USES", ~fwd)))
-        .when(said("evaluated|tested|benchmark"), F.when(is1("Dataset"), rel("c2", "c1", "EVALUATED_ON")).when(is2("Dataset"), rel("c1", "c2", "EVALUATED_ON")).otherwise(rel("c1", "c2", "RELATED_TO")))
+        .when(said(_REQUIRES), either("PREREQUISITE_OF", ~fwd))
+        .when(F.contains("low", F.lit("prerequisite")) | said(_PRECEDES), either("PREREQUISITE_OF", fwd))
+        .when(said(_EXTENDS), either("EXTENDS", fwd))
+        .when(said(_CONTRADICTS), rel("c1", "c2", "CONTRADICTS"))
+        .when(said(_USES), F.coalesce(methods, F.when(is1("Dataset"), rel("c2", "c1", "USES")).when(is2("Dataset"), rel("c1", "c2", "USES")), either("USES", ~fwd)))
+        .when(said(_EVALUATED), F.when(is1("Dataset"), rel("c2", "c1", "EVALUATED_ON")).when(is2("Dataset"), rel("c1", "c2", "EVALUATED_ON")).otherwise(rel("c1", "c2", "RELATED_TO")))
         .otherwise(F.coalesce(methods, F.when(is1("Method") & is2("Method"), rel("c1", "c2", "USES")), rel("c1", "c2", "RELATED_TO")))
     )
     return pair.select("doc_id", "chunk_no", "sent", "i", "j", got.alias("r")).select("doc_id", "chunk_no", "sent", "i", "j", "r.*")
