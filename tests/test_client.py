@@ -49,3 +49,15 @@ def test_isolated_extraction(spark):
     got = {r["chunk_no"]: r for r in client.isolated_extraction(chunks, extract).collect()}
     assert got[0]["error"] is None and got[0]["nodes"][0]["label"] == "Concept"
     assert got[1]["error"] == "ValueError: bad chunk" and got[1]["nodes"] == []
+
+
+def test_waits_between_checks(spark):
+    rows = [(1, "a", 1, False), (2, "a", 2, None), (3, "a", 3, False), (4, "a", 4, False), (5, "a", 5, True)]  # the whole first load fails
+    rows += [(6, "b", 1, False), (7, "b", 2, True), (8, "b", 3, False), (9, None, 1, False), (10, None, 1, True)]
+    checks = spark.createDataFrame(rows, "check_id int, service string, at int, ok boolean")
+    got = {r["check_id"]: (r["state"], r["wait_ms"]) for r in client.check_waits(checks).collect()}
+    assert got == {
+        1: ("retrying", 1000), 2: ("retrying", 2000), 3: ("error", 15000), 4: ("error", 15000), 5: ("ok", 15000),
+        6: ("retrying", 1000), 7: ("ok", 15000), 8: ("error", 15000), 9: ("retrying", 1000), 10: ("ok", 15000),
+    }
+    assert client.check_waits(checks.where("false")).count() == 0
