@@ -39,14 +39,16 @@ def sentence_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_no", F.posexplode(sentences(F.col("chunk"))).alias("sent", "sentence"))
 
 
-def phrase_label(name: Column) -> Column:
+def phrase_label(name: Column, trimmed: bool = True) -> Column:
+    """``trimmed``: a name that ends in a space once its ending is cut (``Class S``) is one word without it; else the space makes it a phrase."""
     low = F.lower(name)
+    word = F.size(F.split(F.trim(name), "\\s+")) == 1 if trimmed else ~name.rlike("\\s")
     return (
         F.when(name.rlike(_INSTITUTION), "Institution")
         .when(low.rlike(_DATASET), "Dataset")
         .when(low.rlike(_METHOD), "Method")
         .when(name.rlike(_SECTION), "Topic")
-        .when((F.size(F.split(F.trim(name), "\\s+")) == 1) & (F.length(name) > 3), "Keyword")
+        .when(word & (F.length(name) > 3), "Keyword")
         .otherwise("Concept")
     )
 
