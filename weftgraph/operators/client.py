@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import EXTRACTION_LABELS
+from ..storage import materialise
 from .graph import PropertyGraph
 
 #: Labels shown together under one name.
@@ -109,6 +110,18 @@ def check_waits(checks: DataFrame, attempts: int = 3, delay_ms: int = 1000, ever
     return rows.join(retried, "check_id", "left").select("check_id", "service", state.alias("state"), F.coalesce("retry", F.lit(every_ms)).cast("long").alias("wait_ms"))
 
 
+def in_order(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with their place ``pos``, from 0, in order of ``by``: sorted in ranges, each of which begins after the rows of those before it. No task sees all rows."""
+    placed = materialise(rows.sort(by).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # as many rows as there are ranges
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*rows.columns, place.cast("long").alias("pos"))
+
+
 def prepend(rows: DataFrame, new: DataFrame, pos: str = "pos") -> DataFrame:
     """New rows before the old ones; positions count on."""
     n = new.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))  # a single row
@@ -160,8 +173,6 @@ def isolated_extraction(chunks: DataFrame, extract: Callable[[str], dict], attem
 
 def extractor(extract: Callable[[str], dict], attempts: int = 2):
     """An extractor for ``ingest`` from a function of one chunk: a chunk that fails twice is skipped and the others go on."""
-    from ..storage import materialise
-
     def run(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         got = materialise(isolated_extraction(pieces, extract, attempts), "extracted")
         nodes = got.select("doc_id", "chunk_no", F.posexplode("nodes").alias("ord", "n")).select("doc_id", "chunk_no", "ord", "n.*")

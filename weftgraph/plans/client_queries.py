@@ -102,10 +102,8 @@ _LIST = "li AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORD
 
 
 def _documents(spark, sf):
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("o_orderkey")) - 1
-    return table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), pos.cast("long").alias("pos"), F.lit("processing").alias("status"), F.lit(10).alias("progress_pct"))
+    docs = client.in_order(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return docs.select(F.col("o_orderkey").cast("string").alias("id"), "pos", F.lit("processing").alias("status"), F.lit(10).alias("progress_pct"))
 
 
 @query("list_operations", f"WITH {_LIST} SELECT id, pos, status, progress_pct FROM (SELECT 'new' AS id, 0 AS pos, 'processing' AS status, 10 AS progress_pct UNION ALL SELECT id, pos + 1, CASE WHEN pos % 2 = 0 THEN 'done' ELSE status END, CASE WHEN pos % 2 = 0 THEN 100 ELSE progress_pct END FROM li) WHERE id <> (SELECT min(id) FROM li)")
