@@ -6,6 +6,7 @@ every mention carries ``sent`` and ``ord``. Everything is a column expression or
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,7 +57,8 @@ def phrase_label(name: Column, trimmed: bool = True) -> Column:
 def definition(phrase: Column, sentence: Column) -> Column:
     """What a sentence says a phrase is, else the sentence cut to 150 characters."""
     pattern = F.concat(F.lit("(?i)\\b\\Q"), phrase, F.lit(f"\\E\\b\\s+(?:{_DEFINES})\\s+([^.!?\\n]{{5,150}})"))
-    said = F.trim(F.call_function("regexp_extract", sentence, pattern, F.lit(1)))
+    # a pattern of each row is compiled for each: only where the fixed part of it is found
+    said = F.when(sentence.rlike(f"(?i)\\s(?:{_DEFINES})\\s"), F.trim(F.call_function("regexp_extract", sentence, pattern, F.lit(1))))
     return F.when(said != "", F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, F.lit(2), F.length(said)))).otherwise(ellipsis(sentence, 150))
 
 
@@ -101,9 +103,13 @@ def concepts(chunks: DataFrame, per_chunk: int = 15, generic: Iterable[str] | No
 
 def relations(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """``doc_id, chunk_no, sent, from_name, to_name, type``: pairs of concepts in one sentence, by the words between them."""
-    sents = sentence_rows(chunks)
+    # the pattern folds A-Z only; one is compiled for each row, so names that do not stand in the sentence at all go first
+    folded = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    sents = sentence_rows(chunks).withColumn("folded", folded("sentence"))
+    there = F.contains("folded", F.col("key"))
     here = F.regexp_like("sentence", F.concat(F.lit("(?i)\\b\\Q"), F.col("name"), F.lit("\\E\\b")))
-    seen = sents.join(found.select("doc_id", "chunk_no", "ord", "label", "name"), ["doc_id", "chunk_no"]).where(here)
+    names = found.select("doc_id", "chunk_no", "ord", "label", "name", folded("name").alias("key"))
+    seen = sents.join(names, ["doc_id", "chunk_no"]).where(F.when(there, here).otherwise(F.lit(False)))
     a = seen.select("doc_id", "chunk_no", "sent", "sentence", F.col("ord").alias("i"), F.col("name").alias("c1"), F.col("label").alias("l1"))
     b = seen.select("doc_id", "chunk_no", "sent", F.col("ord").alias("j"), F.col("name").alias("c2"), F.col("label").alias("l2"))
     pair = a.join(b, ["doc_id", "chunk_no", "sent"]).where("i < j")
