@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, valid_concept
+from ..storage import materialise
 from .resolve import first_wins
 
 
@@ -22,12 +23,18 @@ def _chained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", n).where("_n >= 2").drop("_n")
 
 
+def _valid_names(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``raw`` cleaned as ``name``, where it is a valid one; each different ``raw`` is judged once."""
+    judged = rows.select("raw").distinct().withColumn("name", normalize_name(F.col("raw"))).where(valid_concept(F.col("name")))
+    return rows.join(judged, "raw").drop("raw")
+
+
 def phases(lines: DataFrame) -> DataFrame:
     """``Phase 2.1: name`` lines, ordered by their dotted numbers within each kind."""
     pattern = "(?i)^\\s*(?:#+\\s+|-\\s+|\\*\\s+|\\d+\\.\\s+)?\\b(Phase|Step|Section)\\s+(\\d+(?:\\.\\d+)*)\\s*[:.-]?\\s*([^\\n.!?]{2,60})"
     part = lambda k: F.regexp_extract("line", pattern, k)
-    rows = lines.where(F.col("line").rlike(pattern)).select("doc_id", "line_no", F.initcap(part(1)).alias("seq"), part(2).alias("number"), normalize_name(F.trim(part(3))).alias("name"))
-    rows = rows.where(valid_concept(F.col("name")))
+    rows = lines.where(F.col("line").rlike(pattern)).select("doc_id", "line_no", F.initcap(part(1)).alias("seq"), part(2).alias("number"), F.trim(part(3)).alias("raw"))
+    rows = _valid_names(materialise(rows, "phases"))
     order = F.transform(F.split("number", "\\."), lambda x: x.cast("double"))
     pos = F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy(order, "line_no"))
     return _chained(rows.withColumn("pos", pos).select("doc_id", "seq", "pos", "name", "number"))
