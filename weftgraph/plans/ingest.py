@@ -96,8 +96,9 @@ def ingest(
     cols = ["doc_id", "ord", "label", "name", "description", "is_existing"]
     mentions = good.select("doc_id", (F.col("chunk_no") * 1000 + F.col("ord")).cast("int").alias("ord"), "label", "name", "description", F.lit(False).alias("is_existing"))
     sample, file = F.col("text"), F.col("filename")
+    # what is told from whole texts, and read more than once, is stored: else each reading takes the texts again
     central = docs.select("doc_id", F.lit(_LAST).alias("ord"), F.lit("Topic").alias("label"), main_topic(sample, file).alias("name"), topic_description(sample, file).alias("description"), F.lit(False).alias("is_existing"))
-    every = mentions.unionByName(central)
+    every = mentions.unionByName(materialise(central, "central"))
     if known is not None and session_id is not None:
         # each document of a session sees the concepts of that session
         before = session_concepts(known, session_id).join(docs.select("doc_id", F.lit(session_id).alias("session_id")), "session_id")
@@ -117,7 +118,7 @@ def ingest(
     links = materialise(resolve.canonical_relations(rels, mapping), "links")
     degree = links.select("doc_id", F.explode(F.array("from_name", "to_name")).alias("name")).groupBy("doc_id", "name").agg(F.count("*").alias("degree"))
     freq = resolve.name_frequency(clustered.where("not is_existing"), mapping)
-    weights = ranking.tfidf(canonical.select("doc_id", "name").distinct(), docs).select("doc_id", "name", "tfidf")
+    weights = materialise(ranking.tfidf(canonical.select("doc_id", "name").distinct(), docs).select("doc_id", "name", "tfidf"), "weights")
     ranked = canonical.join(weights, ["doc_id", "name"], "left").join(degree, ["doc_id", "name"], "left").join(freq, ["doc_id", "name"], "left")
     ranked = ranked.fillna(0, ["tfidf", "degree", "freq"]).withColumn("ord", F.col("cluster"))
     top = ranking.top_concepts(ranked, keep).unionByName(ranked.where("central").select("*", F.lit(0.0).alias("score"), F.lit(0).alias("rank")))
