@@ -133,3 +133,27 @@ def test_chains_of_a_complete_graph_are_not_listed(spark):
     held = paths.simple_chains(edges, nodes.where(f"id = '{ids[-1]}'"), hops)
     assert held.count() <= n * (1 + 1 + 4 + 7 + 4 + 1)
     assert PropertyGraph(nodes, edges).learning_path("nobody").count() == 0
+
+
+def test_values_spread_in_slices_as_along_single_links(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(40)] + [(f"c{i}", f"c{i + 1}") for i in range(6)]
+    begin = {"n3": "é", "n4": "b", "c0": "z", "lone": "q"}
+    want, more = dict(begin), True
+    while more:
+        more = False
+        for a, b in links:
+            if a in want and want[a] > want.get(b, ""):
+                want[b], more = want[a], True
+    a_b, start = spark.createDataFrame(links, "a string, b string").repartition(5), spark.createDataFrame([*begin.items(), ("n5", None)], "id string, c string")
+    for size in (1 << 21, 20):
+        monkeypatch.setattr(paths, "_SLICE", size)
+        assert dict(map(tuple, paths.spread(a_b, start).collect())) == want
+
+
+def test_upstream_of_a_long_chain_takes_no_round_for_each_step(spark, monkeypatch):
+    stored, write = [], paths.materialise
+    monkeypatch.setattr(paths, "materialise", lambda df, label, **kw: stored.append(label) or write(df, label, **kw))
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)] + [("n9", "off")], "src string, dst string")
+    got = paths.upstream(chain, spark.createDataFrame([("n50",)], "id string"))
+    assert got.count() == 50 and len(stored) < 8
