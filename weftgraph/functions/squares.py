@@ -12,6 +12,8 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Places looked at together.
 _TOGETHER = 1 << 19
+#: Phrases of fewer words are looked for at every place; longer ones only in lines in which so many words stand twice.
+_SHORT = 6
 
 
 def repeats_itself(words: list) -> bool:
@@ -45,8 +47,44 @@ def _agree(sums, power, left, right, cap, forward: bool):
     return got
 
 
+def _sifted(numbers: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line whether a phrase of two to ``_SHORT - 1`` words follows itself, and whether a longer one can: some ``_SHORT`` words stand twice in it."""
+    short, able = np.zeros(lines, bool), np.zeros(lines, bool)
+    for p in range(2, _SHORT):
+        if len(numbers) < 2 * p:
+            return short, able
+        same = (numbers[:-p] == numbers[p:]) & (line[:-p] == line[p:])
+        run = same[: len(same) - p + 1].copy()
+        for j in range(1, p):
+            run &= same[j : len(same) - p + 1 + j]
+        short[line[:-p][np.flatnonzero(run)]] = True
+    whole = np.flatnonzero(line[: 1 - _SHORT] == line[_SHORT - 1 :])
+    grams = line[whole].astype(np.uint64) * _BASE
+    for j in range(_SHORT):
+        grams = (grams ^ (grams >> np.uint64(31)) ^ numbers[whole + j].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    ranked = np.sort(grams)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if len(twice):
+        at = np.searchsorted(twice, grams)
+        able[line[whole[twice[np.minimum(at, len(twice) - 1)] == grams]]] = True
+    return short, able
+
+
 def with_repeated_phrase(numbers: np.ndarray, off: np.ndarray) -> np.ndarray:
     """For each line ``numbers[off[i]:off[i + 1]]`` (a number for each word) whether a phrase of two words or more follows itself."""
+    size = np.diff(off)
+    line = np.repeat(np.arange(len(size)), size)
+    out, able = _sifted(numbers, line, len(size))
+    left = np.flatnonzero(able & ~out)
+    if len(left):
+        own = np.zeros(len(size), bool)
+        own[left] = True
+        out[left] = _long_phrase(numbers[own[line]], np.concatenate([[0], np.cumsum(size[left])]))
+    return out
+
+
+def _long_phrase(numbers: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """``with_repeated_phrase`` for lines in which a long phrase is likely."""
     n, size = len(numbers), np.diff(off)
     out = np.zeros(len(size), bool)
     longest = int(size.max(initial=0))

@@ -54,11 +54,15 @@ def phrase_label(name: Column, trimmed: bool = True) -> Column:
     )
 
 
+def _defines(sentence: Column) -> Column:
+    return sentence.rlike(f"(?i)\\s(?:{_DEFINES})\\s")
+
+
 def definition(phrase: Column, sentence: Column) -> Column:
     """What a sentence says a phrase is, else the sentence cut to 150 characters."""
     pattern = F.concat(F.lit("(?i)\\b\\Q"), phrase, F.lit(f"\\E\\b\\s+(?:{_DEFINES})\\s+([^.!?\\n]{{5,150}})"))
     # a pattern of each row is compiled for each: only where the fixed part of it is found
-    said = F.when(sentence.rlike(f"(?i)\\s(?:{_DEFINES})\\s"), F.trim(F.call_function("regexp_extract", sentence, pattern, F.lit(1))))
+    said = F.when(_defines(sentence), F.trim(F.call_function("regexp_extract", sentence, pattern, F.lit(1))))
     return F.when(said != "", F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, F.lit(2), F.length(said)))).otherwise(ellipsis(sentence, 150))
 
 
@@ -73,6 +77,8 @@ def capitalised_phrases(sents: DataFrame) -> DataFrame:
 def suffix_phrases(sents: DataFrame, generic: Iterable[str] | None = None) -> DataFrame:
     """Technical phrases: a domain noun with one or two plain words before it, each word capitalised."""
     generic = generic_words(generic or ())
+    # words are taken apart only where one of the nouns stands in the sentence
+    sents = sents.where(F.lower("sentence").rlike("|".join(DOMAIN_NOUNS)))
     bare = F.transform(F.split("sentence", "\\s+"), lambda w: F.regexp_replace(w, _EDGE, ""))
     rows = sents.withColumn("w", bare).select("*", F.posexplode("w").alias("ord", "noun")).where(F.lower("noun").isin(*DOMAIN_NOUNS))
     plain = lambda w: w.isNotNull() & w.rlike("(?U)^\\p{L}+$") & (F.upper(w) != w) & ~F.lower(w).isin(*generic)
@@ -91,14 +97,18 @@ def suffix_label(name: Column) -> Column:
 def concepts(chunks: DataFrame, per_chunk: int = 15, generic: Iterable[str] | None = None) -> DataFrame:
     """``doc_id, chunk_no, ord, label, name, description``: the first ``per_chunk`` distinct names of each chunk."""
     sents = sentence_rows(chunks)
-    cols = ["doc_id", "chunk_no", "pass", "sent", "ord", "label", "name", "description"]
-    a = capitalised_phrases(sents).withColumn("pass", F.lit(0)).withColumn("label", phrase_label(F.col("name"))).withColumn("description", definition(F.col("phrase"), F.col("sentence")))
-    b = suffix_phrases(sents, generic).withColumn("pass", F.lit(1)).withColumn("label", suffix_label(F.col("name"))).withColumn("description", ellipsis(F.col("sentence"), 150))
-    every = a.select(*cols).unionByName(b.select(*cols)).withColumn("key", F.lower("name"))
+    # of a sentence in which nothing is defined only what a description shows goes on; names are labelled and described once those that stay are known
+    shown = F.substring("sentence", 1, 151)
+    sents = sents.withColumn("told", F.when(_defines(F.col("sentence")), F.col("sentence")).otherwise(shown))
+    a = capitalised_phrases(sents).select("doc_id", "chunk_no", F.lit(0).alias("pass"), "sent", "ord", "phrase", "name", "told")
+    b = suffix_phrases(sents, generic).select("doc_id", "chunk_no", F.lit(1).alias("pass"), "sent", "ord", "phrase", "name", shown.alias("told"))
     place = F.struct("pass", "sent", "ord")
-    first = every.groupBy("doc_id", "chunk_no", "key").agg(F.min_by(F.struct("label", "name", "description"), place).alias("c"), F.min(place).alias("place"))
+    first = a.unionByName(b).groupBy("doc_id", "chunk_no", F.lower("name").alias("key")).agg(F.min_by(F.struct("phrase", "name", "told"), place).alias("c"), F.min(place).alias("place"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "chunk_no").orderBy("place"))
-    return first.withColumn("ord", rank - 1).where(F.col("ord") < per_chunk).select("doc_id", "chunk_no", "ord", "c.*")
+    kept = first.withColumn("ord", rank - 1).where(F.col("ord") < per_chunk).select("doc_id", "chunk_no", "ord", F.col("place.pass").alias("pass"), "c.*")
+    label = F.when(F.col("pass") == 0, phrase_label(F.col("name"))).otherwise(suffix_label(F.col("name")))
+    about = F.when(F.col("pass") == 0, definition(F.col("phrase"), F.col("told"))).otherwise(ellipsis(F.col("told"), 150))
+    return kept.select("doc_id", "chunk_no", "ord", label.alias("label"), "name", about.alias("description"))
 
 
 def relations(chunks: DataFrame, found: DataFrame) -> DataFrame:
