@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import sequences
@@ -28,27 +27,48 @@ _ITEMS = """items AS (SELECT *, l_orderkey AS doc_id, row_number() OVER (PARTITI
   FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey))"""
 
 
+def _item_lists(spark, sf):
+    """``doc_id, s``: the different items of each order, in order. Rows are dealt out by order once, for this and for all that is made of a whole order."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "p_name", "l_partkey")
+    got = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name", "l_partkey"))).alias("s"))
+    return got.select("doc_id", F.filter("s", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("s", i - 1))).alias("s"))
+
+
+def _said(item):
+    return F.when(item["l_partkey"] % 7 == 0, F.concat(F.lit("run "), item["p_name"])).otherwise(item["p_name"])
+
+
+def _number(item):
+    return F.concat_ws(".", item["l_linenumber"], item["l_partkey"] % 12)
+
+
 def _items(spark, sf):
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name").distinct()
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "p_name", "l_partkey")) - 1
-    said = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("run "), "p_name")).otherwise(F.col("p_name"))
-    return rows.select(F.col("l_orderkey").alias("doc_id"), n.alias("line_no"), "l_linenumber", F.concat_ws(".", "l_linenumber", F.col("l_partkey") % 12).alias("number"), said.alias("said"))
+    rows = _item_lists(spark, sf).select("doc_id", F.posexplode("s").alias("line_no", "x"))
+    x = F.col("x")
+    return rows.select("doc_id", "line_no", x["l_linenumber"].alias("l_linenumber"), _number(x).alias("number"), _said(x).alias("said"))
 
 
-def _phase_lines(items):
+def _phase_line(number, said):
     kind = F.when(F.col("doc_id") % 3 == 0, "Step ").when(F.col("doc_id") % 3 == 1, "- Phase ").otherwise("## Section ")
-    return items.select("doc_id", "line_no", F.concat(kind, "number", F.lit(": "), "said").alias("line"))
+    return F.concat(kind, number, F.lit(": "), said)
+
+
+def _list_line(number, said):
+    return F.concat(number, F.lit(". "), said)
+
+
+def _phase_lines(items):
+    return items.select("doc_id", "line_no", _phase_line(F.col("number"), F.col("said")).alias("line"))
 
 
 def _list_lines(items):
-    return items.select("doc_id", "line_no", F.concat("l_linenumber", F.lit(". "), "said").alias("line"))
+    return items.select("doc_id", "line_no", _list_line(F.col("l_linenumber"), F.col("said")).alias("line"))
 
 
-def _arrow_lines(items):
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"])
-    arrow = F.when(F.col("doc_id") % 2 == 0, " -> ").otherwise(" → ")
-    rows = items.groupBy("doc_id").agg(parts.alias("p")).withColumn("arrow", arrow)
-    return rows.select("doc_id", F.lit(0).alias("line_no"), F.expr("array_join(p, arrow)").alias("line"))
+def _arrow_line():
+    """The chain of an order's items ``s``."""
+    parts = F.transform("s", _said)
+    return F.when(F.col("doc_id") % 2 == 0, F.array_join(parts, " -> ")).otherwise(F.array_join(parts, " → "))
 
 
 _PHASES = f"""{_ITEMS}, ph AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'Step' WHEN 1 THEN 'Phase' ELSE 'Section' END AS seq, count(*) OVER (PARTITION BY doc_id) AS c FROM items WHERE valid),
@@ -76,17 +96,13 @@ _ARROWS = "ar AS (SELECT doc_id, CAST(line_no AS INTEGER) AS pos, name, count(*)
 
 @query("arrow_chain", f"WITH {_ITEMS}, {_ARROWS} SELECT * FROM arrows")
 def arrow_chain(spark, sf):
-    return sequences.arrow_chains(_arrow_lines(_items(spark, sf)))
+    return sequences.arrow_chains(_item_lists(spark, sf).select("doc_id", F.lit(0).alias("line_no"), _arrow_line().alias("line")))
 
 
 def _texts(spark, sf):
     """Every order as a text: its phases, its list, its chain."""
-    items = _items(spark, sf)
-    lines = None
-    for k, one in enumerate((_phase_lines(items), _list_lines(items), _arrow_lines(items))):
-        one = one.select("doc_id", F.struct(F.lit(k).alias("k"), F.col("line_no").cast("long").alias("n"), "line").alias("x"))
-        lines = one if lines is None else lines.unionByName(one)
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+    lines = F.concat(F.transform("s", lambda x: _phase_line(_number(x), _said(x))), F.transform("s", lambda x: _list_line(x["l_linenumber"], _said(x))), F.array(_arrow_line()))
+    return _item_lists(spark, sf).select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
 _SEQUENCES = f"{_PHASES}, {_RUNS}, {_ARROWS}, steps AS (SELECT doc_id, 0 AS k, seq, pos, name, seq || ' ' || number || ' of the study sequence: ' || name || '.' AS about FROM phases UNION ALL SELECT doc_id, 1, seq, pos, name, 'Found in sequential list: ' || name || '.' FROM numbered UNION ALL SELECT doc_id, 2, seq, pos, name, 'Extracted from prerequisite sequence: ' || name || '.' FROM arrows)"
